@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from echolake.llm import op5_line_dedup as lines
+from echolake.llm.op3_packing import op3_packing
+from echolake.llm.op5_line_dedup import op5_line_dedup
 from echolake.llm.op6_sharding import op6_sharding
 from echolake.llm.op7_mixing import op7_mixing
 from echolake.llm.op8_language_id import op8_language_id
 from echolake.llm.op10_media_columns import op10_media_columns
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op7_mixing, op8_language_id, op10_media_columns)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_packing, op5_line_dedup, op6_sharding, op7_mixing, op8_language_id, op10_media_columns)}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.ORACLE_SQL}
