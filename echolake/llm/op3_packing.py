@@ -25,46 +25,81 @@ from echolake.plans.shared import materialize
 CAPACITY = 2048
 END_ID = 1
 #: Words kept with their ids in a Python worker; it is emptied when full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 _CACHE_CHARS = 48
+_CLOSING = ".,;:!?"
+#: Below this, lower case and composed form are the same letter by letter.
+_PLAIN = "\u0250"
 
 
 class WordEncoder:
     """Ids of whole texts, as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never joins what stands on both sides
-    of it, so a text's ids are those of its words in turn; frequent words are
-    encoded once.
+    of it, so a text's ids are those of its words in turn, and frequent words
+    are encoded once.  A word of letters before closing punctuation is encoded
+    apart from it and in lower case, as the tokenizer would; many such words
+    go through it in one call, and end where a token that ends a word stands.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {}
+        self._stems: dict[str, bytes] = {"": b""}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _singly(self, words: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words = text.replace("\n", " ").split(" ")
-        known = self._known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                known.update(zip(part, self._encode(part), strict=True))
-            out = b"".join([known[w] for w in words])
-            for w in new:
-                if len(w) > _CACHE_CHARS:
-                    del known[w]
-            return out
-        return b"".join([known[w] for w in words])
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only: one call for all."""
+        ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
+            return self._singly(words)
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        known, stems = self._known, self._stems
+        if len(known) + len(words) > CACHE_WORDS:
+            known.clear()
+        if len(stems) + len(words) > CACHE_WORDS:
+            stems.clear()
+        parts, other = [], []
+        for w in words:
+            stem = w.rstrip(_CLOSING)
+            if stem.isalpha() and len(w) <= _CACHE_CHARS and (stem.isascii() or (max(stem) < _PLAIN and "\u0130" not in stem)):
+                parts.append((w, stem.lower(), w[len(stem) :]))
+            else:
+                other.append(w)
+        new = list({s for _, s, _ in parts if s not in stems})
+        for k in range(0, len(new), 4096):
+            stems.update(zip(new[k : k + 4096], self._letters(new[k : k + 4096]), strict=True))
+        tails = list({t for _, _, t in parts if t not in stems})
+        stems.update(zip(tails, self._singly(tails), strict=True))
+        known.update((w, stems[s] + stems[t]) for w, s, t in parts)
+        for k in range(0, len(other), 4096):
+            known.update(zip(other[k : k + 4096], self._singly(other[k : k + 4096]), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        words = set().union(*split)
+        new = words.difference(self._known)
+        if len(self._known) + len(new) > CACHE_WORDS:
+            new = words
+        self._learn(list(new))
+        ids = self._known.__getitem__
+        out = [b"".join(map(ids, own)) for own in split]
+        for w in new:
+            if len(w) > _CACHE_CHARS:
+                del self._known[w]
+        return out
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -86,10 +121,10 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY,
         encode = _encoders.setdefault(zlib.crc32(shared.value.encode()), None) or WordEncoder(shared.value)
         _encoders[zlib.crc32(shared.value.encode())] = encode
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(k, 128) for b in batches for k in range(0, max(1, b.num_rows), 128)):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(encode(text.as_py()) + end)
+            for doc_id, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                ids = memoryview(found + end)
                 n = len(ids) // 4
                 for at in range(0, n, capacity):
                     piece = ids[4 * at : 4 * (at + capacity)]

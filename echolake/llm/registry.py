@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from echolake.llm import op5_line_dedup as lines
+from echolake.llm.op1_ngram_jaccard import op1_ngram_jaccard
 from echolake.llm.op2_secret_scan import op2_secret_scan
 from echolake.llm.op3_packing import op3_packing
 from echolake.llm.op4_url_filter import op4_url_filter
@@ -12,5 +13,15 @@ from echolake.llm.op7_mixing import op7_mixing
 from echolake.llm.op8_language_id import op8_language_id
 from echolake.llm.op10_media_columns import op10_media_columns
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_packing, op4_url_filter, op5_line_dedup, op6_sharding, op7_mixing, op8_language_id, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard,
+    op2_secret_scan,
+    op3_packing,
+    op4_url_filter,
+    op5_line_dedup,
+    op6_sharding,
+    op7_mixing,
+    op8_language_id,
+    op10_media_columns,
+)}
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.ORACLE_SQL}
