@@ -11,9 +11,10 @@ from echolake.llm.op5_line_dedup import op5_line_dedup
 from echolake.llm.op6_sharding import op6_sharding
 from echolake.llm.op7_mixing import op7_mixing
 from echolake.llm.op8_language_id import op8_language_id
+from echolake.llm.op9_embedding_dedup import op9_embedding_dedup
 from echolake.llm.op10_media_columns import op10_media_columns
 
-QUERIES = {f.__name__: f for f in (
+_ALL = (
     op1_ngram_jaccard,
     op2_secret_scan,
     op3_packing,
@@ -22,6 +23,8 @@ QUERIES = {f.__name__: f for f in (
     op6_sharding,
     op7_mixing,
     op8_language_id,
+    op9_embedding_dedup,
     op10_media_columns,
-)}
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.ORACLE_SQL}
