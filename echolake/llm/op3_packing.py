@@ -32,6 +32,17 @@ _CLOSING = ".,;:!?"
 _PLAIN = "\u0250"
 
 
+def _plain(text: str) -> str:
+    """A text with the same ids whose words repeat more often: in lower case."""
+    try:
+        narrow = text.isascii() or text.encode("latin-1")
+    except UnicodeEncodeError:
+        narrow = False
+    if narrow and "<|" not in text:
+        text = text.lower()
+    return text.replace("\n", " ")
+
+
 class WordEncoder:
     """Ids of whole texts, as little-endian 32-bit bytes.
 
@@ -88,7 +99,7 @@ class WordEncoder:
             known.update(zip(other[k : k + 4096], self._singly(other[k : k + 4096]), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [_plain(t).split(" ") if t else [] for t in texts]
         words = set().union(*split)
         new = words.difference(self._known)
         if len(self._known) + len(new) > CACHE_WORDS:
