@@ -129,7 +129,7 @@ def multiply(table: int, one: dict, two: dict | None, threshold: float) -> tuple
             i, j = np.nonzero(near)
             seen = (one["codes"][k + i, :table] == other["codes"][j, :table]).any(axis=1)
             near[i[seen], j[seen]] = False
-        counts[k : k + _CHUNK] += near @ other["many"]
+        counts[k : k + len(near)] += near @ other["many"]
         if two is not None:
             counts[n:] += one["many"][k : k + _CHUNK] @ near
     if two is None:
