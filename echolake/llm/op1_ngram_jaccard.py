@@ -10,12 +10,15 @@ and b at similarity s differs in at most (1 - s) / (1 + s) * (a + b) n-grams.
    Unlike single n-grams, whole segments seldom agree because of a common
    passage.
 2. In each block, rows are first compared with one pivot; that joins groups of
-   copies, however large, without their pairs.  Then only pairs of different
-   components are left, which are compared within the block.
-3. Pairs are discarded by size, then by a parity sketch (the bits in which two
-   sketches differ are at most the n-grams in which the rows differ), and the
-   rest by overlap counts accumulated in sparse products of a block's rows with
-   its pivot.
+   copies, however large, without their pairs.
+3. Blocks that still hold several components are cut into parts of a bounded
+   number of rows, and pairs of parts are compared inside a task: by size, then
+   by parity sketches (the bits in which two sketches differ are at most the
+   n-grams in which the rows differ).  A task returns a spanning forest of the
+   pairs that remain, not the pairs.
+4. Overlap counts of these pairs are accumulated in sparse products of a
+   block's rows with its pivot.  Pairs of components that are then still apart,
+   where a pair of the forest was no link after all, are counted one by one.
 
 All bounds are exact, so no link is lost.  N-grams and sets are compared by
 hashes of 64 bits.
@@ -29,19 +32,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolake.llm.components import connected_components
 from echolake.plans.shared import materialize
 
-SKETCH = 16  # 64-bit words
-ROWS_PER_BLOCK = 4096
+SKETCH_BITS = 512  # at least; longer sets have one or two bits an n-gram
+ROWS_PER_PRODUCT = 256
+ROWS_PER_PART = 1024
 _BLOOM_BITS = 1 << 25
 _CACHE_WORDS = 300_000
 _U = np.uint64
-_SIGNED = [f"s{k} long" for k in range(SKETCH)]
-_S = [f"s{k}" for k in range(SKETCH)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -110,6 +112,14 @@ class Bounds:
     def linked(self, common: np.ndarray | int, a: int, b: int) -> bool:
         return 100 * common >= self.percent * (a + b - common)
 
+    def fit(self, a, b):
+        """Whether sets of these sizes (numbers or arrays) can be similar enough."""
+        return 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+
+    def near(self, bits, a, b):
+        """Whether sets of these sizes whose sketches differ in so many bits can link."""
+        return bits * (100 + self.percent) <= (a + b) * (100 - self.percent)
+
 
 def block_keys(s: np.ndarray, bounds: Bounds) -> list[np.ndarray]:
     """Keys of the blocks that a set (sorted, distinct) is dealt to."""
@@ -127,34 +137,50 @@ def block_keys(s: np.ndarray, bounds: Bounds) -> list[np.ndarray]:
     return out
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((s & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of how many n-grams fall on each bit; a power of two of bits."""
+    bits = max(SKETCH_BITS, 2 << (len(s).bit_length() - 1))
+    odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(sketch: bytes, size: int) -> bytes:
+    """The sketch of ``size`` bytes of the same set."""
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = (int.from_bytes(sketch[:half], "little") ^ int.from_bytes(sketch[half:], "little")).to_bytes(half, "little")
+    return sketch
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    return (int.from_bytes(fold(a, size), "little") ^ int.from_bytes(fold(b, size), "little")).bit_count()
 
 
 def _incidence(docs: DataFrame, n: int, bounds: Bounds) -> DataFrame:
-    """(doc_id, n_shingles, set_id, s0.., keys): set_id is null for an empty set."""
+    """(doc_id, n_shingles, set_id, bits, keys): set_id is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
-            sizes, ids, keys, marks = [], [], [], np.zeros((batch.num_rows, SKETCH), np.int64)
-            for i, text in enumerate(batch.column(1)):
+            sizes, ids, keys, marks = [], [], [], []
+            for text in batch.column(1):
                 s = shingle_set(text.as_py(), n)
                 sizes.append(len(s))
                 if len(s):
                     ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                    marks[i] = sketch(s)
+                    marks.append(sketch(s))
                     found = block_keys(s, bounds)
                     keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
                 else:
                     ids.append(None)
+                    marks.append(None)
                     keys.append(np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), *[pa.array(marks[:, k]) for k in range(SKETCH)], lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", *_S, "keys"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "bits", "keys"])
 
-    schema = f"doc_id long, n_shingles long, set_id long, {', '.join(_SIGNED)}, keys array<long>"
+    schema = "doc_id long, n_shingles long, set_id long, bits binary, keys array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -171,10 +197,12 @@ def _bloom(ids: DataFrame, column: str) -> np.ndarray:
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bounds: Bounds) -> DataFrame:
     """The pairs (x, pivot) whose overlap count reaches the bound.
 
-    Rows of one pivot form blocks of about ``ROWS_PER_BLOCK``; the pivot's row is
+    Rows of one pivot form blocks of about ``ROWS_PER_PRODUCT``; the pivot's row is
     copied to each.  A block is streamed: the pivot first, then row by row.
     """
-    size = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BLOCK).cast("int").alias("blocks"))
+    if not pairs.take(1):
+        return pairs
+    size = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_PRODUCT).cast("int").alias("blocks"))
     rows = pairs.join(size, "pivot").select(F.col("x").alias("set_id"), "pivot", F.pmod(F.xxhash64("x"), "blocks").cast("int").alias("block"), F.lit(1).alias("turn"))
     heads = size.select(F.col("pivot").alias("set_id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("turn"))
     dealt = materialize(rows.unionByName(heads), "dealt")
@@ -217,12 +245,115 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bounds
     return full.mapInArrow(multiply, "x long, pivot long").distinct()
 
 
-def _near(left: _Side, right: _Side, bounds: Bounds) -> Column:
-    """Whether sizes and sketches allow a link."""
-    a, b = left["n_shingles"], right["n_shingles"]
-    bits = sum((F.bit_count(left[s].bitwiseXOR(right[s])) for s in _S), F.lit(0))
-    fits = (F.least(a, b) * 100 >= F.greatest(a, b) * bounds.percent)
-    return fits & (bits * (100 + bounds.percent) <= (a + b) * (100 - bounds.percent))
+def _screened(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """The pairs (x, pivot) that sizes and sketches allow."""
+    own = ["set_id", "n_shingles", "bits"]
+    left = sets.select(*[F.col(c).alias(n) for c, n in zip(own, ("x", "a", "p"), strict=True)])
+    right = sets.select(*[F.col(c).alias(n) for c, n in zip(own, ("pivot", "b", "q"), strict=True)])
+    fits = F.least("a", "b") * 100 >= F.greatest("a", "b") * bounds.percent
+    joined = pairs.join(left, "x").join(right, "pivot").where(fits).select("x", "pivot", "a", "b", "p", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [sketch_distance(p.as_py(), q.as_py()) for p, q in zip(batch.column(4), batch.column(5), strict=True)]
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            kept = pa.array(bounds.near(np.array(bits, np.int64), a, b), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["x", "pivot"])
+
+    return joined.mapInArrow(run, "x long, pivot long")
+
+
+def candidate_pairs(sizes: np.ndarray, roots: np.ndarray, bits: list[bytes], first: int, bounds: Bounds) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components that may link.
+
+    With ``first``, only pairs of one of the first so many rows and one of the rest.
+    """
+    words = min(map(len, bits))
+    marks = np.frombuffer(b"".join([fold(x, words) for x in bits]), np.uint64).reshape(len(bits), -1)
+    brief = np.frombuffer(b"".join([fold(x, SKETCH_BITS // 8) for x in bits]), np.uint64).reshape(len(bits), -1)
+    i, j = [], []
+    for k in range(first or len(bits) - 1):
+        rest = np.arange(first or k + 1, len(bits))
+        rest = rest[(roots[rest] != roots[k]) & bounds.fit(sizes[rest], sizes[k])]
+        for table in (brief, marks):
+            if len(rest):
+                rest = rest[bounds.near(np.bitwise_count(table[rest] ^ table[k]).sum(axis=1, dtype=np.int64), sizes[rest], sizes[k])]
+        i.append(np.full(len(rest), k))
+        j.append(rest)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def spanning_forest(roots: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, pivot) that connect what the pairs connect; rows with most pairs are the pivots."""
+    n = len(roots)
+    met = np.zeros((n, n), bool)
+    met[i, j] = met[j, i] = True
+    seen, out = np.zeros(n, bool), []
+    for start in np.argsort(-met.sum(axis=1), kind="stable").tolist():
+        if seen[start]:
+            continue
+        queue = np.flatnonzero(roots == roots[start]).tolist()
+        seen[queue] = True
+        for pivot in queue:  # grows meanwhile
+            for row in np.flatnonzero(met[pivot] & ~seen).tolist():
+                if not seen[row]:
+                    same = np.flatnonzero(roots == roots[row])
+                    seen[same] = True
+                    queue.extend(same.tolist())
+                    out.append((row, pivot))
+    return out
+
+
+def _between(blocks: DataFrame, roots: DataFrame, sets: DataFrame, bounds: Bounds, whole: bool) -> DataFrame:
+    """Pairs (x, pivot) of rows of a block in different components that may link.
+
+    A spanning forest of them in each pair of parts, or with ``whole`` all.
+    """
+    named = blocks.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    ends = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / ROWS_PER_PART).cast("int").alias("parts"))
+    mixed = named.join(ends.where("lo <> hi").select("key", "parts"), "key")
+    dealt = mixed.withColumn("part", F.pmod(F.xxhash64("set_id"), "parts").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "met").alias("lo"), F.greatest("part", "met").alias("hi"), "part", "set_id", "root")
+    group = ["key", "lo", "hi"]
+    full = dealt.join(sets.select("set_id", "n_shingles", "bits"), "set_id").select(*group, "part", "set_id", "root", "n_shingles", "bits")
+    full = full.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, "part", "set_id")
+
+    def pairs(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        first = sum(r[0] == key[1] for r in rows) if key[1] != key[2] else 0
+        if len(rows) < 2 or first == len(rows) or (key[1] != key[2] and first == 0):
+            return []
+        ids = [r[1] for r in rows]
+        roots, sizes = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        i, j = candidate_pairs(sizes, roots, [r[4] for r in rows], first, bounds)
+        found = zip(i.tolist(), j.tolist(), strict=True) if whole else spanning_forest(roots, i, j)
+        return [(ids[a], ids[b]) for a, b in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            x, pivot = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(pivot, pa.int64())], names=["x", "pivot"])
+
+        for batch in batches:
+            out: set[tuple[int, int]] = set()
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:3] != key:
+                    out.update(pairs(key, rows) if rows else ())
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+            yield packed(sorted(out))
+        if rows:
+            yield packed(pairs(key, rows))
+
+    return full.mapInArrow(run, "x long, pivot long").distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``roots`` (node, root) after more links (x, pivot)."""
+    if not links.take(1):
+        return roots
+    return connected_components(roots.select(F.col("node").alias("x"), F.col("root").alias("pivot")).unionByName(links), "x", "pivot")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -231,34 +362,29 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     Documents link at a Jaccard similarity of ``percent`` / 100 or more; a
     component's id is the least doc_id in it.  Null and empty texts have no
     shingles and link with nothing; nor do rows of a null doc_id count for the
-    id.  Repeated rows are repeated in the result.  ``docs`` is read twice.
+    id.  Repeated rows are repeated in the result.  ``docs`` is read four times.
     """
     bounds = Bounds(percent)
     rows = materialize(_incidence(docs, n, bounds), "incidence")
     full = rows.where("set_id is not null")
-    sets = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), *[F.first(s).alias(s) for s in _S]), "sets")
+    sets = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "sets")
     keyed = full.where(F.size("keys") > 0).groupBy("set_id").agg(F.first("keys").alias("keys"))
     dealt = keyed.select("set_id", F.explode("keys").alias("key"))
-    block = Window.partitionBy("key")
-    shared = dealt.withColumn("pivot", F.min("set_id").over(block)).withColumn("other", F.max("set_id").over(block))
-    blocks = materialize(shared.where("pivot <> other").select("key", "set_id", "pivot"), "blocks")
-
-    left, right = sets.alias("l"), sets.withColumnRenamed("set_id", "pivot").alias("r")
-    first = blocks.where("set_id <> pivot").select("set_id", "pivot").distinct()
-    first = first.join(left, "set_id").join(right, "pivot").where(_near(_Side("l"), _Side("r"), bounds))
-    first = materialize(first.select(F.col("set_id").alias("x"), "pivot"), "pairs")
+    ends = dealt.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("other")).where("pivot <> other")
+    blocks = materialize(dealt.join(ends.select("key", "pivot"), "key").select("key", "set_id", "pivot"), "blocks")
+
+    first = blocks.where("set_id <> pivot").select(F.col("set_id").alias("x"), "pivot").distinct()
+    first = materialize(_screened(first, sets, bounds), "pairs")
     links = materialize(_verified(first, docs, sets, n, bounds), "links")
     roots = connected_components(links, "x", "pivot")
-
-    named = blocks.select("key", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    named = named.withColumn("root", F.coalesce("root", "set_id"))
-    open_ = named.withColumn("lo", F.min("root").over(block)).withColumn("hi", F.max("root").over(block)).where("lo <> hi")
-    open_ = materialize(open_.select("key", "set_id", "root").join(sets.drop("doc_id"), "set_id"), "open")
-    pair = open_.alias("l").join(open_.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") < F.col("r.root")) & _near(_Side("l"), _Side("r"), bounds))
-    rest = pair.select(F.greatest("l.set_id", "r.set_id").alias("x"), F.least("l.set_id", "r.set_id").alias("pivot")).distinct()
-    rest = materialize(rest.join(first, ["x", "pivot"], "left_anti"), "pairs")
-    more = materialize(_verified(rest, docs, sets, n, bounds), "links")
-    roots = connected_components(links.unionByName(more), "x", "pivot")
+    rows_of = blocks.select("key", "set_id")
+    forest = materialize(_between(rows_of, roots, sets, bounds, False), "pairs")
+    roots = _joined(roots, materialize(_verified(forest, docs, sets, n, bounds), "links"))
+    ordered = [F.greatest("x", "pivot").alias("x"), F.least("x", "pivot").alias("pivot")]
+    known = first.unionByName(forest).select(*ordered)
+    rest = _between(rows_of, roots, sets, bounds, True).select(*ordered).distinct()
+    rest = materialize(rest.join(known, ["x", "pivot"], "left_anti"), "pairs")
+    roots = _joined(roots, materialize(_verified(rest, docs, sets, n, bounds), "links"))
 
     joined = sets.select("set_id", "doc_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     names = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -267,16 +393,6 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-class _Side:
-    """Columns of one side of a self-join."""
-
-    def __init__(self, alias: str):
-        self._alias = alias
-
-    def __getitem__(self, name: str):
-        return F.col(f"{self._alias}.{name}")
-
-
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at a Jaccard similarity of 0.85 over 4-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from echolake.llm.op1_ngram_jaccard import Bounds, block_keys, jaccard_components, op1_ngram_jaccard, shingle_set
+from echolake.llm.op1_ngram_jaccard import Bounds, block_keys, fold, jaccard_components, op1_ngram_jaccard, shingle_set, sketch, sketch_distance, spanning_forest
 
 
 def shingles(text: str | None, n: int) -> frozenset:
@@ -72,3 +72,48 @@ def test_shingle_sets():
     assert (shingle_set("A b C d", 4) == shingle_set("a B c D", 4)).all()
     assert len(shingle_set(" \n", 4)) == len(shingle_set(None, 4)) == 0
     assert len(shingle_set("É x y z", 4)) == 1 and shingle_set("É x y z", 4)[0] != shingle_set("é x y z", 4)[0]
+
+
+def test_sketches_fold_and_never_overstate():
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
+    b = np.unique(np.concatenate([a[200:], rng.integers(0, 2**63, 50).astype(np.uint64)]))
+    short = a[:700]
+    assert len(sketch(short)) < len(sketch(a)) and sketch_distance(sketch(a), sketch(a)) == 0
+    assert 150 < sketch_distance(sketch(a), sketch(b)) <= 250
+    assert sketch_distance(sketch(a), sketch(short)) <= 2300
+    assert fold(sketch(a), len(sketch(short))) == fold(fold(sketch(a), 2 * len(sketch(short))), len(sketch(short)))
+
+
+def test_forest_connects_what_the_pairs_connect():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = 40
+        roots = rng.integers(0, 30, n)
+        i, j = np.nonzero(np.triu(rng.random((n, n)) < 0.03, 1))
+        i, j = i[roots[i] != roots[j]], j[roots[i] != roots[j]]
+
+        def groups(pairs, roots=roots):
+            label = roots.copy()
+            for a, b in pairs:
+                label[label == label[a]] = label[b]
+            return {tuple(np.flatnonzero(label == x)) for x in label}
+
+        found = spanning_forest(roots, i, j)
+        assert groups(found) == groups(zip(i, j, strict=True)) and len(found) < len(set(roots.tolist()))
+
+
+def test_one_large_group_in_parts(spark, monkeypatch):
+    import echolake.llm.op1_ngram_jaccard as op1
+
+    monkeypatch.setattr(op1, "ROWS_PER_PART", 8)
+    monkeypatch.setattr(op1, "ROWS_PER_PRODUCT", 4)
+    rng = random.Random(8)
+    base, rows = [str(k) for k in range(100)], []
+    for k in range(90):
+        w = list(base)
+        for _ in range(4):
+            w[rng.randrange(100)] = f"new{rng.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_components(df, 4, 85).collect())) == Counter(brute(rows, 4, 85))
