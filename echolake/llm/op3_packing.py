@@ -10,7 +10,7 @@ to the pieces by each piece's rank among those of its length.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,11 +25,13 @@ from echolake.plans.shared import materialize
 CAPACITY = 2048
 END_ID = 1
 #: Words kept with their ids in a Python worker; it is emptied when full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 _CACHE_CHARS = 48
 _CLOSING = ".,;:!?"
 #: Below this, lower case and composed form are the same letter by letter.
 _PLAIN = "\u0250"
+#: How byte-level BPE writes the bytes that aren't printable.
+_BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 def _plain(text: str) -> str:
@@ -49,52 +51,47 @@ class WordEncoder:
     The tokenizer drops white space and never joins what stands on both sides
     of it, so a text's ids are those of its words in turn, and frequent words
     are encoded once.  A word of letters before closing punctuation is encoded
-    apart from it and in lower case, as the tokenizer would; many such words
-    go through it in one call, and end where a token that ends a word stands.
+    apart from it and in lower case, as the tokenizer would, by its model alone.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        vocabulary = self._tokenizer.get_vocab()
-        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._known: dict[str, bytes] = {}
-        self._stems: dict[str, bytes] = {"": b""}
+        self._model = self._tokenizer.model
+        self._raw = [k.to_bytes(4, "little") for k in range(max(self._tokenizer.get_vocab().values()) + 1)]
+        self._known: dict[str, bytes] = {"": b""}
 
     def _singly(self, words: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters only: one call for all."""
-        ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self._ends[ids]) + 1
-        if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
-            return self._singly(words)
-        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+    def _letters(self, words: Iterable[str]) -> list[bytes]:
+        """Words of letters in lower case: what the tokenizer does before its model leaves them whole."""
+        raw, tokenize = self._raw, self._model.tokenize
+        shown = (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words)
+        return [b"".join([raw[t.id] for t in tokenize(w)]) for w in shown]
 
     def _learn(self, words: list[str]) -> None:
-        known, stems = self._known, self._stems
+        known = self._known
         if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-        if len(stems) + len(words) > CACHE_WORDS:
-            stems.clear()
-        parts, other = [], []
+            known[""] = b""
+        letters, parts, other = set(), [], []
         for w in words:
-            stem = w.rstrip(_CLOSING)
-            if stem.isalpha() and len(w) <= _CACHE_CHARS and (stem.isascii() or (max(stem) < _PLAIN and "\u0130" not in stem)):
-                parts.append((w, stem.lower(), w[len(stem) :]))
+            stem = w if w.isalpha() else w.rstrip(_CLOSING)
+            if len(w) <= _CACHE_CHARS and stem.isalpha() and (stem.isascii() or (max(stem) < _PLAIN and "\u0130" not in stem)):
+                low = stem.lower()
+                if low not in known:
+                    letters.add(low)
+                if low != w:
+                    parts.append((w, low, w[len(stem) :]))
             else:
                 other.append(w)
-        new = list({s for _, s, _ in parts if s not in stems})
-        for k in range(0, len(new), 4096):
-            stems.update(zip(new[k : k + 4096], self._letters(new[k : k + 4096]), strict=True))
-        tails = list({t for _, _, t in parts if t not in stems})
-        stems.update(zip(tails, self._singly(tails), strict=True))
-        known.update((w, stems[s] + stems[t]) for w, s, t in parts)
+        known.update(zip(letters, self._letters(letters), strict=True))
+        tails = list({t for _, _, t in parts if t not in known})
+        known.update(zip(tails, self._singly(tails), strict=True))
+        known.update([(w, known[s] + known[t]) for w, s, t in parts])
         for k in range(0, len(other), 4096):
             known.update(zip(other[k : k + 4096], self._singly(other[k : k + 4096]), strict=True))
 
@@ -132,7 +129,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY,
         encode = _encoders.setdefault(zlib.crc32(shared.value.encode()), None) or WordEncoder(shared.value)
         _encoders[zlib.crc32(shared.value.encode())] = encode
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in (b.slice(k, 128) for b in batches for k in range(0, max(1, b.num_rows), 128)):
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, max(1, b.num_rows), 256)):
             rows: list[tuple] = []
             for doc_id, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 ids = memoryview(found + end)
