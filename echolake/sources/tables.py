@@ -33,7 +33,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     angle = F.pmod(F.col("l_extendedprice") / 1000.0, F.lit(6.0)) - 3.0
     tone = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("a"), angle.alias("p"), F.col("l_extendedprice").alias("e"))
     rows = li.groupBy(F.col("l_orderkey").alias("frame")).agg(F.array_sort(F.collect_list(tone)).alias("tones"))
-    return rows.select("frame", *[F.transform("tones", lambda v, k=k: v[k]).alias(n) for k, n in (("a", "amplitude"), ("p", "phase"), ("e", "price"))])
+    return rows.select("frame", *[F.col(f"tones.{k}").alias(n) for k, n in (("a", "amplitude"), ("p", "phase"), ("e", "price"))])
 
 
 FRAMES = """f AS (
