@@ -59,9 +59,10 @@ def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(m, "node").select("event_id", F.round((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("scaled"))
 
 
-@query(f"WITH {SAMPLES}, w AS (SELECT event_id, list(x) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l FROM s) SELECT event_id, round(list_reduce(l, lambda a, v: a * 0.85 + v * 0.15), 6) AS ema FROM w")
+@query(f"WITH {SAMPLES}, w AS (SELECT event_id, list(x) OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l FROM s) SELECT event_id, round(list_reduce(l, lambda a, v: a * 0.85 + v * 0.15) / pi(), 6) AS ema_over_pi FROM w")
 def ema_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ema(samples(spark, sf_dir), _KEY, _ORDER, "x", 0.15, 20).select("event_id", F.round("ema", 6).alias("ema"))
+    """In units of pi, as decimal inputs would give values on rounding ties."""
+    return S.ema(samples(spark, sf_dir), _KEY, _ORDER, "x", 0.15, 20).select("event_id", F.round(F.col("ema") / F.pi(), 6).alias("ema_over_pi"))
 
 
 _ALL = f"({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"

@@ -15,9 +15,10 @@ def _fold(spark: SparkSession, sf_dir: str, kernel: K.Kernel) -> DataFrame:
     return K.fold(samples(spark, sf_dir), "node", ["ts", "event_id"], "x", "t", "event_id", kernel)
 
 
-@query(f"WITH {SAMPLES}, w AS (SELECT node, event_id, list(x) OVER (PARTITION BY node ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS l FROM s) SELECT node, event_id, round(list_reduce(l, lambda a, v: a * 0.85 + v * 0.15), 6) AS ema FROM w")
+@query(f"WITH {SAMPLES}, w AS (SELECT node, event_id, list(x) OVER (PARTITION BY node ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS l FROM s) SELECT node, event_id, round(list_reduce(l, lambda a, v: a * 0.85 + v * 0.15) / pi(), 6) AS ema_over_pi FROM w")
 def ema_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fold(spark, sf_dir, K.ema()).withColumn("ema", F.round("ema", 6))
+    """In units of pi, as decimal inputs would give values on rounding ties."""
+    return _fold(spark, sf_dir, K.ema()).select("node", "event_id", F.round(F.col("ema") / F.pi(), 6).alias("ema_over_pi"))
 
 
 @query(f"""WITH RECURSIVE {SAMPLES}, o AS (SELECT node, event_id, t, row_number() OVER (PARTITION BY node ORDER BY ts, event_id) AS r FROM s),

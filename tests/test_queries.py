@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 
 from echolake.registry import ORACLE_SQL, QUERIES
 
-SMALL = "/root/testdata/sf0.001"
+SMALL = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
