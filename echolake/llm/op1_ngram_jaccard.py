@@ -379,10 +379,14 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     roots = connected_components(links, "x", "pivot")
     rows_of = blocks.select("key", "set_id")
     forest = materialize(_between(rows_of, roots, sets, bounds, False), "pairs")
-    roots = _joined(roots, materialize(_verified(forest, docs, sets, n, bounds), "links"))
+    linked = materialize(_verified(forest, docs, sets, n, bounds), "links")
+    roots = _joined(roots, linked)
     ordered = [F.greatest("x", "pivot").alias("x"), F.least("x", "pivot").alias("pivot")]
     known = first.unionByName(forest).select(*ordered)
-    rest = _between(rows_of, roots, sets, bounds, True).select(*ordered).distinct()
+    # where all of a forest are links, nothing is left apart that may link
+    apart = forest.join(linked, ["x", "pivot"], "left_anti").select(F.col("x").alias("set_id")).distinct()
+    keys = rows_of.join(apart, "set_id", "left_semi").select("key").distinct()
+    rest = _between(rows_of.join(keys, "key", "left_semi"), roots, sets, bounds, True).select(*ordered).distinct()
     rest = materialize(rest.join(known, ["x", "pivot"], "left_anti"), "pairs")
     roots = _joined(roots, materialize(_verified(rest, docs, sets, n, bounds), "links"))
 
