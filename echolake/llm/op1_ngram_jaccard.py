@@ -19,6 +19,9 @@ and b at similarity s differs in at most (1 - s) / (1 + s) * (a + b) n-grams.
 4. Overlap counts of these pairs are accumulated in sparse products of a
    block's rows with its pivot.  Pairs of components that are then still apart,
    where a pair of the forest was no link after all, are counted one by one.
+5. A link never leaves its component.  To count all links, the rows of each
+   component are cut into parts, and each pair of parts is one sparse product
+   inside a task, which returns the number of links of each row.
 
 All bounds are exact, so no link is lost.  N-grams and sets are compared by
 hashes of 64 bits.
@@ -41,6 +44,7 @@ from echolake.plans.shared import materialize
 SKETCH_BITS = 512  # at least; longer sets have one or two bits an n-gram
 ROWS_PER_PRODUCT = 256
 ROWS_PER_PART = 1024
+NGRAMS_PER_PART = 1 << 21
 _BLOOM_BITS = 1 << 25
 _CACHE_WORDS = 300_000
 _U = np.uint64
@@ -194,6 +198,23 @@ def _bloom(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def _items(docs: DataFrame, ids: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """(set_id, items): the n-grams of the sets of ``ids`` and of some more; copies may repeat."""
+    wanted = sets.join(ids.select("set_id").distinct(), "set_id", "left_semi").select("doc_id")
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, "doc_id"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+            place = batch.column(0).to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(bitmap.value[place >> 5] >> (place & 31).astype(np.uint32) & 1)
+            found = [shingle_set(batch.column(1)[i].as_py(), n) for i in hit.tolist()]
+            found = {xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63): s.tobytes() for s in found if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["set_id", "items"])
+
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_BLOOM_BITS))
+    return docs.select(place.alias("p"), "text").mapInArrow(read, "set_id long, items binary")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bounds: Bounds) -> DataFrame:
     """The pairs (x, pivot) whose overlap count reaches the bound.
 
@@ -206,20 +227,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bounds
     rows = pairs.join(size, "pivot").select(F.col("x").alias("set_id"), "pivot", F.pmod(F.xxhash64("x"), "blocks").cast("int").alias("block"), F.lit(1).alias("turn"))
     heads = size.select(F.col("pivot").alias("set_id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("turn"))
     dealt = materialize(rows.unionByName(heads), "dealt")
-    wanted = sets.join(dealt.select("set_id").distinct(), "set_id", "left_semi").select("doc_id")
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, "doc_id"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
-            place = batch.column(0).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(bitmap.value[place >> 5] >> (place & 31).astype(np.uint32) & 1)
-            found = [shingle_set(batch.column(1)[i].as_py(), n) for i in hit.tolist()]
-            found = {xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63): s.tobytes() for s in found if len(s)}
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["set_id", "items"])
-
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_BLOOM_BITS))
-    items = docs.select(place.alias("p"), "text").mapInArrow(read, "set_id long, items binary")
-    full = items.join(dealt, "set_id").repartition("pivot", "block").sortWithinPartitions("pivot", "block", "turn")
+    full = _items(docs, dealt, sets, n).join(dealt, "set_id").repartition("pivot", "block").sortWithinPartitions("pivot", "block", "turn")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, row, last = None, np.zeros(0, np.uint64), None
@@ -356,18 +364,79 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(roots.select(F.col("node").alias("x"), F.col("root").alias("pivot")).unionByName(links), "x", "pivot")
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
+def link_counts(items: list[np.ndarray], many: np.ndarray, first: int, bounds: Bounds) -> np.ndarray:
+    """With how many rows each set (sorted, distinct) links; a set has ``many`` rows.
 
-    Documents link at a Jaccard similarity of ``percent`` / 100 or more; a
-    component's id is the least doc_id in it.  Null and empty texts have no
-    shingles and link with nothing; nor do rows of a null doc_id count for the
-    id.  Repeated rows are repeated in the result.  ``docs`` is read four times.
+    With ``first``, only pairs of one of the first so many sets and one of the rest.
+    Sets are multiplied by their differences from one of them, which near copies share.
     """
-    bounds = Bounds(percent)
+    n, sizes = len(items), np.array([len(x) for x in items], np.int64)
+    apart = [np.setxor1d(x, items[0], assume_unique=True) for x in items]
+    off = np.array([len(x) for x in apart], np.int64)
+    ends = np.concatenate([[0], np.cumsum(off)])
+    _, column = np.unique(np.concatenate(apart), return_inverse=True)
+    rows = np.repeat(np.arange(n), off)[np.argsort(column, kind="stable")]
+    degree = np.bincount(column)
+    starts = np.cumsum(degree) - degree
+    counts = np.zeros(n, np.int64)
+    for k in range(first or n - 1):
+        mine = column[ends[k] : ends[k + 1]]
+        long = degree[mine]
+        place = np.repeat(starts[mine] - np.cumsum(long) + long, long) + np.arange(long.sum())
+        rest = np.arange(first or k + 1, n)
+        differ = off[k] + off[rest] - 2 * np.bincount(rows[place], minlength=n)[rest]
+        rest = rest[bounds.linked((sizes[k] + sizes[rest] - differ) // 2, sizes[k], sizes[rest])]
+        counts[k] += many[rest].sum()
+        counts[rest] += many[k]
+    return counts
+
+
+def _links(roots: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bounds: Bounds) -> DataFrame:
+    """Rows (set_id, links): with how many rows of other sets a set links, null if none of its pairs does."""
+    members = roots.withColumnRenamed("node", "set_id").join(sets.select("set_id", "n_shingles", "many"), "set_id")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / ROWS_PER_PART), F.ceil(F.sum("n_shingles") / NGRAMS_PER_PART)).cast("int")
+    cut = members.join(members.groupBy("root").agg(parts.alias("parts")), "root").withColumn("part", F.pmod(F.xxhash64("set_id"), "parts").cast("int"))
+    dealt = cut.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = materialize(dealt.select("root", F.least("part", "met").alias("lo"), F.greatest("part", "met").alias("hi"), "part", "set_id", "many"), "dealt")
+    group = ["root", "lo", "hi"]
+    full = _items(docs, dealt, sets, n).join(dealt, "set_id").select(*group, "part", "set_id", "many", "items")
+    full = full.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, "part", "set_id")
+
+    def result(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        first = sum(r[0] == key[1] for r in rows) if key[1] != key[2] else 0
+        if len(rows) < 2 or first == len(rows) or (key[1] != key[2] and first == 0):
+            return []
+        counts = link_counts([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[2] for r in rows], np.int64), first, bounds)
+        return [(r[1], c) for r, c in zip(rows, counts.tolist(), strict=True) if c]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            x, links = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(links, pa.int64())], names=["set_id", "links"])
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            for i, row in enumerate(zip(*columns, strict=True)):
+                if row[:3] != key:
+                    out += result(key, rows) if rows else []
+                    key, rows = row[:3], []
+                if not rows or rows[-1][1] != row[4]:  # else a copy of the row before
+                    rows.append((*row[3:], batch.columns[-1][i].as_py()))
+            yield packed(out)
+        if rows:
+            yield packed(result(key, rows))
+
+    return full.mapInArrow(run, "set_id long, links long").groupBy("set_id").agg(F.sum("links").alias("links"))
+
+
+def _found(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``docs`` with their set_id, the sets, and the components (node, root) of linked sets."""
     rows = materialize(_incidence(docs, n, bounds), "incidence")
     full = rows.where("set_id is not null")
-    sets = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "sets")
+    sets = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("many")), "sets")
     keyed = full.where(F.size("keys") > 0).groupBy("set_id").agg(F.first("keys").alias("keys"))
     dealt = keyed.select("set_id", F.explode("keys").alias("key"))
     ends = dealt.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("other")).where("pivot <> other")
@@ -388,15 +457,43 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     keys = rows_of.join(apart, "set_id", "left_semi").select("key").distinct()
     rest = _between(rows_of.join(keys, "key", "left_semi"), roots, sets, bounds, True).select(*ordered).distinct()
     rest = materialize(rest.join(known, ["x", "pivot"], "left_anti"), "pairs")
-    roots = _joined(roots, materialize(_verified(rest, docs, sets, n, bounds), "links"))
+    return rows, sets, _joined(roots, materialize(_verified(rest, docs, sets, n, bounds), "links"))
 
-    joined = sets.select("set_id", "doc_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+
+def _named(rows: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, set_id, many)."""
+    joined = sets.select("set_id", "doc_id", "many").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     names = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = joined.join(names, "root").select("set_id", "component_id")
+    named = joined.join(names, "root").select("set_id", "many", "component_id")
     out = rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "many")
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
+
+    Documents link at a Jaccard similarity of ``percent`` / 100 or more; a
+    component's id is the least doc_id in it.  Null and empty texts have no
+    shingles and link with nothing; nor do rows of a null doc_id count for the
+    id.  Repeated rows are repeated in the result.  ``docs`` is read four times.
+    """
+    return _named(*_found(docs, n, Bounds(percent))).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``jaccard_components`` with ``n_links``, the number of other rows that each links with.
+
+    Copies are rows of their own that link with each other.  ``docs`` is read five times.
+    """
+    bounds = Bounds(percent)
+    rows, sets, roots = _found(docs, n, bounds)
+    roots = materialize(roots, "roots")
+    links = materialize(_links(roots, docs, sets, n, bounds), "links")
+    out = _named(rows, sets, roots).join(links, "set_id", "left")
+    n_links = F.coalesce(F.col("many") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_shingles", "component_id", n_links.alias("n_links"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents at a Jaccard similarity of 0.85 over 4-word shingles."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Components and numbers of links of all documents at a Jaccard similarity of 0.85 over 4-word shingles."""
+    return jaccard_links(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

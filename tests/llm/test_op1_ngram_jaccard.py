@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from echolake.llm.op1_ngram_jaccard import Bounds, block_keys, fold, jaccard_components, op1_ngram_jaccard, shingle_set, sketch, sketch_distance, spanning_forest
+from echolake.llm.op1_ngram_jaccard import Bounds, block_keys, fold, jaccard_components, jaccard_links, op1_ngram_jaccard, shingle_set, sketch, sketch_distance, spanning_forest
 
 
 def shingles(text: str | None, n: int) -> frozenset:
@@ -117,3 +117,30 @@ def test_one_large_group_in_parts(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(map(tuple, jaccard_components(df, 4, 85).collect())) == Counter(brute(rows, 4, 85))
+
+
+def n_links(rows: list[tuple], n: int, percent: int) -> list[int]:
+    sets = [shingles(t, n) for _, t in rows]
+    return [sum(bool(a) and i != j and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+def test_links_of_a_group_in_parts(spark, monkeypatch):
+    import echolake.llm.op1_ngram_jaccard as op1
+
+    monkeypatch.setattr(op1, "ROWS_PER_PART", 16)
+    rng, base = random.Random(9), [str(k) for k in range(300)]
+    rows = [(100, None), (101, ""), (102, "alone"), (None, " ".join(base)), (103, " ".join(base)), (103, " ".join(base[:290]))]
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(300)] = f"new{rng.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    want = Counter((*r, c) for r, c in zip(brute(rows, 4, 85), n_links(rows, 4, 85), strict=True))
+    assert len({c[3] for c in want}) > 10  # not all in the group link
+    assert Counter(map(tuple, jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect())) == want
+
+
+def test_query_counts_links(spark, edge_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{edge_dir}/documents.parquet").collect()]
+    found = op1_ngram_jaccard(spark, edge_dir).select("doc_id", "n_links").collect()
+    assert Counter(map(tuple, found)) == Counter((d, c) for (d, _), c in zip(docs, n_links(docs, 4, 85), strict=True))
