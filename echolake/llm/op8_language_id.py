@@ -1,11 +1,13 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams by language are gathered by Spark from labelled documents;
-the log-probability matrix (``BUCKETS`` x languages, so of bounded size) is
-broadcast, and numpy scores whole texts from their sparse n-gram counts.
+those above zero are broadcast, at most as many as the drawn documents have
+n-grams, and numpy scores whole texts from their sparse n-gram counts.
 
-The only bound: training takes about ``TRAIN_DOCS`` labelled documents, chosen
-by a hash of their id, and the ``MAX_LANGS`` most frequent labels.
+The only bound: training draws about ``TRAIN_DOCS`` labelled documents by a hash
+of their id.  Languages of up to a quota are taken whole, and of each larger one
+about the quota is drawn, which is ``LEAST_DOCS`` at least.  Every label has
+documents in the draw, however many labels there are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import types as T
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 20_000
-MAX_LANGS = 200
+LEAST_DOCS = 100
+_HELD = 32  # languages counted in a task at a time
 ALPHA = 0.5
 #: A posterior's evidence counts as that of this many n-grams at most, so that
 #: the score of a long text stays a measure of how clear the choice is.
@@ -57,48 +60,79 @@ def ngram_counts(text: str) -> np.ndarray:
 class NaiveBayes:
     langs: tuple[str, ...]
     log_prior: np.ndarray
-    log_prob: np.ndarray  # BUCKETS x languages
+    log_rest: np.ndarray  # by language, the log-probability of a bucket without counts
+    starts: np.ndarray  # by bucket, where its entries begin in the next two
+    at: np.ndarray  # the place of a language
+    gain: np.ndarray  # its log-probability of the bucket above log_rest
+
+    def log_likelihood(self, counts: np.ndarray) -> np.ndarray:
+        hit = np.flatnonzero(counts)
+        long = self.starts[hit + 1] - self.starts[hit]
+        place = np.repeat(self.starts[hit] - np.cumsum(long) + long, long) + np.arange(long.sum())
+        return counts.sum() * self.log_rest + np.bincount(self.at[place], np.repeat(counts[hit], long) * self.gain[place], len(self.langs))
 
     def score(self, text: str | None) -> tuple[str, float]:
         """The likeliest language, ties by code point, and its tempered posterior."""
         if not text or not self.langs or not _LETTER.search(text):
             return UNKNOWN, 0.0
         counts = ngram_counts(text)
-        hit = np.flatnonzero(counts)
         n = int(counts.sum())
-        ll = counts[hit] @ self.log_prob[hit] * min(1.0, EVIDENCE / n) + self.log_prior
+        ll = self.log_likelihood(counts) * min(1.0, EVIDENCE / n) + self.log_prior
         p = np.exp(ll - ll.max())
         best = int(np.argmax(ll))
         return self.langs[best], float(p[best] / p.sum())
 
 
+def quota(sizes: list[int], total: int = TRAIN_DOCS, least: int = LEAST_DOCS) -> int:
+    """The largest number, ``least`` at least, of which taking so many of each language at most gives ``total`` or fewer."""
+    left = total
+    for k, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - k)
+        if n > share:
+            return max(share, least)
+        left -= n
+    return max([least, *sizes])
+
+
 def train(labelled: DataFrame, seed: int = 8) -> NaiveBayes:
     """Fit on rows (doc_id, text, lang); rows with a null text or lang are left out."""
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    langs = tuple(sorted(r["lang"] for r in sizes))
+    usable = usable.select("text", "lang", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)).alias("draw"))
+    sizes = sorted(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first")).collect())
+    langs = tuple(r["lang"] for r in sizes)
     if not langs:
-        return NaiveBayes((), np.zeros(0), np.zeros((BUCKETS, 0)))
-    total = sum(r["n"] for r in sizes)
-    share = min(1.0, TRAIN_DOCS / total)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
-    place = {x: k for k, x in enumerate(langs)}
+        none = np.zeros(0)
+        return NaiveBayes((), none, none, np.zeros(BUCKETS + 1, np.int64), np.zeros(0, np.int64), none)
+    most = quota([r["n"] for r in sizes])
+    # the first of a language is always drawn
+    limits = [(r["lang"], k, max(r["first"], (1 << 30) * most // r["n"])) for k, r in enumerate(sizes)]
+    limits = labelled.sparkSession.createDataFrame(limits, "lang string, at int, limit long")
+    drawn = usable.join(F.broadcast(limits), "lang").where("draw <= limit")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((len(langs), BUCKETS), np.int64)
+        sums: dict[int, np.ndarray] = {}
+
+        def packed() -> pd.DataFrame:
+            hit = [np.flatnonzero(s) for s in sums.values()]
+            at, n = np.repeat(list(sums), [len(b) for b in hit]), [s[b] for s, b in zip(sums.values(), hit, strict=True)]
+            return pd.DataFrame({"at": at.astype(np.int32), "bucket": np.concatenate(hit).astype(np.int32), "n": np.concatenate(n).astype(np.int64)})
+
         for f in frames:
-            for text, lang in zip(f["text"], f["lang"], strict=True):
-                if lang in place:
-                    sums[place[lang]] += ngram_counts(text)
-        at, bucket = np.nonzero(sums)
-        yield pd.DataFrame({"at": at.astype(np.int32), "bucket": bucket.astype(np.int32), "n": sums[at, bucket]})
-
-    parts = usable.where(drawn).select("text", "lang").mapInPandas(count, "at int, bucket int, n long")
-    rows = parts.groupBy("at", "bucket").agg(F.sum("n").alias("n")).toPandas()  # langs x BUCKETS at most
-    counts = np.full((BUCKETS, len(langs)), ALPHA)
-    counts[rows["bucket"].to_numpy(int), rows["at"].to_numpy(int)] += rows["n"].to_numpy(float)
-    docs = np.array([next(r["n"] for r in sizes if r["lang"] == x) for x in langs], float)
-    return NaiveBayes(langs, np.log(docs / docs.sum()), np.log(counts / counts.sum(axis=0)))
+            for text, at in zip(f["text"], f["at"], strict=True):
+                if at not in sums and len(sums) == _HELD:
+                    yield packed()
+                    sums.clear()
+                sums[at] = sums.get(at, 0) + ngram_counts(text)
+        if sums:
+            yield packed()
+
+    parts = drawn.select("text", "at").mapInPandas(count, "at int, bucket int, n long")
+    rows = parts.groupBy("at", "bucket").agg(F.sum("n").alias("n")).toPandas().sort_values(["bucket", "at"])  # n-grams drawn at most
+    at, n = rows["at"].to_numpy(np.int64), rows["n"].to_numpy(float)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(rows["bucket"].to_numpy(np.int64), minlength=BUCKETS))])
+    docs = np.array([r["n"] for r in sizes], float)
+    log_rest = np.log(ALPHA) - np.log(np.bincount(at, n, len(langs)) + ALPHA * BUCKETS)
+    return NaiveBayes(langs, np.log(docs / docs.sum()), log_rest, starts, at, np.log1p(n / ALPHA))
 
 
 def predict(docs: DataFrame, model: NaiveBayes, lang: str = "lang_pred", score: str = "score") -> DataFrame:

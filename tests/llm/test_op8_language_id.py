@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from echolake.llm.op8_language_id import ngram_counts, op8_language_id
+from echolake.llm.op8_language_id import ngram_counts, op8_language_id, quota, train
 
 
 def test_query(spark, sf_dir, documents):
@@ -34,3 +34,22 @@ def test_long_texts_are_counted_whole():
     assert ngram_counts(text).sum() == ngram_counts(text[:-1]).sum()  # a last space is stripped
     one, two = ngram_counts(text[:9000]), ngram_counts(text)
     assert np.corrcoef(one, two)[0, 1] > 0.999
+
+
+def test_small_languages_are_learned(spark, monkeypatch):
+    import echolake.llm.op8_language_id as op8
+
+    monkeypatch.setattr(op8, "quota", lambda sizes: quota(sizes, 60, 10))
+    rows = [(k, f"the cat and the dog {k}", "en") for k in range(20_000)]
+    rows += [(None, "\u043a\u043e\u0442 \u0438 \u043f\u0451\u0441", "ru")] * 3  # one draw for all
+    rows += [(30_000 + k, f"{chr(0x4E00 + 2 * k)}{chr(0x4E01 + 2 * k)}" * 5, f"x{k:03}") for k in range(250)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 252 and len(set(model.at.tolist())) == 252  # a column for each, none without rows
+    assert model.score("\u043f\u0451\u0441 \u0438 \u043a\u043e\u0442")[0] == "ru" and model.score("a dog and a cat")[0] == "en"
+    assert all(model.score(t)[0] == x for _, t, x in rows[-250:])
+
+
+def test_quota_takes_small_languages_whole():
+    assert quota([20, 1_000_000, 5], 20_000, 100) == 19_975
+    assert quota([30, 40], 20_000, 100) == 100 and quota([300, 400], 20_000, 100) == 400
+    assert quota([1000] * 1000, 20_000, 100) == 100
