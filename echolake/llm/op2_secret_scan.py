@@ -1,7 +1,8 @@
 r"""Secret scans: patterns, and a randomness test battery with false-discovery control.
 
 Base spans come from three patterns.  The battery adds long unbroken tokens
-that look drawn at random.  For each candidate the encoding is inferred, and
+that look drawn at random, whole and by the segments between ``/``, ``-``, ``_``
+and ``+``, as in URL paths and after prefixes.  For each candidate the encoding is inferred, and
 its symbols are tested three ways: chi-squared for a uniform alphabet, runs
 above and below the middle, and serial correlation.
 
@@ -11,6 +12,8 @@ above and below the middle, and serial correlation.
   chi-squared distribution, whose non-centrality grows with length.  These
   chances are held by the Benjamini-Hochberg rule within each length class,
   so that of the tokens added, a share of ``FDR`` at most is text.
+* Where a token and segments of it pass, those of the least chance are kept and
+  no two overlap.
 
 Everything is DataFrame work; per document, spans are found from the lengths
 of what ``split`` and ``regexp_extract_all`` return.  The rule's threshold by
@@ -31,6 +34,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+SEGMENT = r"[A-Za-z0-9]{20,}"
 _LOWER, _UPPER, _DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
 #: name, pattern, alphabet; the first that fits is the encoding
 ENCODINGS = (
@@ -173,10 +177,12 @@ def scan(docs: DataFrame) -> DataFrame:
         b = battery(s["hit"])
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), b["p_random"].alias("p_random"), b["p_text"].alias("p_text"))
 
+    whole = find_spans(text, CANDIDATE)
+    inner = _let(whole, lambda w: F.filter(find_spans(text, SEGMENT), lambda s: ~F.exists(w, lambda c: (c["start"] == s["start"]) & (c["end"] == s["end"]))))
     found = docs.select(
         "doc_id",
         F.array_sort(F.concat(base(0, ASSIGN, 2, 6), base(1, ACCESS, 0, 20), base(2, HEX, 0, 24))).alias("base"),
-        F.transform(find_spans(text, CANDIDATE), tested).alias("candidates"),
+        F.transform(F.concat(whole, inner), tested).alias("candidates"),
     )
     found = materialize(found, "secrets")
     known = lambda c: F.exists("base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"]))
@@ -191,8 +197,16 @@ def scan(docs: DataFrame) -> DataFrame:
             limit = F.coalesce(F.try_element_at(table, length_class(c["end"] - c["start"])), F.lit(0.0))
             return (c["p_text"] <= limit) & (c["p_random"] >= REJECT)
 
+        def holds(c: Column, s: Column) -> Column:
+            return (c["start"] <= s["start"]) & (c["end"] >= s["end"]) & (c["end"] - c["start"] > s["end"] - s["start"])
+
+        passed = F.col("passed")
+        found = found.withColumn("passed", F.filter("candidates", added))
+        # a whole token stays unless a segment of it is less likely to be text
+        outer = F.filter(passed, lambda c: ~F.exists(passed, lambda s: holds(c, s) & (s["p_text"] < c["p_text"])))
+        found = found.withColumn("outer", outer)
         random = F.transform(
-            F.filter("candidates", added),
+            F.filter("outer", lambda s: ~F.exists("outer", lambda c: holds(c, s))),
             lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
         )
     return found.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))

@@ -49,3 +49,20 @@ def test_battery_finds_random_tokens_and_leaves_text(spark, tmp_path):
     found = {r["doc_id"]: r["spans"] for r in op2_secret_scan(spark, str(tmp_path)).collect()}
     assert sum(found[k] == s for k, s in planted.items() if k % 2) >= 90
     assert sum(found[k] != "" for k in planted if not k % 2) <= 5
+
+
+def test_battery_finds_tokens_joined_to_text(spark, tmp_path):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for k in range(200):
+        token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(48))
+        before = ("https://hooks.example.com/services/T00000000/B00000000/", "live_key_", "https://example.com/api/v1/users/settings/confirm/email/")[k % 3]
+        rows.append((k, f"see {before}{token} end"))
+        want[k] = f"random:{4 + len(before)}:{52 + len(before)}"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["spans"] for r in op2_secret_scan(spark, str(tmp_path)).collect()}
+    assert sum(found[i] == s for i, s in want.items() if i % 3 == 0) >= 60
+    assert sum(found[i].endswith(":" + s.split(":")[2]) for i, s in want.items() if i % 3 == 2) >= 60  # some with the path
+    for spans in found.values():
+        ends = [tuple(map(int, s.split(":")[1:])) for s in spans.split(",") if s]
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
