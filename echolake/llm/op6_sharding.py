@@ -14,6 +14,8 @@ shards numbers at most, whatever the input.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,20 +25,38 @@ from echolake.plans.shared import materialize
 
 ROWS_PER_BLOCK = 50_000
 MAX_BLOCKS = 4096
-_EXACT = 10**9  # numpy draws exactly below this
+_NUMPY = 10**9  # its generator takes urns below this
+_SPREAD = 12
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` rows without replacement are good; any size."""
     if draws == 0 or good == 0:
         return 0
     if bad == 0:
         return draws
-    if good < _EXACT and bad < _EXACT:
+    if good < _NUMPY and bad < _NUMPY:
         return int(rng.hypergeometric(good, bad, draws))
-    n = good + bad  # beyond numpy's range the normal limit is exact to far below a row in 10^4
-    p = good / n
-    sd = (draws * p * (1 - p) * (n - draws) / max(1, n - 1)) ** 0.5
-    return int(np.clip(round(rng.normal(draws * p, sd)), max(0, draws - bad), min(draws, good)))
+    return _inverted(rng.random(), good, bad, draws)
+
+
+def _inverted(u: float, good: int, bad: int, draws: int) -> int:
+    """The same law by inversion: chances from the ratios of neighbours, outwards from the mode.
+
+    Chances more than ``_SPREAD`` deviations from it are below what a double can tell from 0.
+    """
+    n = good + bad
+    low, high = max(0, draws - bad), min(draws, good)
+    mode = (draws + 1) * (good + 1) // (n + 2)
+    sd = math.sqrt(draws * (good / n) * (bad / n) * ((n - draws) / max(1, n - 1)))
+    reach = int(_SPREAD * sd) + 20
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    rise = np.cumsum(np.log(good - up) - np.log(up + 1) + np.log(draws - up) - np.log(bad - draws + up + 1))
+    fall = np.cumsum(np.log(down) - np.log(good - down + 1) + np.log(bad - draws + down) - np.log(draws - down + 1))
+    chance = np.exp(np.concatenate([fall[::-1], [0.0], rise]))
+    chance = np.cumsum(chance)
+    return mode - len(down) + min(int(np.searchsorted(chance, u * chance[-1], "right")), len(chance) - 1)
 
 
 def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.ndarray:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from echolake.llm.op6_sharding import communication_matrix, op6_sharding, shard_sizes
+from echolake.llm.op6_sharding import _inverted, communication_matrix, op6_sharding, shard_sizes
 
 
 def test_query(spark, sf_dir, documents):
@@ -35,3 +36,15 @@ def test_matrix_has_exact_sums(blocks, shards, seed):
 def test_matrix_follows_the_hypergeometric_law():
     draws = np.array([communication_matrix([6, 4], [5, 5], s)[0, 0] for s in range(4000)])
     assert abs(draws.mean() - 3) < 0.06 and abs(draws.var() - 6 * 0.5 * 0.5 * 4 / 9 * 10 / 10) < 0.06
+
+
+def test_large_urns_are_drawn_by_the_same_law():
+    u = (np.arange(4000) + 0.5) / 4000
+    got = Counter(_inverted(x, 30, 50, 20) for x in u.tolist())
+    want = {k: math.comb(30, k) * math.comb(50, 20 - k) / math.comb(80, 20) for k in range(21)}
+    assert all(abs(got[k] / 4000 - p) < 0.001 for k, p in want.items())
+    draws = np.array([_inverted(x, 3 * 10**11, 7 * 10**11, 10**9) for x in u.tolist()])
+    sd = math.sqrt(10**9 * 0.3 * 0.7 * 0.999)
+    assert abs(draws.mean() - 3 * 10**8) < 0.05 * sd and abs(draws.std() / sd - 1) < 0.01
+    m = communication_matrix([2 * 10**9, 10**9, 5], shard_sizes(3 * 10**9 + 5, 4), 1)
+    assert m.sum(axis=1).tolist() == [2 * 10**9, 10**9, 5] and m.sum(axis=0).tolist() == shard_sizes(3 * 10**9 + 5, 4)
