@@ -2,7 +2,8 @@
 
 Counts of n-grams by language are gathered by Spark from labelled documents;
 those above zero are broadcast, at most as many as the drawn documents have
-n-grams, and numpy scores whole texts from their sparse n-gram counts.
+n-grams, and numpy multiplies the sparse n-gram counts of a batch of whole texts
+with them.
 
 The only bound: training draws about ``TRAIN_DOCS`` labelled documents by a hash
 of their id.  Languages of up to a quota are taken whole, and of each larger one
@@ -26,9 +27,10 @@ BUCKETS = 1 << 15
 TRAIN_DOCS = 20_000
 LEAST_DOCS = 100
 _HELD = 32  # languages counted in a task at a time
+_CHARS = 1 << 20  # of a batch
 ALPHA = 0.5
-#: A posterior's evidence counts as that of this many n-grams at most, so that
-#: the score of a long text stays a measure of how clear the choice is.
+#: The reported posterior counts the evidence as that of this many n-grams at most, so that
+#: the score of a long text stays a measure of how clear the choice is; the choice itself weighs all.
 EVIDENCE = 60
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -49,11 +51,15 @@ def ngram_buckets(text: str) -> np.ndarray:
 
 
 def ngram_counts(text: str) -> np.ndarray:
-    """Counts by bucket; a very long text is taken in pieces that overlap by two."""
-    step = 1 << 18
-    if len(text) <= step:
-        return np.bincount(ngram_buckets(text), minlength=BUCKETS)
-    return sum(np.bincount(ngram_buckets(text[k : k + step]), minlength=BUCKETS) for k in range(0, len(text), step))
+    """Counts by bucket of the whole text."""
+    return np.bincount(ngram_buckets(text), minlength=BUCKETS)
+
+
+def incidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sparse counts of a batch: rows, buckets and counts of the entries above zero, row by row."""
+    found = [np.unique(ngram_buckets(t), return_counts=True) for t in texts]
+    rows = np.repeat(np.arange(len(texts)), [len(b) for b, _ in found])
+    return rows, np.concatenate([b for b, _ in found]).astype(np.int64), np.concatenate([n for _, n in found]).astype(float)
 
 
 @dataclass(frozen=True)
@@ -65,22 +71,36 @@ class NaiveBayes:
     at: np.ndarray  # the place of a language
     gain: np.ndarray  # its log-probability of the bucket above log_rest
 
-    def log_likelihood(self, counts: np.ndarray) -> np.ndarray:
-        hit = np.flatnonzero(counts)
-        long = self.starts[hit + 1] - self.starts[hit]
-        place = np.repeat(self.starts[hit] - np.cumsum(long) + long, long) + np.arange(long.sum())
-        return counts.sum() * self.log_rest + np.bincount(self.at[place], np.repeat(counts[hit], long) * self.gain[place], len(self.langs))
+    def log_likelihood(self, rows: np.ndarray, buckets: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+        """The product of a batch's sparse counts (``n`` rows) with the log-probability matrix, itself held sparse."""
+        long = self.starts[buckets + 1] - self.starts[buckets]
+        place = np.repeat(self.starts[buckets] - np.cumsum(long) + long, long) + np.arange(long.sum())
+        size = len(self.langs)
+        gained = np.bincount(np.repeat(rows, long) * size + self.at[place], np.repeat(counts, long) * self.gain[place], n * size)
+        return np.bincount(rows, counts, n)[:, None] * self.log_rest + gained.reshape(n, size)
+
+    def score_batch(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The likeliest language of each text, ties by code point, and its posterior.
+
+        The posterior tempers the evidence; the choice doesn't.
+        """
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        some = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        if some:
+            entries = incidence([texts[i] for i in some])
+            ll = self.log_likelihood(*entries, len(some))
+            best = np.argmax(ll + self.log_prior, axis=1)
+            seen = np.bincount(entries[0], entries[2], len(some))
+            tempered = ll * np.minimum(1.0, EVIDENCE / seen)[:, None] + self.log_prior
+            p = np.exp(tempered - tempered.max(axis=1, keepdims=True))
+            p = p[np.arange(len(some)), best] / p.sum(axis=1)
+            for i, b, x in zip(some, best.tolist(), p.tolist(), strict=True):
+                langs[i], scores[i] = self.langs[b], x
+        return langs, scores
 
     def score(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language, ties by code point, and its tempered posterior."""
-        if not text or not self.langs or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        counts = ngram_counts(text)
-        n = int(counts.sum())
-        ll = self.log_likelihood(counts) * min(1.0, EVIDENCE / n) + self.log_prior
-        p = np.exp(ll - ll.max())
-        best = int(np.argmax(ll))
-        return self.langs[best], float(p[best] / p.sum())
+        langs, scores = self.score_batch([text])
+        return langs[0], scores[0]
 
 
 def quota(sizes: list[int], total: int = TRAIN_DOCS, least: int = LEAST_DOCS) -> int:
@@ -135,6 +155,20 @@ def train(labelled: DataFrame, seed: int = 8) -> NaiveBayes:
     return NaiveBayes(langs, np.log(docs / docs.sum()), log_rest, starts, at, np.log1p(n / ALPHA))
 
 
+def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``_CHARS`` characters, one text at least, which bounds a product's memory."""
+    part: list[str | None] = []
+    size = 0
+    for t in texts:
+        if part and size + len(t or "") > _CHARS:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
+
+
 def predict(docs: DataFrame, model: NaiveBayes, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language of ``text`` and its score from 0 to 1.
 
@@ -148,7 +182,8 @@ def predict(docs: DataFrame, model: NaiveBayes, lang: str = "lang_pred", score:
     def best(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         nb = shared.value
         for batch in texts:
-            yield pd.DataFrame([nb.score(t) for t in batch], columns=["lang", "score"])
+            parts = [nb.score_batch(part) for part in _parts(batch.tolist())]
+            yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
 
     found = docs.withColumn("__el_lang", best("text"))
     return found.select(*docs.columns, F.col("__el_lang.lang").alias(lang), F.col("__el_lang.score").alias(score))

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 
-import numpy as np
+import pytest
 
-from echolake.llm.op8_language_id import ngram_counts, op8_language_id, quota, train
+from echolake.llm.op8_language_id import BUCKETS, ngram_buckets, ngram_counts, op8_language_id, quota, train
 
 
 def test_query(spark, sf_dir, documents):
@@ -30,10 +32,33 @@ def test_held_out_accuracy(spark):
 
 
 def test_long_texts_are_counted_whole():
-    text = "abc défg " * 60_000
-    assert ngram_counts(text).sum() == ngram_counts(text[:-1]).sum()  # a last space is stripped
-    one, two = ngram_counts(text[:9000]), ngram_counts(text)
-    assert np.corrcoef(one, two)[0, 1] > 0.999
+    text = "abc d\u00e9fg " * 40_000
+    for n in (text, "ab"):
+        s = " " + " ".join(n.split()) + " "
+        assert ngram_counts(n).sum() == 3 * len(s) - 3
+    assert len(ngram_buckets(text)) == 3 * (len(text) + 1) - 3  # a last blank is stripped, one put on both ends
+
+
+def test_scores_are_those_of_plain_naive_bayes(spark):
+    """Counts, smoothing, priors and argmax in plain Python, over the same buckets."""
+    texts = [("the cat and the dog", "en"), ("el gato y el perro", "es"), ("the end", "en"), ("der hund und die katze", "de")]
+    model = train(spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    held = {x: Counter() for _, x in texts}
+    for t, x in texts:
+        held[x].update(ngram_buckets(t).tolist())
+    langs = sorted(held)
+    prior = {x: math.log(sum(y == x for _, y in texts) / len(texts)) for x in langs}
+    asked = ["a dog and a cat", "la katze", None, "12 3", "", "e", "und so weiter " * 30, "perro 99 " + "7 " * 500]
+    for t, lang, score in zip(asked, *model.score_batch(asked), strict=True):
+        if not t or not any(c.isalpha() for c in t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        grams = ngram_buckets(t).tolist()
+        ll = {x: sum(math.log((held[x][g] + 0.5) / (sum(held[x].values()) + 0.5 * BUCKETS)) for g in grams) for x in langs}
+        assert lang == max(langs, key=lambda x: ll[x] + prior[x])
+        w = {x: math.exp(ll[x] * min(1, 60 / len(grams)) + prior[x]) for x in langs}
+        assert score == pytest.approx(w[lang] / sum(w.values()))
+        assert model.score(t)[0] == lang
 
 
 def test_small_languages_are_learned(spark, monkeypatch):
