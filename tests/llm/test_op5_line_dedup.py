@@ -62,3 +62,28 @@ def test_cuckoo_filter():
     assert f.contains(keys[:2000]).all() and f.contains(keys[2000:]).mean() < 0.01
     f.delete(keys[:1000])
     assert f.contains(keys[1000:2000]).all() and f.n == 1000 and f.contains(keys[:1000]).mean() < 0.01
+
+
+def test_cuckoo_filter_of_equal_fingerprints():
+    one = np.array([[5, 9]], np.uint64)
+    keys = np.concatenate([one] * 6 + [np.random.default_rng(1).integers(0, 2**63, (50, 2)).astype(np.uint64)])
+    f = CuckooFilter.build(keys)
+    assert f.n == 56
+    f.delete(np.concatenate([one] * 5))
+    assert f.n == 51 and f.contains(keys).all()
+    f.delete(one)
+    assert not f.contains(one).any() and f.contains(keys[6:]).all()
+
+
+@pytest.mark.parametrize("limit,per_shard,per_part", [(0, 1 << 18, 1 << 20), (0, 3, 4), (1 << 20, 2, 4)])
+def test_filters_of_any_size_are_used(spark, edge_dir, monkeypatch, limit, per_shard, per_part):
+    """Broadcast or dealt by shard, many shards or few, hot shards in parts: the same rows."""
+    import pyarrow.parquet as pq
+
+    import echolake.llm.op5_line_dedup as op5
+
+    monkeypatch.setattr(op5, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(op5, "KEYS_PER_SHARD", per_shard)
+    monkeypatch.setattr(op5, "LINES_PER_PART", per_part)
+    docs = pq.read_table(f"{edge_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    assert Counter(map(tuple, op5_line_dedup(spark, edge_dir).collect())) == brute([(d["doc_id"], d["text"]) for d in docs])
