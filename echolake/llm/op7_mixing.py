@@ -7,7 +7,7 @@ each length gives its even share first, then bounded-knapsack dynamic
 programming fits the rest.  The documents of each length are chosen by a
 seeded hash of their id, so reruns agree.
 
-Only the histograms (source, length, count) meet in one task, never documents.
+Only the histogram (length, count) of a source meets in one task, never documents.
 """
 
 from __future__ import annotations
@@ -27,13 +27,14 @@ TOTAL_SHARE = 1.5
 MAX_REPEATS = 2.0
 #: The budget left to dynamic programming is of this size, or of one document.
 DP_BUDGET = 1 << 15
-_CODE = "__el_source"
+_CODE, _SIZE = "__el_source", "__el_size"
 
 
 def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int) -> np.ndarray:
-    """How many documents of each positive length to take: sum as near ``budget`` from below.
+    """How many documents of each positive length to take: sum near ``budget`` from below.
 
-    ``budget`` is below the sum of all lengths.  An even share of each length
+    It is near and not always nearest, as even shares bind most documents first;
+    less than one document is missing.  ``budget`` is below the sum of all lengths.  An even share of each length
     first, the longest of the others while the rest is large, and dynamic
     programming over what remains.
     """
@@ -81,64 +82,79 @@ def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int) -> np
     return take
 
 
+def _ordered(totals: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """``totals`` with ``w``: weights in turn by the rank of the source's code.
+
+    Codes are cut into ranges; the counts of ranges give the offsets, so ranks need no single task.
+    """
+    ranges = materialize(totals.repartitionByRange(_CODE).withColumn("__el_range", F.spark_partition_id()), "sources")
+    before = Window.orderBy("__el_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy("__el_range").agg(F.count(F.lit(1)).alias("__el_n"))  # a row a range
+    offsets = counts.withColumn("__el_at", F.coalesce(F.sum("__el_n").over(before), F.lit(0))).drop("__el_n")
+    rank = F.row_number().over(Window.partitionBy("__el_range").orderBy(_CODE)) - 1 + F.col("__el_at")
+    turn = F.pmod(rank, F.lit(len(weights))).cast("int")
+    return ranges.join(F.broadcast(offsets), "__el_range").withColumn("w", F.get(F.array(*[F.lit(float(w)) for w in weights]), turn)).drop("__el_range", "__el_at")
+
+
 def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """(source code, source_size) with ``target``: weights share ``TOTAL_SHARE`` of all.
 
     No target is above ``MAX_REPEATS`` times its source's size; the excess goes
-    to the others by weight.  In closed form: sort by size over weight, and the
-    level at which the rest is shared is the first that caps no later source (the largest such one).
+    to the others by weight, round after round until none is above.  A round is
+    one aggregate over the sources.
     """
-    every = Window.orderBy(_CODE)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(every) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = totals.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(MAX_REPEATS))
-    up = Window.orderBy(F.col("cap") / F.col("w"), _CODE)
-    whole = Window.partitionBy()
-    t = (
-        t.withColumn("goal", F.sum("source_size").over(whole) * F.lit(TOTAL_SHARE))
-        .withColumn("below", F.coalesce(F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("above", F.sum("w").over(up.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("goal") - F.col("below")) / F.col("above"))
-        .withColumn("ends", F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(whole))
-    )
-    target = F.least(F.col("cap"), F.coalesce(F.col("ends") * F.col("w"), F.col("cap")))
-    return t.select(_CODE, "source_size", target.alias("target"))
+    t = materialize(_ordered(totals, weights).withColumn("cap", F.col("source_size") * F.lit(MAX_REPEATS)), "weights")
+    goal = float(t.agg(F.sum("source_size")).first()[0] or 0) * TOTAL_SHARE
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("cap") < F.col("w") * F.lit(level)
+        row = t.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        if row[0] == n_full or not row[2]:
+            break
+        n_full, level = row[0], (goal - (row[1] or 0.0)) / row[2]
+    return t.select(_CODE, "source_size", F.least("cap", F.col("w") * F.lit(level)).alias("target"))
 
 
-def mix(df: DataFrame, size: str, source: str, key: str, seed: int = 7) -> DataFrame:
-    """``df`` with ``source_size``, ``target`` and ``times``, how often the mix takes the row.
+def mix(df: DataFrame, size: str, source: str, key: str, seed: int = 7, out: Sequence[str] = ("source_size", "target", "times")) -> DataFrame:
+    """``df`` with ``out``: the source's size, its target, and how often the mix takes the row.
 
     Sources are ordered by code point, null last.  Rows of size 0 are taken as
-    often as a whole pass; an empty table gives an empty one.  ``df`` is read
-    more than once.
+    often as a whole pass; an empty table gives an empty one.  Rows equal in
+    ``key`` may swap places; a column of ``out`` that is there already raises an
+    error, other columns never matter.  ``df`` is read more than once.
     """
+    if clash := set(out) & set(df.columns):
+        raise ValueError(f"there are columns {sorted(clash)} already")
     coded = df.withColumn(_CODE, F.concat(F.when(F.col(source).isNull(), "1").otherwise("0"), F.coalesce(F.col(source), F.lit(""))))
-    histogram = materialize(coded.groupBy(_CODE, F.col(size).alias("__el_size")).agg(F.count(F.lit(1)).alias("n")), "lengths")
+    histogram = materialize(coded.groupBy(_CODE, F.col(size).alias(_SIZE)).agg(F.count(F.lit(1)).alias("n")), "lengths")
     total = histogram.agg(F.sum("n")).first()[0] or 0
-    totals = histogram.groupBy(_CODE).agg(F.sum(F.col("__el_size") * F.col("n")).alias("source_size"))
+    totals = histogram.groupBy(_CODE).agg(F.sum(F.col(_SIZE) * F.col("n")).alias("source_size"))
     targets = source_targets(totals)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         whole, goal = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         passes = int(goal // whole) if whole else 0
-        pdf = pdf.sort_values("__el_size", ignore_index=True)
-        some = (pdf["__el_size"] > 0).to_numpy()
+        pdf = pdf.sort_values(_SIZE, ignore_index=True)
+        some = (pdf[_SIZE] > 0).to_numpy()
         extra = np.zeros(len(pdf), np.int64)
-        extra[some] = fit_budget(pdf["__el_size"][some].tolist(), pdf["n"][some].tolist(), int(goal + 1e-6) - passes * whole)
-        return pdf.assign(passes=passes, extra=extra)[[_CODE, "__el_size", "source_size", "target", "passes", "extra"]]
+        extra[some] = fit_budget(pdf[_SIZE][some].tolist(), pdf["n"][some].tolist(), int(goal + 1e-6) - passes * whole)
+        return pdf.assign(passes=passes, extra=extra)[[_CODE, _SIZE, "source_size", "target", "passes", "extra"]].set_axis(chosen_names, axis=1)
 
-    schema = f"{_CODE} string, __el_size long, source_size long, target double, passes int, extra long"
+    chosen_names = [_CODE, _SIZE, "__el_whole", "__el_target", "__el_passes", "__el_extra"]
+    schema = ", ".join(f"{c} {t}" for c, t in zip(chosen_names, ("string", "long", "long", "double", "int", "long"), strict=True))
     chosen = materialize(histogram.join(targets, _CODE).groupBy(_CODE).applyInPandas(fit, schema), "chosen")
     ranked = exact_rank(
-        coded.withColumn("__el_size", F.col(size).cast("long")),
-        [_CODE, "__el_size"],
+        coded.withColumn(_SIZE, F.col(size).cast("long")),
+        [_CODE, _SIZE],
         F.xxhash64(F.col(key), F.lit(seed)),
         [key],
         "__el_rank",
         total,
         key_values=chosen,
     )
-    times = F.col("passes") + F.when(F.col("__el_rank") < F.col("extra"), 1).otherwise(0)
-    return ranked.select(*df.columns, "source_size", "target", times.cast("int").alias("times"))
+    times = F.col("__el_passes") + F.when(F.col("__el_rank") < F.col("__el_extra"), 1).otherwise(0)
+    found = (F.col("__el_whole"), F.col("__el_target"), times.cast("int"))
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for c, n in zip(found, out, strict=True)])
 
 
 def word_count(text: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from echolake.llm.op7_mixing import fit_budget, op7_mixing
+from echolake.llm.op7_mixing import fit_budget, mix, op7_mixing, source_targets
 
 
 def targets(sizes: dict) -> dict:
@@ -64,3 +64,22 @@ def test_fit_is_exact_where_lengths_are_many():
     counts = rng.integers(1, 50, len(lengths))
     budget = int((lengths * counts).sum() * 0.37)
     assert int((fit_budget(lengths, counts, budget) * lengths).sum()) == budget
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(2)
+    sizes = {f"s{k:04}": int(n) for k, n in enumerate(rng.integers(0, 50, 700) ** 3)} | {None: 9}
+    code = lambda s: "1" if s is None else "0" + s
+    rows = spark.createDataFrame([(code(s), n) for s, n in sizes.items()], "__el_source string, source_size long")
+    found = {r[0]: r[2] for r in source_targets(rows).collect()}
+    want = targets(sizes)
+    assert all(found[code(s)] == pytest.approx(want[s], abs=1e-6) for s in sizes)
+
+
+def test_other_columns_never_matter(spark):
+    rows = [(k, k % 9, "ab"[k % 2], 1.5, "x", 2, 3, 4, 5) for k in range(60)]
+    names = ["doc_id", "size", "source", "target", "source_size", "passes", "extra", "w", "n"]
+    out = mix(spark.createDataFrame(rows, names), "size", "source", "doc_id", out=("a", "b", "c"))
+    assert out.columns == [*names, "a", "b", "c"] and Counter(tuple(r)[:9] for r in out.collect()) == Counter(rows)
+    with pytest.raises(ValueError, match="target"):
+        mix(spark.createDataFrame(rows, names), "size", "source", "doc_id")
