@@ -5,9 +5,13 @@ table, a program map table, and elementary packets whose headers carry a
 timestamp and whose first transport packet is marked as a random-access point.
 ``demux`` reads such a stream back: it follows the program tables, checks the
 continuity counters, reassembles the elementary packets and returns payload,
-timestamps and random-access points.  Both are row-wise, so no shuffle.
+timestamps and random-access points.  It reads any stream: header lengths are
+followed, tables may span packets, packets without payload and repeated packets
+are no faults.  Both are row-wise, so no shuffle.
 
-Null media give null outputs; a null payload is stored as an empty one.
+Null media give null outputs; a null payload is stored as an empty one.  A value
+that is no transport stream, or whose program tables are damaged, has an
+``error`` and null for the rest.
 """
 
 from __future__ import annotations
@@ -66,10 +70,15 @@ def _timestamp(t: int) -> bytes:
     return struct.pack(">BHH", 0x21 | (t >> 29) & 0x0E, (t >> 14) & 0xFFFE | 1, (t << 1) & 0xFFFE | 1)
 
 
-def _packets(pes: bytes, counter: int) -> np.ndarray:
-    """The transport packets of one elementary packet."""
+def _clock(t: int) -> bytes:
+    """A program clock reference at a timestamp."""
+    return struct.pack(">IH", t >> 1, (t & 1) << 15 | 0x7E00)
+
+
+def _packets(pes: bytes, counter: int, clock: int) -> np.ndarray:
+    """The transport packets of one elementary packet; the first carries the clock."""
     size = len(pes)
-    first = min(BODY - 2, size)
+    first = min(BODY - 8, size)
     rest = -(-(size - first) // BODY)
     out = np.full((1 + rest, PACKET), 0xFF, np.uint8)
     out[:, 0] = SYNC
@@ -79,7 +88,8 @@ def _packets(pes: bytes, counter: int) -> np.ndarray:
     out[0, 1] |= 0x40
     out[0, 3] |= 0x20
     out[0, 4] = BODY - 1 - first
-    out[0, 5] = 0x40  # random-access point
+    out[0, 5] = 0x50  # random-access point, clock reference
+    out[0, 6:12] = np.frombuffer(_clock(clock), np.uint8)
     raw = np.frombuffer(pes, np.uint8)
     out[0, PACKET - first :] = raw[:first]
     full = (size - first) // BODY
@@ -100,54 +110,150 @@ def mux_bytes(payload: bytes) -> bytes:
     for k, at in enumerate(range(0, max(1, len(payload)), PES_PAYLOAD)):
         piece = payload[at : at + PES_PAYLOAD]
         head = struct.pack(">IHBBB", 0x100 | PRIVATE_STREAM_1, PES_HEADER - 6 + len(piece), 0x80, 0x80, 5)
-        packets = _packets(head + _timestamp(k * STEP % 2**33) + piece, counter)
+        packets = _packets(head + _timestamp(k * STEP % 2**33) + piece, counter, k * STEP % 2**33)
         counter += len(packets)
         parts.append(packets.tobytes())
     return b"".join(parts)
 
 
-def _section(packet: np.ndarray, table: int) -> bytes:
-    raw = packet.tobytes()
-    at = 5 + raw[4]
-    size = 3 + (struct.unpack_from(">H", raw, at + 1)[0] & 0x0FFF)
-    section = raw[at : at + size]
-    if raw[at] != table or crc_mpeg(section):
+def _starts(packets: np.ndarray) -> np.ndarray:
+    """Where each packet's payload begins; ``PACKET`` where it has none."""
+    control = packets[:, 3] >> 4 & 3
+    extended = 5 + packets[:, 4].astype(np.int32)
+    return np.where(control == 1, 4, np.where(control == 3, np.minimum(extended, PACKET), PACKET))
+
+
+def _sections(packets: np.ndarray, table: int) -> list[bytes]:
+    """The sections of one table id, each put together from as many packets as it takes."""
+    out: list[bytes] = []
+    held: bytearray | None = None
+    for raw, start in zip(packets, _starts(packets).tolist(), strict=True):
+        body = raw[start:].tobytes()
+        if not body:
+            continue
+        parts = [body]
+        if raw[1] & 0x40:  # a pointer field: what it skips ends the section before
+            parts = [body[1 : 1 + body[0]], body[1 + body[0] :]]
+        for k, part in enumerate(parts):
+            if k == len(parts) - 1 and raw[1] & 0x40:
+                held = bytearray()
+            if held is None:
+                continue
+            held += part
+            while len(held) >= 3 and held[0] != 0xFF:
+                size = 3 + (struct.unpack_from(">H", held, 1)[0] & 0x0FFF)
+                if len(held) < size:
+                    break
+                out.append(bytes(held[:size]))
+                del held[:size]
+            if held and held[0] == 0xFF:
+                held = None  # stuffing up to the next pointer
+    found = [x for x in out if x[0] == table and not crc_mpeg(x)]
+    if not found:
         raise ValueError("damaged program table")
-    return section
+    return found
+
+
+def _programs(sections: list[bytes]) -> list[int]:
+    """PIDs of the program maps; program 0 is the network's table."""
+    pairs = [struct.unpack_from(">HH", x, k) for x in sections for k in range(8, len(x) - 4, 4)]
+    return [pid & 0x1FFF for program, pid in pairs if program]
+
+
+def _streams(section: bytes) -> list[tuple[int, int]]:
+    """(stream type, PID) of a program map, whose descriptors are skipped by their lengths."""
+    at, out = 12 + (struct.unpack_from(">H", section, 10)[0] & 0x0FFF), []
+    while at + 5 <= len(section) - 4:
+        kind, pid, size = struct.unpack_from(">BHH", section, at)
+        out.append((kind, pid & 0x1FFF))
+        at += 5 + (size & 0x0FFF)
+    return out
+
+
+def _pes(raw: bytes) -> tuple[bytes, int | None] | None:
+    """(payload, timestamp) of an elementary packet; None for a damaged or cut one."""
+    if len(raw) < 9 or raw[:3] != b"\0\0\1":
+        return None
+    size, flags, more = struct.unpack_from(">H", raw, 4)[0], raw[7], raw[8]
+    end = 6 + size if size else len(raw)  # a size of 0: up to the next one
+    if end > len(raw) or 9 + more > end:
+        return None
+    stamp = None
+    if flags & 0x80 and more >= 5:
+        a, b, c = struct.unpack_from(">BHH", raw, 9)
+        stamp = (a & 0x0E) << 29 | (b & 0xFFFE) << 14 | c >> 1
+    return raw[9 + more : end], stamp
 
 
 def demux_bytes(media: bytes) -> dict:
+    """What the first stream of the first program holds.
+
+    A packet repeated once as it is counts once; packets without payload leave
+    the counter as it is; after an announced discontinuity any counter is right.
+    An elementary packet that isn't whole is left out and counted.
+    """
+    if len(media) % PACKET or len(media) < 2 * PACKET:
+        raise ValueError("not a transport stream")
     packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if len(packets) < 2 or (packets[:, 0] != SYNC).any():
+    if (packets[:, 0] != SYNC).any():
         raise ValueError("not a transport stream")
     pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    pmt = struct.unpack_from(">H", _section(packets[np.argmax(pid == PAT_PID)], 0x00), 10)[0] & 0x1FFF
-    kind, es = struct.unpack_from(">BH", _section(packets[np.argmax(pid == pmt)], 0x02), 12)
-    es &= 0x1FFF
+    maps = _programs(_sections(packets[pid == PAT_PID], 0x00))
+    streams = _streams(_sections(packets[pid == maps[0]], 0x02)[0]) if maps else []
+    if not streams:
+        raise ValueError("damaged program table")
+    kind, es = streams[0]
     own = packets[pid == es]
-    errors = int(((np.diff(own[:, 3].astype(np.int16) & 15) - 1) % 16 != 0).sum())
-    extended = (own[:, 3] & 0x20) > 0
-    start = np.where(extended, 5 + own[:, 4].astype(np.int32), 4)
-    begins = (own[:, 1] & 0x40) > 0
-    marked = extended & (own[:, 4] > 0) & ((own[:, 5] & 0x40) > 0)
-    body = own[np.arange(PACKET) >= start[:, None]].tobytes()
-    at = np.concatenate([[0], np.cumsum(PACKET - start)])[:-1]
-    pieces, stamps = [], []
-    for p in at[begins].tolist():
-        size = struct.unpack_from(">H", body, p + 4)[0]
-        a, b, c = struct.unpack_from(">BHH", body, p + 9)
-        stamps.append((a & 0x0E) << 29 | (b & 0xFFFE) << 14 | c >> 1)
-        pieces.append(body[p + PES_HEADER : p + 6 + size])
+    start, counter = _starts(own), own[:, 3].astype(np.int16) & 15
+    extended = ((own[:, 3] & 0x20) > 0) & (own[:, 4] > 0)
+    announced = extended & ((own[:, 5] & 0x80) > 0)
+    full = np.flatnonzero(start < PACKET)
+    step = np.diff(counter[full]) % 16
+    twin = np.concatenate([[False], step == 0]) if len(full) else np.zeros(0, bool)
+    if twin.any():  # one copy of a packet is allowed, all but its clock reference alike
+        at = np.flatnonzero(twin)
+        same = np.array([bool((own[full[i], start[full[i]] :] == own[full[i - 1], start[full[i]] :]).all()) and start[full[i]] == start[full[i - 1]] and not twin[i - 1] for i in at])
+        twin[at[~same]] = False
+    held = full[~twin]
+    gaps = np.diff(counter[held]) % 16 != 1
+    # an announcement stands in the packet itself or in one without payload since the last
+    told = np.concatenate([[0], np.cumsum(announced)])
+    gaps &= told[held[1:] + 1] == told[held[:-1] + 1]
+    begins = (own[held, 1] & 0x40) > 0
+    marked = extended[held] & ((own[held, 5] & 0x40) > 0)
+    body = own[held][np.arange(PACKET) >= start[held][:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(PACKET - start[held])])
+    lost = np.concatenate([[False], gaps]) if len(held) else np.zeros(0, bool)
+    heads = np.flatnonzero(begins)
+    pieces, stamps, random_access, damaged = [], [], [], 0
+    for i, k in enumerate(heads.tolist()):
+        upto = int(heads[i + 1]) if i + 1 < len(heads) else len(held)
+        got = None if lost[k + 1 : upto].any() else _pes(body[ends[k] : ends[upto]])
+        if got is None:
+            damaged += 1
+            continue
+        pieces.append(got[0])
+        stamps.append(got[1])
+        if marked[k]:
+            random_access.append(int(held[k]))
     return {
         "payload": b"".join(pieces),
         "timestamps": stamps,
-        "random_access": [int(x) for x in np.flatnonzero(marked)],
+        "random_access": random_access,
         "packets": len(packets),
         "stream_type": int(kind),
-        "continuity_errors": errors,
+        "continuity_errors": int(gaps.sum()),
+        "damaged": damaged,
     }
 
 
+def _read(media: bytes) -> dict:
+    try:
+        return demux_bytes(media)
+    except ValueError as e:
+        return {"error": str(e)}
+
+
 DEMUXED = T.StructType(
     [
         T.StructField("payload", T.BinaryType()),
@@ -156,6 +262,8 @@ DEMUXED = T.StructType(
         T.StructField("packets", T.LongType()),
         T.StructField("stream_type", T.IntegerType()),
         T.StructField("continuity_errors", T.LongType()),
+        T.StructField("damaged", T.LongType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 
@@ -193,9 +301,11 @@ def demux(df: DataFrame, media: str = "media", out: str = "stream") -> DataFrame
             ("packets", pa.int64()),
             ("stream_type", pa.int32()),
             ("continuity_errors", pa.int64()),
+            ("damaged", pa.int64()),
+            ("error", pa.string()),
         ]
     )
-    return _batched(df, media, T.StructField(out, DEMUXED), lambda x: None if x is None else demux_bytes(x), kind)
+    return _batched(df, media, T.StructField(out, DEMUXED), lambda x: None if x is None else _read(x), kind)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +332,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2(F.col("media"), 256).alias("media_sha256"),
         F.format_string(
-            "packets=%d;pes=%d;pts=%d-%d;rap=%d;type=%d;cc_errors=%d",
+            "packets=%d;pes=%d;pts=%d-%d;rap=%d;type=%d;cc_errors=%d;damaged=%d",
             s["packets"], F.size(s["timestamps"]), F.element_at(s["timestamps"], 1), F.element_at(s["timestamps"], -1),
-            F.size(s["random_access"]), s["stream_type"], s["continuity_errors"],
+            F.size(s["random_access"]), s["stream_type"], s["continuity_errors"], s["damaged"],
         ).alias("feature"),
     )
