@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 
-from echolake.llm.op9_embedding_dedup import multiply, near_duplicates, op9_embedding_dedup
+from echolake.llm.op9_embedding_dedup import ORACLE_SQL, bucket_codes, hyperplanes, multiply, near_duplicates, op9_embedding_dedup, plan
 
 
 def brute(rows: list[tuple], threshold: float = 0.9) -> Counter:
@@ -66,3 +66,34 @@ def test_blocks_count_each_pair_once():
     both[:25] += multiply(0, block(a), None, 0.5)[0]
     both[25:] += multiply(0, block(b), None, 0.5)[0]
     assert (both == near.sum(axis=1)).all()
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
+    want = Counter(duckdb.sql(ORACLE_SQL).fetchall())
+    assert Counter(map(tuple, op9_embedding_dedup(spark, d).collect())) == want
+
+
+def test_codes_are_the_same_in_any_batch():
+    rng = np.random.default_rng(7)
+    x, planes = rng.standard_normal((500, 64)), hyperplanes(64, 9, 20)
+    whole = bucket_codes(x, planes, 9)
+    assert all((bucket_codes(x[k : k + 1], planes[:, : 7 * 9], 9) == whole[k, :7]).all() for k in range(500))
+
+
+def test_tables_grow_slowly():
+    assert plan(1) == plan(200_000) and plan(200_000)[0] == 8
+    assert plan(10**9)[1] < 8 * plan(200_000)[1]
+
+
+def test_doubles_that_floats_cannot_hold(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(16)
+    rows = [(k, (base + 0.05 * rng.standard_normal(16)).tolist()) for k in range(20)]
+    rows += [(50 + k, np.float32(base + 0.05 * rng.standard_normal(16)).astype(float).tolist()) for k in range(20)] + [(90, (base * 1e300).tolist()), (91, (base * 1e-200).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r[0]: (r[1], r[2], bool(r[3])) for r in near_duplicates(df, "vec_id", "embedding").collect()}
+    assert found == {d: (41, 0, d == 0) for d, _ in rows}
