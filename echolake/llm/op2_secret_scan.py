@@ -57,27 +57,45 @@ TEXT_COINCIDENCE = 0.065
 _BIN = 0.05  # of -log10 p
 _BINS = 400
 _MAX_CLASS = 24
+_CHUNK = 256
 _SPAN = "array<struct<start:int,end:int,hit:string,part:string>>"
 
 
 def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost matches that don't overlap: (start, end, hit, part), in code points."""
-    regex = F.lit(pattern)
-    zipped = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, regex, F.lit(0)), F.regexp_extract_all(text, regex, F.lit(group)))
+    """Leftmost matches that don't overlap: (start, end, hit, part), in code points.
+
+    Places are running sums over gaps and matches, taken in chunks of ``_CHUNK``
+    and then over the chunks, so a text of many matches costs no square of them.
+    """
+    zipped = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     none = F.array().cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
-        gap, hit, part = x.getField("0"), x.getField("1"), x.getField("2")
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(hit)
-        span = F.struct(start.alias("start"), end.alias("end"), hit.alias("hit"), part.alias("part"))
-        more = F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).cast(_SPAN).alias("found"))
-        return F.when(hit.isNull(), acc).otherwise(more)
-
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda a: a["found"])
+        start = acc["at"] + F.length(x["0"])
+        end = start + F.length(x["1"])
+        part = x["1"] if group == 0 else F.regexp_extract(x["1"], pattern, group)
+        span = F.struct(start.alias("start"), end.alias("end"), x["1"].alias("hit"), part.alias("part"))
+        more = F.struct(end.alias("at"), F.array_append(acc["found"], span).cast(_SPAN).alias("found"))
+        return F.when(x["1"].isNull(), acc).otherwise(more)
+
+    def spans(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("found")), step, lambda a: a["found"])
+
+    def chunked(z: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / _CHUNK).cast("int")), lambda k: F.slice(z, k * _CHUNK + 1, F.lit(_CHUNK)))
+        return _let(chunks, lambda c: F.flatten(F.zip_with(c, _offsets(c), spans)))
+
+    found = F.when(F.size(zipped) <= _CHUNK, spans(zipped, F.lit(0))).otherwise(_let(zipped, chunked))
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
+def _offsets(chunks: Column) -> Column:
+    """Where each chunk of (gap, hit) begins."""
+    long = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x["0"]) + F.coalesce(F.length(x["1"]), F.lit(0))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(long, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -100,7 +118,7 @@ def _encoding(token: Column, field: int) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """Struct (encoding, chi_squared, p_uniform, p_runs, p_serial, p_random, p_text) of a token."""
+    """Struct (chi_squared, p_uniform, p_runs, p_serial, p_random, p_text) of a token."""
 
     def tests(v: Column) -> Column:
         a, x = v["alphabet"], v["codes"]

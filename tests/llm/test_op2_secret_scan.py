@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-from echolake.llm.op2_secret_scan import op2_secret_scan
+import pytest
+from pyspark.sql import functions as F
+
+from echolake.llm.op2_secret_scan import ENCODINGS, battery, discovery_thresholds, find_spans, op2_secret_scan
 
 KINDS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -66,3 +70,54 @@ def test_battery_finds_tokens_joined_to_text(spark, tmp_path):
     for spans in found.values():
         ends = [tuple(map(int, s.split(":")[1:])) for s in spans.split(",") if s]
         assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_many_spans_of_one_text(spark):
+    pattern = r"[a-f]{2,}(x*)"
+    texts = ["\u00e9 " + "ab! cdxx\U0001f600" * n + tail for n in (0, 1, 127, 128, 129, 256, 1000) for tail in ("", " zz", "aa")] + ["", "abab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", find_spans(F.col("text"), pattern, 1).alias("s"))
+    found = {r["k"]: [tuple(x) for x in r["s"]] for r in rows.collect()}
+    assert found == {k: [(m.start(), m.end(), m[0], m[1]) for m in re.finditer(pattern, t)] for k, t in enumerate(texts)}
+
+
+def test_battery_against_plain_python(spark):
+    rng = random.Random(8)
+    alphabet = {e[0]: e[2] for e in ENCODINGS}
+    tokens = ["".join(rng.choice(alphabet[e]) for _ in range(n)) for e in alphabet for n in (20, 33, 64)]
+    tokens += ["internationalisation", "a" * 30, "01" * 20, "TelecommunicationEquipment/Representation"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", battery(F.col("t")).alias("b")).collect()
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    for r in rows:
+        t, b = r["t"], r["b"]
+        a = next(e[2] for e in ENCODINGS if re.search(e[1], t))
+        x, n, size = [a.index(c) for c in t], len(t), len(a)
+        chi = sum((x.count(k) - n / size) ** 2 / (n / size) for k in range(size))
+        df = size - 1
+        uniform = tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+        high = [c > (size - 1) / 2 for c in x]
+        expected = 2 * sum(high) * (n - sum(high)) / n
+        spread = expected * (expected - 1) / (n - 1)
+        runs = 2 * tail(abs(sum(p != q for p, q in zip(high, high[1:], strict=False)) - expected) / math.sqrt(spread)) if spread > 0 else 0
+        mean = sum(x) / n
+        var = sum((c - mean) ** 2 for c in x)
+        serial = 2 * tail(abs(sum((p - mean) * (q - mean) for p, q in zip(x, x[1:], strict=False)) / var + 1 / n) * math.sqrt(n)) if var else 2 * tail((1 + 1 / n) * math.sqrt(n))
+        excess = n * max(size * 0.065 - 1, 0.5)
+        text = 1 - tail((chi - df - excess) / math.sqrt(2 * (df + 2 * excess)))
+        want = (chi, uniform, runs, serial, min(1, 3 * min(uniform, runs, serial)), text)
+        assert tuple(b) == pytest.approx(want, abs=1e-5, rel=1e-6)
+
+
+def test_discoveries_against_the_exact_rule(spark):
+    """Binned upwards: never looser than Benjamini-Hochberg, and stricter by a bin at most."""
+    rng = random.Random(9)
+    rows = [(rng.choice([20, 40, 70]), 10 ** -(rng.random() * 12 if rng.random() < 0.3 else rng.random())) for _ in range(900)]
+    found = discovery_thresholds(spark.createDataFrame(rows, "length int, p_text double"))
+    held = defaultdict(list)
+    for n, p in rows:
+        held[int(math.log2(n))].append(p)
+    for cls, ps in held.items():
+        ps.sort()
+        passed = [p for k, p in enumerate(ps, 1) if p <= 0.05 * k / len(ps)]
+        mine = [p for p in ps if p <= found.get(cls, 0)]
+        strict = [p for k, p in enumerate(ps, 1) if p * 10**0.05 <= 0.05 * k / len(ps)]
+        assert len(strict) - 1 <= len(mine) <= len(passed)
