@@ -9,16 +9,17 @@ and b at similarity s differs in at most (1 - s) / (1 + s) * (a + b) n-grams.
    blocks by the hash of each of its first segments, one more than may differ.
    Unlike single n-grams, whole segments seldom agree because of a common
    passage.
-2. In each block, rows are first compared with one pivot; that joins groups of
-   copies, however large, without their pairs.
-3. Blocks that still hold several components are cut into parts of a bounded
-   number of rows, and pairs of parts are compared inside a task: by size, then
-   by parity sketches (the bits in which two sketches differ are at most the
-   n-grams in which the rows differ).  A task returns a spanning forest of the
-   pairs that remain, not the pairs.
-4. Overlap counts of these pairs are accumulated in sparse products of a
-   block's rows with its pivot.  Pairs of components that are then still apart,
-   where a pair of the forest was no link after all, are counted one by one.
+2. In each block, the rows are first multiplied with one pivot; that joins groups
+   of copies, however large, without their pairs.
+3. In blocks that still hold several components, the rows outside the pivot's
+   component meet all others, in pairs of parts of a bounded number of rows: by
+   size, then by parity sketches (the bits in which two sketches differ are at
+   most the n-grams in which the rows differ).  A task returns a spanning forest
+   of the pairs that remain, and their overlap counts are accumulated in
+   products of a block's rows with its pivots.
+4. Where a pair of a forest was no link after all, the n-grams of the block's
+   rows themselves meet by parts, and a task returns a spanning forest of the
+   links in the product of two parts.
 5. A link never leaves its component.  To count all links, the rows of each
    component are cut into parts, and each pair of parts is one sparse product
    inside a task, which returns the number of links of each row.
@@ -33,9 +34,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolake.llm.components import connected_components
@@ -45,7 +47,7 @@ SKETCH_BITS = 512  # at least; longer sets have one or two bits an n-gram
 ROWS_PER_PRODUCT = 256
 ROWS_PER_PART = 1024
 NGRAMS_PER_PART = 1 << 21
-_BLOOM_BITS = 1 << 25
+_BITMAP = (20, 27)  # powers of two of bits: 16 MB at most
 _CACHE_WORDS = 300_000
 _U = np.uint64
 
@@ -188,12 +190,13 @@ def _incidence(docs: DataFrame, n: int, bounds: Bounds) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _bloom(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size (4 MB) that holds all ids; where it is full it filters nothing."""
-    place = F.pmod(F.xxhash64(column), F.lit(_BLOOM_BITS))
+def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with 16 bits an id, of bounded size, that holds all ids; where it is full it filters nothing."""
+    power = min(max((16 * ids.count()).bit_length(), _BITMAP[0]), _BITMAP[1])
+    place = F.pmod(F.xxhash64(column), F.lit(1 << power))
     words = ids.select(F.shiftright(place, 5).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), 32) as int))").alias("bit"))
     found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(_BLOOM_BITS // 32, np.uint32)
+    out = np.zeros(1 << power - 5, np.uint32)
     out[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
     return out
 
@@ -201,7 +204,8 @@ def _bloom(ids: DataFrame, column: str) -> np.ndarray:
 def _items(docs: DataFrame, ids: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """(set_id, items): the n-grams of the sets of ``ids`` and of some more; copies may repeat."""
     wanted = sets.join(ids.select("set_id").distinct(), "set_id", "left_semi").select("doc_id")
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, "doc_id"))
+    found = _bitmap(wanted, "doc_id")
+    bitmap = docs.sparkSession.sparkContext.broadcast(found)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
@@ -211,15 +215,24 @@ def _items(docs: DataFrame, ids: DataFrame, sets: DataFrame, n: int) -> DataFram
             found = {xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63): s.tobytes() for s in found if len(s)}
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], names=["set_id", "items"])
 
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(_BLOOM_BITS))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(32 * len(found)))
     return docs.select(place.alias("p"), "text").mapInArrow(read, "set_id long, items binary")
 
 
+def overlaps(rows: list[np.ndarray], pivot: np.ndarray) -> np.ndarray:
+    """Overlap counts of a block of rows (sorted, distinct) with a pivot row: one sparse product."""
+    ends = np.cumsum([0, *map(len, rows)])
+    items = np.concatenate(rows)
+    at = np.searchsorted(pivot, items)
+    at[at == len(pivot)] = 0
+    return np.bincount(np.repeat(np.arange(len(rows)), np.diff(ends))[pivot[at] == items], minlength=len(rows))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bounds: Bounds) -> DataFrame:
     """The pairs (x, pivot) whose overlap count reaches the bound.
 
     Rows of one pivot form blocks of about ``ROWS_PER_PRODUCT``; the pivot's row is
-    copied to each.  A block is streamed: the pivot first, then row by row.
+    copied to each, and a block is one product.
     """
     if not pairs.take(1):
         return pairs
@@ -230,25 +243,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bounds
     full = _items(docs, dealt, sets, n).join(dealt, "set_id").repartition("pivot", "block").sortWithinPartitions("pivot", "block", "turn")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, row, last = None, np.zeros(0, np.uint64), None
+        key, pivot, rows = None, np.zeros(0, np.uint64), {}
+
+        def linked() -> list[int]:
+            near = {x: r for x, r in rows.items() if bounds.fit(len(r), len(pivot))}
+            if not near:
+                return []
+            common, sizes = overlaps(list(near.values()), pivot), np.array([len(r) for r in near.values()])
+            return np.array(list(near))[bounds.linked(common, sizes, len(pivot))].tolist()
+
+        def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "pivot"])
+
         for batch in batches:
-            kept: set[tuple[int, int]] = set()
+            out: list[tuple[int, int]] = []
             ids, pivots, blocks, turns, items = (batch.column(batch.schema.get_field_index(c)) for c in ("set_id", "pivot", "block", "turn", "items"))
             for i, (x, p, b, t) in enumerate(zip(ids.to_pylist(), pivots.to_pylist(), blocks.to_pylist(), turns.to_pylist(), strict=True)):
+                if (p, b) != key:
+                    out += [(y, key[0]) for y in linked()] if rows else []
+                    key, rows = (p, b), {}
+                row = np.frombuffer(items[i].as_py(), np.uint64)
                 if t == 0:
-                    if head != (p, b):
-                        head, row = (p, b), np.frombuffer(items[i].as_py(), np.uint64)
-                    continue
-                if last == (x, p):
-                    continue  # a copy of the row before
-                last = (x, p)
-                other = np.frombuffer(items[i].as_py(), np.uint64)
-                at = np.searchsorted(row, other)
-                at[at == len(row)] = 0
-                if bounds.linked(int((row[at] == other).sum()), len(row), len(other)):
-                    kept.add((x, p))
-            a, b = zip(*kept, strict=True) if kept else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["x", "pivot"])
+                    pivot = row
+                else:
+                    rows[x] = row  # copies are one row
+            yield packed(out)
+        if rows:
+            yield packed([(y, key[0]) for y in linked()])
 
     return full.mapInArrow(multiply, "x long, pivot long").distinct()
 
@@ -312,51 +334,87 @@ def spanning_forest(roots: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tup
     return out
 
 
-def _between(blocks: DataFrame, roots: DataFrame, sets: DataFrame, bounds: Bounds, whole: bool) -> DataFrame:
-    """Pairs (x, pivot) of rows of a block in different components that may link.
+def _met(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, lo, hi, part, set_id, root): pairs of parts of the rows of blocks that hold several components.
 
-    A spanning forest of them in each pair of parts, or with ``whole`` all.
+    Rows of the pivot's component, often all but a few, meet only the others.
     """
     named = blocks.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    ends = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / ROWS_PER_PART).cast("int").alias("parts"))
-    mixed = named.join(ends.where("lo <> hi").select("key", "parts"), "key")
-    dealt = mixed.withColumn("part", F.pmod(F.xxhash64("set_id"), "parts").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "met").alias("lo"), F.greatest("part", "met").alias("hi"), "part", "set_id", "root")
+    ends = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "set_id").alias("main")).where("lo <> hi")
+    mixed = named.join(ends.select("key", "main"), "key").withColumn("other", F.col("root") != F.col("main"))
+    size = lambda c: F.ceil(F.count_if(c) / ROWS_PER_PART).cast("int")
+    mixed = mixed.join(mixed.groupBy("key").agg(size(F.col("other")).alias("others"), size(~F.col("other")).alias("mains")), "key")
+    hashed = F.xxhash64("set_id")
+    part = F.when(F.col("other"), F.pmod(hashed, "others")).otherwise(F.pmod(hashed, "mains") + F.col("others")).cast("int")
+    last = F.when(F.col("other"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
+    dealt = mixed.withColumn("part", part).withColumn("met", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("key", F.least("part", "met").alias("lo"), F.greatest("part", "met").alias("hi"), "part", "set_id", "root")
+
+
+def _forest(full: DataFrame, pairs) -> DataFrame:
+    """Rows (x, pivot): a spanning forest of ``pairs(rows, first)`` in each pair of parts.
+
+    ``full``: (key, lo, hi, part, set_id, root, more); a row of ``rows`` is (root, more).
+    """
     group = ["key", "lo", "hi"]
-    full = dealt.join(sets.select("set_id", "n_shingles", "bits"), "set_id").select(*group, "part", "set_id", "root", "n_shingles", "bits")
     full = full.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, "part", "set_id")
 
-    def pairs(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+    def found(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
         first = sum(r[0] == key[1] for r in rows) if key[1] != key[2] else 0
         if len(rows) < 2 or first == len(rows) or (key[1] != key[2] and first == 0):
             return []
-        ids = [r[1] for r in rows]
-        roots, sizes = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-        i, j = candidate_pairs(sizes, roots, [r[4] for r in rows], first, bounds)
-        found = zip(i.tolist(), j.tolist(), strict=True) if whole else spanning_forest(roots, i, j)
-        return [(ids[a], ids[b]) for a, b in found]
+        i, j = pairs([r[2:] for r in rows], first)
+        return [(rows[a][1], rows[b][1]) for a, b in spanning_forest(np.array([r[2] for r in rows]), i, j)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
-        def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            x, pivot = zip(*found, strict=True) if found else ((), ())
+        def packed(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            x, pivot = zip(*links, strict=True) if links else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(pivot, pa.int64())], names=["x", "pivot"])
 
         for batch in batches:
             out: set[tuple[int, int]] = set()
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if row[:3] != key:
-                    out.update(pairs(key, rows) if rows else ())
+                    out.update(found(key, rows) if rows else ())
                     key, rows = row[:3], []
-                rows.append(row[3:])
+                if not rows or rows[-1][1] != row[4]:  # else a copy of the row before
+                    rows.append(row[3:])
             yield packed(sorted(out))
         if rows:
-            yield packed(pairs(key, rows))
+            yield packed(found(key, rows))
 
     return full.mapInArrow(run, "x long, pivot long").distinct()
 
 
+def _candidates(met: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """Rows (x, pivot) that connect what may link by size and sketch."""
+
+    def pairs(rows: list[tuple], first: int) -> tuple[np.ndarray, np.ndarray]:
+        roots, sizes, bits = zip(*rows, strict=True)
+        return candidate_pairs(np.array(sizes), np.array(roots), list(bits), first, bounds)
+
+    full = met.join(sets.select("set_id", "n_shingles", "bits"), "set_id")
+    return _forest(full.select("key", "lo", "hi", "part", "set_id", "root", "n_shingles", "bits"), pairs)
+
+
+def _linked_parts(met: DataFrame, docs: DataFrame, sets: DataFrame, n: int, bounds: Bounds) -> DataFrame:
+    """Rows (x, pivot) that connect what links, by the product of each pair of parts."""
+
+    def pairs(rows: list[tuple], first: int) -> tuple[np.ndarray, np.ndarray]:
+        roots = np.array([r[0] for r in rows])
+        found = list(linked_rows([np.frombuffer(r[1], np.uint64) for r in rows], first, bounds))
+        i = np.concatenate([np.full(len(rest), k) for k, rest in found])
+        j = np.concatenate([rest for _, rest in found])
+        apart = roots[i] != roots[j]
+        return i[apart], j[apart]
+
+    met = materialize(met, "dealt")
+    full = _items(docs, met, sets, n).join(met, "set_id")
+    return _forest(full.select("key", "lo", "hi", "part", "set_id", "root", "items"), pairs)
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``roots`` (node, root) after more links (x, pivot)."""
     if not links.take(1):
@@ -364,8 +422,8 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(roots.select(F.col("node").alias("x"), F.col("root").alias("pivot")).unionByName(links), "x", "pivot")
 
 
-def link_counts(items: list[np.ndarray], many: np.ndarray, first: int, bounds: Bounds) -> np.ndarray:
-    """With how many rows each set (sorted, distinct) links; a set has ``many`` rows.
+def linked_rows(items: list[np.ndarray], first: int, bounds: Bounds) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set (sorted, distinct) in turn, the later ones that it links with: a sparse product, row by row.
 
     With ``first``, only pairs of one of the first so many sets and one of the rest.
     Sets are multiplied by their differences from one of them, which near copies share.
@@ -378,14 +436,19 @@ def link_counts(items: list[np.ndarray], many: np.ndarray, first: int, bounds: B
     rows = np.repeat(np.arange(n), off)[np.argsort(column, kind="stable")]
     degree = np.bincount(column)
     starts = np.cumsum(degree) - degree
-    counts = np.zeros(n, np.int64)
     for k in range(first or n - 1):
         mine = column[ends[k] : ends[k + 1]]
         long = degree[mine]
         place = np.repeat(starts[mine] - np.cumsum(long) + long, long) + np.arange(long.sum())
         rest = np.arange(first or k + 1, n)
         differ = off[k] + off[rest] - 2 * np.bincount(rows[place], minlength=n)[rest]
-        rest = rest[bounds.linked((sizes[k] + sizes[rest] - differ) // 2, sizes[k], sizes[rest])]
+        yield k, rest[bounds.linked((sizes[k] + sizes[rest] - differ) // 2, sizes[k], sizes[rest])]
+
+
+def link_counts(items: list[np.ndarray], many: np.ndarray, first: int, bounds: Bounds) -> np.ndarray:
+    """With how many rows each set links; a set has ``many`` rows."""
+    counts = np.zeros(len(items), np.int64)
+    for k, rest in linked_rows(items, first, bounds):
         counts[k] += many[rest].sum()
         counts[rest] += many[k]
     return counts
@@ -447,17 +510,16 @@ def _found(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, DataFram
     links = materialize(_verified(first, docs, sets, n, bounds), "links")
     roots = connected_components(links, "x", "pivot")
     rows_of = blocks.select("key", "set_id")
-    forest = materialize(_between(rows_of, roots, sets, bounds, False), "pairs")
+    forest = materialize(_candidates(_met(rows_of, roots), sets, bounds), "pairs")
     linked = materialize(_verified(forest, docs, sets, n, bounds), "links")
     roots = _joined(roots, linked)
-    ordered = [F.greatest("x", "pivot").alias("x"), F.least("x", "pivot").alias("pivot")]
-    known = first.unionByName(forest).select(*ordered)
     # where all of a forest are links, nothing is left apart that may link
-    apart = forest.join(linked, ["x", "pivot"], "left_anti").select(F.col("x").alias("set_id")).distinct()
-    keys = rows_of.join(apart, "set_id", "left_semi").select("key").distinct()
-    rest = _between(rows_of.join(keys, "key", "left_semi"), roots, sets, bounds, True).select(*ordered).distinct()
-    rest = materialize(rest.join(known, ["x", "pivot"], "left_anti"), "pairs")
-    return rows, sets, _joined(roots, materialize(_verified(rest, docs, sets, n, bounds), "links"))
+    apart = materialize(forest.join(linked, ["x", "pivot"], "left_anti").select(F.col("x").alias("set_id")).distinct(), "apart")
+    if apart.take(1):
+        keys = rows_of.join(apart, "set_id", "left_semi").select("key").distinct()
+        rest = _linked_parts(_met(rows_of.join(keys, "key", "left_semi"), roots), docs, sets, n, bounds)
+        roots = _joined(roots, materialize(rest, "links"))
+    return rows, sets, roots
 
 
 def _named(rows: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -470,14 +532,40 @@ def _named(rows: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
+    """Rows (doc_id, n_shingles, component_id, set_id), one for each row of ``docs``.
 
-    Documents link at a Jaccard similarity of ``percent`` / 100 or more; a
+    ``set_id`` tells sets of shingles apart, null for an empty one.  Documents link at a Jaccard similarity of ``percent`` / 100 or more; a
     component's id is the least doc_id in it.  Null and empty texts have no
     shingles and link with nothing; nor do rows of a null doc_id count for the
     id.  Repeated rows are repeated in the result.  ``docs`` is read four times.
     """
-    return _named(*_found(docs, n, Bounds(percent))).select("doc_id", "n_shingles", "component_id")
+    return _named(*_found(docs, n, Bounds(percent))).select("doc_id", "n_shingles", "component_id", "set_id")
+
+
+def first_of_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, by least doc_id; all other columns stay.
+
+    Where a doc_id has several rows, each set of shingles that is the first of
+    its component keeps one row, the least by text and then by the other
+    columns.  Rows of a null doc_id all stay, as do texts without words.  Only
+    ids meet the documents: a text is shuffled only where Spark doesn't
+    broadcast them, or its doc_id is repeated.
+    """
+    found = materialize(jaccard_components(docs.select("doc_id", "text"), n, percent), "components")
+    first = found.where("doc_id = component_id").select("doc_id", F.coalesce("set_id", F.lit(0)).alias("__el_set")).distinct()
+    repeated = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is not null and n > 1").select("doc_id"), "repeated")
+    single = docs.join(first.join(repeated, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+
+    @F.pandas_udf("long")
+    def set_ids(texts: pd.Series) -> pd.Series:
+        found = [shingle_set(t, n) for t in texts]
+        return pd.Series([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0 for s in found])
+
+    several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).withColumn("__el_set", set_ids("text")).join(first, ["doc_id", "__el_set"], "left_semi")
+    plain = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    order = Window.partitionBy("doc_id", "__el_set").orderBy("text", F.xxhash64(*[f"`{c}`" for c in plain]))
+    several = several.withColumn("__el_rank", F.row_number().over(order)).where("__el_rank = 1")
+    return single.unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -497,3 +585,24 @@ def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components and numbers of links of all documents at a Jaccard similarity of 0.85 over 4-word shingles."""
     return jaccard_links(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM word WHERE len(w) > 0)
+), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), copy AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS h FROM shingle GROUP BY doc_id)
+), one AS (SELECT s.doc_id, s.s, z.n FROM shingle s JOIN size z USING (doc_id) JOIN copy c ON c.doc_id = s.doc_id AND c.first = s.doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.s = b.s AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT first AS node, first AS root FROM copy UNION SELECT pair.b, reach.root FROM reach JOIN pair ON pair.a = reach.node
+), root AS (SELECT node, min(root) AS root FROM reach GROUP BY node
+), many AS (SELECT first, count(*) AS n FROM copy GROUP BY first
+), link AS (SELECT a, sum(n) AS n FROM pair JOIN many ON first = b GROUP BY a)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(r.root, w.doc_id) AS component_id, CAST(coalesce(m.n - 1, 0) + coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM word w LEFT JOIN size z USING (doc_id) LEFT JOIN copy c USING (doc_id) LEFT JOIN root r ON r.node = c.first LEFT JOIN many m ON m.first = c.first LEFT JOIN link l ON l.a = c.first
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from echolake.llm import op1_ngram_jaccard as ngrams
 from echolake.llm import op5_line_dedup as lines
 from echolake.llm import op9_embedding_dedup as vectors
 from echolake.llm.op1_ngram_jaccard import op1_ngram_jaccard
@@ -28,4 +29,4 @@ _ALL = (
     op10_media_columns,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": lines.ORACLE_SQL, "op9_embedding_dedup": vectors.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": ngrams.ORACLE_SQL, "op5_line_dedup": lines.ORACLE_SQL, "op9_embedding_dedup": vectors.ORACLE_SQL}

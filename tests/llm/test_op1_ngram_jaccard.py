@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from echolake.llm.op1_ngram_jaccard import Bounds, block_keys, fold, jaccard_components, jaccard_links, op1_ngram_jaccard, shingle_set, sketch, sketch_distance, spanning_forest
+from echolake.llm.op1_ngram_jaccard import ORACLE_SQL, Bounds, block_keys, first_of_components, fold, jaccard_components, jaccard_links, linked_rows, op1_ngram_jaccard, overlaps, shingle_set, sketch, sketch_distance, spanning_forest
 
 
 def shingles(text: str | None, n: int) -> frozenset:
@@ -50,7 +50,7 @@ def test_random_corpora(spark, n, percent):
         for _ in range(rng.randrange(4)):
             w[rng.randrange(len(w))] = str(rng.randrange(30))
         rows.append((k, " ".join(w[: len(w) - rng.randrange(2)])))
-    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent)
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).drop("set_id")
     assert Counter(map(tuple, found.collect())) == Counter(brute(rows, n, percent))
 
 
@@ -116,7 +116,7 @@ def test_one_large_group_in_parts(spark, monkeypatch):
             w[rng.randrange(100)] = f"new{rng.randrange(9)}"
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert Counter(map(tuple, jaccard_components(df, 4, 85).collect())) == Counter(brute(rows, 4, 85))
+    assert Counter(map(tuple, jaccard_components(df, 4, 85).drop("set_id").collect())) == Counter(brute(rows, 4, 85))
 
 
 def n_links(rows: list[tuple], n: int, percent: int) -> list[int]:
@@ -144,3 +144,50 @@ def test_query_counts_links(spark, edge_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{edge_dir}/documents.parquet").collect()]
     found = op1_ngram_jaccard(spark, edge_dir).select("doc_id", "n_links").collect()
     assert Counter(map(tuple, found)) == Counter((d, c) for (d, _), c in zip(docs, n_links(docs, 4, 85), strict=True))
+
+
+def test_query_against_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    assert Counter(map(tuple, op1_ngram_jaccard(spark, d).collect())) == Counter(duckdb.sql(ORACLE_SQL).fetchall())
+
+
+def test_products_count_overlaps():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(30)]
+    bounds = Bounds(50)
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (overlaps(sets, sets[3]) == common[3]).all()
+    for first in (0, 11):
+        for k, rest in linked_rows(sets, first, bounds):
+            assert rest.tolist() == [j for j in range(first or k + 1, 30) if bounds.linked(common[k, j], len(sets[k]), len(sets[j]))]
+
+
+def test_blocks_of_candidates_that_do_not_link(spark, monkeypatch):
+    """Sketches let pairs through that don't link, so that n-grams have to meet by parts."""
+    import echolake.llm.op1_ngram_jaccard as op1
+
+    monkeypatch.setattr(op1, "ROWS_PER_PART", 6)
+    monkeypatch.setattr(op1.Bounds, "near", lambda self, bits, a, b: np.asarray(bits) >= 0)
+    rng, rows = random.Random(10), []
+    base = [str(k) for k in range(60)]
+    for k in range(80):
+        w = list(base)
+        at = rng.randrange(50)
+        w[at : at + rng.choice([1, 1, 6, 9])] = [f"v{k % 9}"]
+        rows.append((k, " ".join(w)))
+    found = jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert Counter(map(tuple, found)) == Counter((*r, c) for r, c in zip(brute(rows, 4, 85), n_links(rows, 4, 85), strict=True))
+
+
+def test_first_of_components_with_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [
+        (1, text, "a"), (2, text + " end", "b"), (2, "another text of its own that nothing is like", "c"), (2, "another text of its own that nothing is like", "c"),
+        (3, "some more words here", "d"), (3, "SOME more words here", "d"), (3, "quite different words there", "e"), (4, None, "f"), (4, "", "g"), (5, " ", "h"), (None, text, "i"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    found = Counter(map(tuple, first_of_components(docs, 4, 85).collect()))
+    assert found == Counter([rows[0], rows[2], rows[5], rows[6], rows[7], rows[9], rows[10]])
