@@ -1,9 +1,9 @@
 """From raw documents to packed sequences: five stages, each over all that the last one kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of documents.  Rows with null or empty texts, repeated
-rows and empty tables are fine in every stage; the first drops texts without a
-letter.
+last return the columns of documents, whatever else they are called.  Rows with null
+or empty texts, repeated rows and empty tables are fine in every stage; the first
+drops texts without a letter.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolake.llm.op1_ngram_jaccard import jaccard_components
+from echolake.llm.groups import own_columns
+from echolake.llm.op1_ngram_jaccard import first_of_components
 from echolake.llm.op3_packing import pack, token_pieces, tokenizer_json
 from echolake.llm.op5_line_dedup import dedup_lines
 from echolake.llm.op7_mixing import mix, word_count
@@ -28,27 +29,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised, by a model of the labelled ones."""
     model = train(docs.select("doc_id", "text", "lang"))
     found = predict(docs, model, "__el_pred", "__el_score")
-    return found.where((F.col("__el_pred") != UNKNOWN) & (F.col("__el_score") >= MIN_SCORE)).select(*docs.columns)
+    return found.where((F.col("__el_pred") != UNKNOWN) & (F.col("__el_score") >= MIN_SCORE)).select(*own_columns(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop long lines that many documents hold; every document stays, with what is left of it."""
-    kept = dedup_lines(docs)
-    return kept.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    kept = dedup_lines(docs, "__el_lines", "__el_dropped")
+    return kept.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the least id of each group of near duplicates."""
-    found = materialize(jaccard_components(docs.select("doc_id", "text"), SHINGLE, SIMILAR), "components")
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return first_of_components(docs, SHINGLE, SIMILAR)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents as often as the target weights of their sources ask."""
-    mixed = mix(docs.withColumn("__el_words", word_count(F.col("text"))), "__el_words", "source", "doc_id")
-    return mixed.where("times > 0").withColumn("__el_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    words = docs.withColumn("__el_words", word_count(F.col("text")))
+    mixed = mix(words, "__el_words", "source", "doc_id", out=("__el_whole_source", "__el_goal", "__el_times"))
+    return mixed.where("__el_times > 0").withColumn("__el_copy", F.explode(F.sequence(F.lit(1), "__el_times"))).select(*own_columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

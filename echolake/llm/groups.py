@@ -1,4 +1,4 @@
-"""Groups of rows that a sorted partition brings one after the other."""
+"""Groups of rows that a sorted partition brings one after the other, and a table's own columns."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def streamed_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
@@ -32,3 +34,8 @@ def streamed_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tu
             parts.append(batch.slice(a, b - a))
     if parts:
         yield key, pa.Table.from_batches(parts)
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, also those with dots in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]

@@ -272,18 +272,18 @@ def _batched(df: DataFrame, source: str, out: T.StructField, convert, arrow_type
     """``df`` with one more column: ``convert`` of each value of ``source``."""
     if out.name in df.columns:
         raise ValueError(f"there is a column {out.name} already")
-    schema = T.StructType([*df.schema.fields, out])
+    schema, at = T.StructType([*df.schema.fields, out]), df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(source)
             for k in range(0, batch.num_rows, 256):  # bounds memory where texts are long
                 part = batch.slice(k, 256)
                 made = [convert(x.as_py()) for x in part.column(at)]
                 fields = [*part.schema, pa.field(out.name, arrow_type)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, arrow_type)], schema=pa.schema(fields))
 
-    return df.mapInArrow(run, schema)
+    places = [f"c{k}" for k in range(len(df.columns))]  # an Arrow function takes no columns with dots in their names
+    return df.toDF(*places).mapInArrow(run, schema)
 
 
 def mux(df: DataFrame, payload: str, media: str = "media") -> DataFrame:

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolake.llm.components import connected_components
+from echolake.llm.groups import own_columns
 from echolake.plans.shared import materialize
 
 SKETCH_BITS = 512  # at least; longer sets have one or two bits an n-gram
@@ -554,18 +555,18 @@ def first_of_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     found = materialize(jaccard_components(docs.select("doc_id", "text"), n, percent), "components")
     first = found.where("doc_id = component_id").select("doc_id", F.coalesce("set_id", F.lit(0)).alias("__el_set")).distinct()
     repeated = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is not null and n > 1").select("doc_id"), "repeated")
-    single = docs.join(first.join(repeated, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    single = docs.join(first.join(repeated, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").select(*own_columns(docs))
 
     @F.pandas_udf("long")
     def set_ids(texts: pd.Series) -> pd.Series:
         found = [shingle_set(t, n) for t in texts]
         return pd.Series([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0 for s in found])
 
-    several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).withColumn("__el_set", set_ids("text")).join(first, ["doc_id", "__el_set"], "left_semi")
+    several = docs.join(repeated, "doc_id", "left_semi").select(*own_columns(docs)).withColumn("__el_set", set_ids("text")).join(first, ["doc_id", "__el_set"], "left_semi")
     plain = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
     order = Window.partitionBy("doc_id", "__el_set").orderBy("text", F.xxhash64(*[f"`{c}`" for c in plain]))
     several = several.withColumn("__el_rank", F.row_number().over(order)).where("__el_rank = 1")
-    return single.unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+    return single.unionByName(several.select(*own_columns(docs))).unionByName(docs.where("doc_id is null"))
 
 
 def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:

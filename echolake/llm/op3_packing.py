@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolake.llm.groups import own_columns
 from echolake.plans.ranking import exact_rank
 from echolake.plans.shared import materialize
 
@@ -162,7 +163,7 @@ class Pattern:
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[Pattern]:
-    """Packing patterns for counts by length; every length is from 1 to ``capacity``."""
+    """Packing patterns for counts by length; every length is from 1 to ``capacity``; no lengths give none."""
     packs: dict[int, list[Pattern]] = {}  # by free space
     free: list[int] = []  # the keys of packs, ascending
 
@@ -217,9 +218,14 @@ def _slots(patterns: list[Pattern]) -> dict[int, dict[str, np.ndarray]]:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, seed: int = 3) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; sequences have no gaps.
 
-    Pieces have columns doc_id, start, length, ids_crc32.  Read more than once,
-    so materialize them first.  Pieces equal in all of these may swap places.
+    Pieces have columns doc_id, start, length (1 to ``capacity``), ids_crc32; other
+    columns stay as they are, but ``sequence_id`` or ``offset`` raise an error.
+    A null doc_id is a value like others, an empty table gives an empty one.
+    Read more than once, so materialize them first.  Pieces equal in all of
+    these may swap places.
     """
+    if clash := {"sequence_id", "offset"} & set(pieces.columns):
+        raise ValueError(f"there are columns {sorted(clash)} already")
     found = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity rows at most
     histogram = {r["length"]: r["n"] for r in found}
     slots = pieces.sparkSession.sparkContext.broadcast(_slots(shortest_pack_first(histogram, capacity)))
@@ -238,8 +244,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, seed: int = 3) -> DataFram
                 off[here] = s["offset"][k] + n * (turn % s["many"][k])
             yield f.drop(columns="__el_rank").assign(sequence_id=seq, offset=off)
 
-    cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.select(*pieces.columns, "__el_rank").mapInPandas(place, f"{cols}, sequence_id long, offset long")
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return ranked.select(*own_columns(pieces), "__el_rank").mapInPandas(place, f"{cols}, sequence_id long, offset long")
 
 
 def tokenizer_json(path: str | None = None) -> str:

@@ -374,7 +374,8 @@ def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS, n_
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], n_lines, n_dropped])
 
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{cols}, `{n_lines}` long, `{n_dropped}` long")
+    places = [f"c{k}" for k in range(len(joined.columns))]  # an Arrow function takes no columns with dots in their names
+    return joined.toDF(*places).mapInArrow(run, f"{cols}, `{n_lines}` long, `{n_dropped}` long")
 
 
 def _lengths(lines: list[str]) -> list[int]:

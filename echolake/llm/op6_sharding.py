@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolake.llm.groups import own_columns
 from echolake.plans.ranking import exact_rank
 from echolake.plans.shared import materialize
 
@@ -103,8 +104,8 @@ def shuffle_into_shards(
     dealt = local.join(F.broadcast(table), "__el_block").withColumn(
         shard, F.size(F.filter("__el_ends", lambda e: e <= F.col("__el_at"))).cast("int")
     )
-    dealt = materialize(dealt.select(*df.columns, shard), "shards")
-    return exact_rank(dealt, [shard], hashed(2), [key, *ties], slot, total).select(*df.columns, shard, slot)
+    dealt = materialize(dealt.select(*own_columns(df), shard), "shards")
+    return exact_rank(dealt, [shard], hashed(2), [key, *ties], slot, total).select(*own_columns(df), shard, slot)
 
 
 def document_size(text: Column) -> Column:

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from echolake.llm.groups import own_columns
 from echolake.plans.ranking import exact_rank
 from echolake.plans.shared import materialize
 
@@ -154,7 +155,7 @@ def mix(df: DataFrame, size: str, source: str, key: str, seed: int = 7, out: Seq
     )
     times = F.col("__el_passes") + F.when(F.col("__el_rank") < F.col("__el_extra"), 1).otherwise(0)
     found = (F.col("__el_whole"), F.col("__el_target"), times.cast("int"))
-    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for c, n in zip(found, out, strict=True)])
+    return ranked.select(*own_columns(df), *[c.alias(n) for c, n in zip(found, out, strict=True)])
 
 
 def word_count(text: Column) -> Column:

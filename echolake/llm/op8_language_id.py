@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echolake.llm.groups import own_columns
+
 BUCKETS = 1 << 15
 TRAIN_DOCS = 20_000
 LEAST_DOCS = 100
@@ -186,7 +188,7 @@ def predict(docs: DataFrame, model: NaiveBayes, lang: str = "lang_pred", score:
             yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
 
     found = docs.withColumn("__el_lang", best("text"))
-    return found.select(*docs.columns, F.col("__el_lang.lang").alias(lang), F.col("__el_lang.score").alias(score))
+    return found.select(*own_columns(docs), F.col("__el_lang.lang").alias(lang), F.col("__el_lang.score").alias(score))
 
 
 def held_out() -> Column:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+CLASHING = ("n_lines", "n_dropped", "target", "times", "source_size", "passes", "extra", "n", "w", "set_id", "component_id", "many", "shard", "slot", "score", "sequence_id", "offset", "ids_crc32", "start", "word.s")
 SMALL = "/root/testdata/sf0.001"
 BOILER = "All rights are reserved by the holders of this common licence line."
 
@@ -37,6 +38,7 @@ def write_documents(path: str, rows: list[tuple]) -> None:
     columns = {
         "doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs, pa.string()), "source": pa.array(sources, pa.string()),
         "n_chars": pa.array([len(t) if t else 0 for t in texts], pa.int64()),
+        **{c: pa.array([7] * len(ids), pa.int64()) for c in CLASHING},
         "key": pa.array(["x"] * len(ids), pa.string()), "root": pa.array([1.5] * len(ids), pa.float64()), "length": pa.array([1] * len(ids), pa.int64()),
     }
     pq.write_table(pa.table(columns), path)
