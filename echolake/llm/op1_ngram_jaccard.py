@@ -11,15 +11,16 @@ and b at similarity s differs in at most (1 - s) / (1 + s) * (a + b) n-grams.
    passage.
 2. In each block, the rows are first multiplied with one pivot; that joins groups
    of copies, however large, without their pairs.
-3. In blocks that still hold several components, the rows outside the pivot's
-   component meet all others, in pairs of parts of a bounded number of rows: by
+3. In blocks that still hold several components, the rows outside the largest
+   meet all others, in pairs of parts of a bounded number of rows: by
    size, then by parity sketches (the bits in which two sketches differ are at
    most the n-grams in which the rows differ).  A task returns a spanning forest
    of the pairs that remain, and their overlap counts are accumulated in
    products of a block's rows with its pivots.
-4. Where a pair of a forest was no link after all, the n-grams of the block's
-   rows themselves meet by parts, and a task returns a spanning forest of the
-   links in the product of two parts.
+4. Where a pair of a forest was no link after all, rows that the forests connect
+   may still link.  In each such group the rows outside the largest component
+   meet all others by their n-grams, once and not block by block; a task returns
+   a spanning forest of the links in the product of two parts.
 5. A link never leaves its component.  To count all links, the rows of each
    component are cut into parts, and each pair of parts is one sparse product
    inside a task, which returns the number of links of each row.
@@ -338,13 +339,14 @@ def spanning_forest(roots: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tup
 def _met(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, lo, hi, part, set_id, root): pairs of parts of the rows of blocks that hold several components.
 
-    Rows of the pivot's component, often all but a few, meet only the others.
+    Rows of a block's largest component, often all but a few, meet only the others.
     """
     named = blocks.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    ends = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "set_id").alias("main")).where("lo <> hi")
-    mixed = named.join(ends.select("key", "main"), "key").withColumn("other", F.col("root") != F.col("main"))
-    size = lambda c: F.ceil(F.count_if(c) / ROWS_PER_PART).cast("int")
-    mixed = mixed.join(mixed.groupBy("key").agg(size(F.col("other")).alias("others"), size(~F.col("other")).alias("mains")), "key")
+    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    ends = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
+    parts = lambda n: F.ceil(n / ROWS_PER_PART).cast("int")
+    ends = ends.select("key", "main", parts(F.col("all") - F.col("most")).alias("others"), parts(F.col("most")).alias("mains"))
+    mixed = named.join(ends, "key").withColumn("other", F.col("root") != F.col("main"))
     hashed = F.xxhash64("set_id")
     part = F.when(F.col("other"), F.pmod(hashed, "others")).otherwise(F.pmod(hashed, "mains") + F.col("others")).cast("int")
     last = F.when(F.col("other"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
@@ -514,12 +516,11 @@ def _found(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, DataFram
     forest = materialize(_candidates(_met(rows_of, roots), sets, bounds), "pairs")
     linked = materialize(_verified(forest, docs, sets, n, bounds), "links")
     roots = _joined(roots, linked)
-    # where all of a forest are links, nothing is left apart that may link
-    apart = materialize(forest.join(linked, ["x", "pivot"], "left_anti").select(F.col("x").alias("set_id")).distinct(), "apart")
-    if apart.take(1):
-        keys = rows_of.join(apart, "set_id", "left_semi").select("key").distinct()
-        rest = _linked_parts(_met(rows_of.join(keys, "key", "left_semi"), roots), docs, sets, n, bounds)
-        roots = _joined(roots, materialize(rest, "links"))
+    # what may link is connected by the forest; where all of it are links, nothing that may link is apart
+    if forest.join(linked, ["x", "pivot"], "left_anti").take(1):
+        roots = materialize(roots, "roots")
+        supposed = materialize(_joined(roots, forest).select(F.col("root").alias("key"), F.col("node").alias("set_id")), "supposed")
+        roots = _joined(roots, materialize(_linked_parts(_met(supposed, roots), docs, sets, n, bounds), "links"))
     return rows, sets, roots
 
 
