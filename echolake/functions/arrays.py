@@ -90,3 +90,77 @@ def percent_to_dbm(percent: Column) -> Column:
 def band(channel: Column) -> Column:
     """The band of a channel number; null for one in none."""
     return F.when(channel.between(1, 14), "2.4GHz").when(channel.between(36, 177), "5GHz").when(channel > 177, "6GHz")
+
+
+def to_complex(amplitude: Column, phase: Column) -> Column:
+    """Array of (re, im)."""
+    return F.zip_with(amplitude, phase, lambda a, p: F.struct((a * F.cos(p)).alias("re"), (a * F.sin(p)).alias("im")))
+
+
+def from_complex(z: Column) -> Column:
+    """Array of (amplitude, phase)."""
+    return F.transform(z, lambda c: F.struct(F.hypot(c["re"], c["im"]).alias("amplitude"), F.atan2(c["im"], c["re"]).alias("phase")))
+
+
+def conjugate_product(a: Column, b: Column) -> Column:
+    """a times the conjugate of b, tone by tone."""
+    re = lambda x, y: x["re"] * y["re"] + x["im"] * y["im"]
+    im = lambda x, y: x["im"] * y["re"] - x["re"] * y["im"]
+    return F.zip_with(a, b, lambda x, y: F.struct(re(x, y).alias("re"), im(x, y).alias("im")))
+
+
+def hamming(v: Column) -> Column:
+    """The array under a Hamming window; one tone stays as it is."""
+    n = F.size(v)
+    return F.transform(v, lambda x, i: F.when(n > 1, x * (0.54 - 0.46 * F.cos(F.lit(TAU) * i / F.nullif(n - 1, F.lit(0))))).otherwise(x))
+
+
+def scale_by_deviation(v: Column) -> Column:
+    """Divided by the population deviation."""
+    m = mean(v)
+    sd = F.sqrt(mean(F.transform(v, lambda x: (x - m) * (x - m))))
+    return F.transform(v, lambda x: x / (sd + 1e-12))
+
+
+def preprocess(v: Column, threshold_db: float) -> Column:
+    """Noise removal, window, scaling."""
+    return scale_by_deviation(hamming(remove_noise(v, threshold_db)))
+
+
+def hardware(v: Column) -> Column:
+    n = F.size(v)
+    return F.when(n == 64, "esp32").when(n == 30, "intel5300").when(n == 56, "atheros").otherwise("generic")
+
+
+def resample_cubic(v: Column, tones: int) -> Column:
+    """Catmull-Rom interpolation to so many tones; ends are repeated."""
+    n = F.size(v)
+
+    def at(j: Column) -> Column:
+        place = j * (n - 1) / F.lit(max(1, tones - 1)).cast("double")
+        low = F.floor(place).cast("int")
+        t = place - low
+        p = [F.get(v, F.greatest(F.least(low + k, n - 1), F.lit(0))) for k in (-1, 0, 1, 2)]
+        a = -0.5 * p[0] + 1.5 * p[1] - 1.5 * p[2] + 0.5 * p[3]
+        b = p[0] - 2.5 * p[1] + 2.0 * p[2] - 0.5 * p[3]
+        c = -0.5 * p[0] + 0.5 * p[2]
+        return ((a * t + b) * t + c) * t + p[1]
+
+    return F.when(n == tones, v).when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(tones - 1)), at))
+
+
+def reference_z(v: Column, reference: Column, variance: Column) -> Column:
+    """Distances from a reference profile in its deviations, tone by tone."""
+    apart = F.zip_with(v, reference, lambda x, r: F.abs(x - r))
+    return F.zip_with(apart, variance, lambda d, s: d / F.sqrt(F.greatest(s, F.lit(1e-6))))
+
+
+def outlier_tones(z: Column, threshold: float) -> Column:
+    """Positions whose z is above the threshold."""
+    return F.filter(F.transform(z, lambda x, i: F.when(x > threshold, i)), lambda i: i.isNotNull())
+
+
+def weighted_coherence(z: Column, variance: Column) -> Column:
+    """Mean of exp(-z^2 / 2), weighted by the inverse variance."""
+    weights = F.transform(variance, lambda s: 1 / (F.greatest(s, F.lit(1e-6))))
+    return total(F.zip_with(z, weights, lambda x, w: F.exp(-x * x / 2) * w)) / F.nullif(total(weights), F.lit(0.0))

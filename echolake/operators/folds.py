@@ -1,52 +1,61 @@
 """Ordered folds per key: recursive filters, gates and state machines.
 
-A kernel is a pure step from (state, row) to (state, output or None); the state
-is a short tuple of numbers.  ``fold`` runs it in batch over sorted partitions,
+A kernel is a pure step from (state, values, time) to (state, output or None);
+the state is a short tuple.  ``fold`` runs it in batch over sorted partitions,
 row by row with one state at a time, so a key of any length needs no memory;
 ``fold_stream`` runs the same step with Spark's state store.  A fold's key is
 the unit that machines can share; the order within it is the operator.
+
+In all kernels a row whose time or one of whose values is null or NaN leaves the
+state as it is and gives nothing.  A null key is a key like others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+State = tuple
 
-State = tuple[float, ...]
+# Fixed values of the state machines.
+MOTION_STEPS = (0.04, 0.12, 0.25)
+MOTION_CLASSES = ("absent", "present_still", "present_moving", "active")
+ACTIONS, ACTION_EDGES = ("accept", "predict_only", "reject", "recalibrate"), (0.5, 0.7, 0.9)
 
 
 @dataclass(frozen=True)
 class Kernel:
-    """``step(state, x, t)`` gives (state, values or None); ``output`` names the values' types."""
+    """``step(state, values, t)`` gives (state, outputs or None); ``output`` names the outputs' types."""
 
     start: State
-    step: Callable[[State, float, float], tuple[State, tuple | None]]
+    step: Callable[[State, tuple, float], tuple[State, tuple | None]]
     output: str
 
 
 def ema(alpha: float = 0.15) -> Kernel:
-    """Exponential mean, started at the first value; a null leaves it as it is."""
+    """Exponential mean, started at the first value."""
 
-    def step(s: State, x: float, t: float):
-        seen, mean = s
-        if x is None or math.isnan(x):
-            return s, (mean if seen else None,)
-        mean = x if not seen else mean * (1 - alpha) + x * alpha
-        return (1.0, mean), (mean,)
+    def step(s: State, v: tuple, t: float):
+        mean = v[0] if s[0] is None else s[0] * (1 - alpha) + v[0] * alpha
+        return (mean,), (mean,)
 
-    return Kernel((0.0, 0.0), step, "ema double")
+    return Kernel((None,), step, "ema double")
 
 
 def cusum(target: float, drift: float, limit: float) -> Kernel:
     """Two-sided cumulative sums; both start anew after an alarm (1 up, -1 down)."""
 
-    def step(s: State, x: float, t: float):
-        up, down = max(0.0, s[0] + x - target - drift), max(0.0, s[1] - x + target - drift)
+    def step(s: State, v: tuple, t: float):
+        up, down = max(0.0, s[0] + v[0] - target - drift), max(0.0, s[1] - v[0] + target - drift)
         alarm = 1 if up > limit else -1 if down > limit else 0
         return ((0.0, 0.0) if alarm else (up, down)), (up, down, alarm)
 
@@ -56,102 +65,247 @@ def cusum(target: float, drift: float, limit: float) -> Kernel:
 def predictive_gate(alpha: float, limit: float) -> Kernel:
     """Pass a value only where it is off its exponential mean by more than the limit."""
 
-    def step(s: State, x: float, t: float):
-        if not s[0]:
-            return (1.0, x), (x,)
-        return (1.0, s[1] * (1 - alpha) + x * alpha), ((x,) if abs(x - s[1]) > limit else None)
+    def step(s: State, v: tuple, t: float):
+        if s[0] is None:
+            return (v[0],), (v[0],)
+        return (s[0] * (1 - alpha) + v[0] * alpha,), ((v[0],) if abs(v[0] - s[0]) > limit else None)
 
-    return Kernel((0.0, 0.0), step, "passed double")
+    return Kernel((None,), step, "passed double")
 
 
 def rate_limit(seconds: float) -> Kernel:
     """Pass a row only if so long ago another one passed."""
 
-    def step(s: State, x: float, t: float):
-        if s[0] and t - s[1] < seconds:
+    def step(s: State, v: tuple, t: float):
+        if s[0] is not None and t - s[0] < seconds:
             return s, None
-        return (1.0, t), (t,)
+        return (t,), (t,)
 
-    return Kernel((0.0, 0.0), step, "passed_at double")
+    return Kernel((None,), step, "passed_at double")
 
 
-def debounce(ladder: Sequence[float], frames: int = 4, alpha: float = 0.15, warm_up: int = 50) -> Kernel:
-    """Smoothed level of what is above the baseline; a new level counts after so many frames in a row.
+def smoothed_motion(frames: int = 4, alpha: float = 0.15, slow: float = 0.003, warm_up: int = 50) -> Kernel:
+    """Motion above 0.7 of a baseline, smoothed; a new class counts once it was seen in so many further frames.
 
-    The baseline is the mean of the first ``warm_up`` values, then follows
-    values at level 0 slowly.  Levels: how many steps of the ladder are passed.
+    The baseline follows quickly before frame ``warm_up`` and then slowly, while motion is near the smoothed one.
     """
 
-    def step(s: State, x: float, t: float):
+    def step(s: State, v: tuple, t: float):
         n, base, smooth, level, wanted, held = s
+        n += 1
         if n < warm_up:
-            base += (x - base) / (n + 1)
-            return (n + 1, base, 0.0, 0.0, 0.0, 0.0), (0.0, 0)
-        smooth = smooth * (1 - alpha) + max(0.0, x - base) * alpha
-        now = float(sum(smooth > v for v in ladder))
-        if now == 0:
-            base = base * 0.99 + x * 0.01
-        held = held + 1 if now == wanted else 1.0
-        if now != level and held >= frames:
-            level = now
-        return (n, base, smooth, level, now, held), (smooth, int(level))
+            base = base * 0.9 + v[0] * 0.1
+        elif v[0] < smooth + 0.05:
+            base = base * (1 - slow) + v[0] * slow
+        smooth = smooth * (1 - alpha) + max(v[0] - base * 0.7, 0.0) * alpha
+        now = sum(smooth > x for x in MOTION_STEPS)
+        if now == level:
+            wanted, held = now, 0
+        elif now == wanted:
+            held += 1
+            if held >= frames:
+                level, held = now, 0
+        else:
+            wanted, held = now, 1
+        return (n, base, smooth, level, wanted, held), (smooth, MOTION_CLASSES[level], smooth > 0.03)
+
+    return Kernel((0, 0.0, 0.0, 0, 0, 0), step, "smooth double, level string, presence boolean")
+
+
+def action_gate(margin: float = 0.05, debounce: float = 5.0) -> Kernel:
+    """A ladder of actions by risk score: an edge must be passed by a margin, and a new action wanted for so many seconds."""
+
+    def step(s: State, v: tuple, t: float):
+        now, wanted, since = s
+        raw = sum(v[0] >= e for e in ACTION_EDGES)
+        if raw > now:
+            target = raw if v[0] >= ACTION_EDGES[now] + margin else now
+        elif raw < now:
+            target = raw if v[0] < ACTION_EDGES[now - 1] - margin else now
+        else:
+            target = now
+        if target == now:
+            wanted, since = -1, 0.0
+        elif wanted != target:
+            wanted, since = target, t
+        elif t - since >= debounce:
+            now, wanted, since = target, -1, 0.0
+        return (now, wanted, since), (ACTIONS[now],)
+
+    return Kernel((0, -1, 0.0), step, "action string")
+
+
+def sleeping(dwell: float = 300.0, leave: float = 30.0, warm_up: float = 60.0) -> Kernel:
+    """Values presence, motion, breathing rate, confidence.  Rows where someone falls asleep or wakes.
+
+    Asleep after ``dwell`` seconds of presence, little motion and calm breathing;
+    awake at once without presence, or after ``leave`` seconds of motion.
+    """
 
-    return Kernel((0.0,) * 6, step, "smooth double, level int")
+    def step(s: State, v: tuple, t: float):
+        asleep, since = s
+        presence, motion, rate, confidence = v
+        if t < warm_up:
+            return s, None
+        if not asleep:
+            if not (presence and motion < 0.05 and 8 <= rate <= 20 and confidence >= 0.5):
+                return (False, None), None
+            since = t if since is None else since
+            return ((True, None), (True,)) if t - since >= dwell else ((False, since), None)
+        if presence and motion <= 0.15:
+            return (True, None), None
+        since = t if since is None else since
+        return ((False, None), (False,)) if not presence or t - since >= leave else ((True, since), None)
 
+    return Kernel((False, None), step, "asleep boolean")
 
-def hysteresis_gate(on: float, off: float, frames: int = 3) -> Kernel:
-    """Open after so many values in a row at ``on`` or above, shut below ``off`` likewise."""
 
-    def step(s: State, x: float, t: float):
-        is_open, run = s
-        run = run + 1 if (x < off if is_open else x >= on) else 0.0
-        if run >= frames:
-            is_open, run = 1 - is_open, 0.0
-        return (is_open, run), (bool(is_open),)
+def distress(multiple: float = 1.5, dwell: float = 60.0, pause: float = 300.0, warm_up: float = 60.0, alpha: float = 0.01) -> Kernel:
+    """Values heart rate, confidence, motion, fallen.  Rows where distress begins or ends.
 
-    return Kernel((0.0, 0.0), step, "open boolean")
+    Begins after ``dwell`` seconds of a heart rate of ``multiple`` times its calm
+    mean with motion and no fall, ``pause`` seconds after the last end at the
+    earliest; ends when motion and heart rate are low again.
+    """
 
+    def step(s: State, v: tuple, t: float):
+        active, base, since, left = s
+        rate, confidence, motion, fallen = v
+        if confidence < 0.5:
+            return s, None
+        followed = rate if base is None else alpha * rate + (1 - alpha) * base
+        if t < warm_up or base is None or base <= 0:
+            return (active, followed, since, left), None
+        high, agitated = rate / base >= multiple, motion > 0.20
+        if active:
+            if motion < 0.10 and rate / base < 1.2:
+                return (False, base, None, t), (False,)
+            return s, None
+        if not agitated and not high:
+            base = followed
+        if left is not None and t - left < pause:
+            return (False, base, since, left), None
+        if not (high and agitated and not fallen):
+            return (False, base, None, left), None
+        since = t if since is None else since
+        return ((True, base, since, left), (True,)) if t - since >= dwell else ((False, base, since, left), None)
 
-def quiet_state(below: float, enter: float, leave: float) -> Kernel:
-    """Asleep after ``enter`` seconds below a level, awake after ``leave`` seconds above; rows where it changes."""
+    return Kernel((False, None, None, None), step, "distress boolean")
 
-    def step(s: State, x: float, t: float):
-        asleep, since = s
-        if (x < below) == bool(asleep):
-            return (asleep, -1.0), None
-        since = t if since < 0 else since
-        if t - since >= (leave if asleep else enter):
-            return (1 - asleep, -1.0), (bool(1 - asleep), since)
-        return (asleep, since), None
 
-    return Kernel((0.0, -1.0), step, "asleep boolean, since double")
+def room_active(threshold: float = 0.10, window: float = 30.0, idle: float = 600.0, warm_up: float = 60.0) -> Kernel:
+    """Values presence, motion.  Active from motion with presence until nobody is there or ``idle`` seconds pass."""
+
+    def step(s: State, v: tuple, t: float):
+        active, last = s
+        presence, motion = v
+        if t < warm_up:
+            return s, None
+        last = t if presence and motion >= threshold else last
+        if not active and presence and last is not None and t - last < window:
+            return (True, last), (True,)
+        if active and (not presence or last is None or t - last >= idle):
+            return (False, last), (False,)
+        return (active, last), None
+
+    return Kernel((False, None), step, "active boolean")
+
+
+def meeting(persons: int = 2, dwell: float = 600.0, leave: float = 120.0, warm_up: float = 60.0) -> Kernel:
+    """Values persons, motion.  A meeting after ``dwell`` seconds of enough persons with little motion."""
+
+    def step(s: State, v: tuple, t: float):
+        active, since = s
+        if t < warm_up:
+            return s, None
+        if (v[0] >= persons) if active else not (v[0] >= persons and 0.01 <= v[1] < 0.20):
+            return (active, None), None
+        since = t if since is None else since
+        if t - since >= (leave if active else dwell):
+            return (not active, None), (not active,)
+        return (active, since), None
+
+    return Kernel((False, None), step, "meeting boolean")
 
 
-def fold(df: DataFrame, key: str, order: Sequence[str], x: str, t: str, row_id: str, kernel: Kernel) -> DataFrame:
-    """Rows (key, row_id, outputs) that the kernel gives, key by key in order."""
+def inactivity(multiple: float = 2.0, floor: float = 1800.0, pause: float = 86_400.0, warm_up: float = 60.0) -> Kernel:
+    """Values presence, motion.  Stillness of ``multiple`` times the longest one before, at most once in ``pause`` seconds."""
+
+    def step(s: State, v: tuple, t: float):
+        active, longest, since, fired = s
+        if t < warm_up:
+            return s, None
+        if not (v[0] and v[1] < 0.02):
+            longest = longest if since is None else max(longest, t - since)
+            return (False, longest, None, fired), ((False,) if active else None)
+        since = t if since is None else since
+        if not active and t - since >= longest * multiple and (fired is None or t - fired >= pause):
+            return (True, longest, since, t), (True,)
+        return (active, longest, since, fired), None
+
+    return Kernel((False, floor, None, None), step, "anomaly boolean")
+
+
+def hash_links(genesis: str = "0" * 64) -> Kernel:
+    """Value: a record's canonical text.  Each link is the hash of the link before, the number and the text."""
+
+    def step(s: State, v: tuple, t: float):
+        seq, before = s
+        link = hashlib.sha256(f"{before}|{seq}|{v[0]}".encode()).hexdigest()
+        return (seq + 1, link), (seq, before, link)
+
+    return Kernel((0, genesis), step, "seq long, prev string, link string")
+
+
+def resonator(low: float, high: float, rate: float) -> Kernel:
+    """A second-order band pass from ``low`` to ``high`` hertz at ``rate`` samples a second."""
+    a, b = (2 * math.pi * f / rate for f in (low, high))
+    r, turn = min(max(1 - (b - a) / 2, 0.0), 0.9999), math.cos((a + b) / 2)
+
+    def step(s: State, v: tuple, t: float):
+        x1, x2, y1, y2 = s
+        y = (1 - r) * (v[0] - x2) + 2 * r * turn * y1 - r * r * y2
+        return ((v[0], x1, y, y1), (y,)) if math.isfinite(y) else ((0.0,) * 4, (0.0,))
+
+    return Kernel((0.0,) * 4, step, "filtered double")
+
+
+def _missing(v: object) -> bool:
+    return v is None or (isinstance(v, float) and math.isnan(v))
+
+
+def fold(df: DataFrame, key: str, order: Sequence[str], x: str | Sequence[str], t: str, row_id: str, kernel: Kernel) -> DataFrame:
+    """Rows (key, row_id, outputs) that the kernel gives, key by key in order; ``x`` names one value or several."""
     kinds = dict(df.dtypes)
-    schema = f"`{key}` {kinds[key]}, `{row_id}` {kinds[row_id]}, {kernel.output}"
-    names = [key, row_id, *[c.split()[0] for c in kernel.output.split(", ")]]
-    rows = df.select(F.col(key).alias("__el_key"), F.col(row_id).alias("__el_id"), F.col(x).cast("double").alias("__el_x"), F.col(t).cast("double").alias("__el_t"), *[F.col(c).alias(f"__el_o{k}") for k, c in enumerate(order)])
+    columns = [x] if isinstance(x, str) else list(x)
+    schema = StructType.fromDDL(f"`{key}` {kinds[key]}, `{row_id}` {kinds[row_id]}, {kernel.output}")
+    arrow = to_arrow_schema(schema)
+    cast = lambda c: F.col(c).cast("double") if isinstance(x, str) and kinds[c] not in ("string", "boolean") else F.col(c)
+    values = [cast(c).alias(f"__el_x{k}") for k, c in enumerate(columns)]
+    rows = df.select(F.col(key).alias("__el_key"), F.col(row_id).alias("__el_id"), F.col(t).cast("double").alias("__el_t"), *values, *[F.col(c).alias(f"__el_o{k}") for k, c in enumerate(order)])
     rows = rows.repartition("__el_key").sortWithinPartitions("__el_key", *[f"__el_o{k}" for k in range(len(order))])
+    rows = rows.select("__el_key", "__el_id", "__el_t", *[f"__el_x{k}" for k in range(len(columns))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), kernel.start
-        for f in frames:
+        for batch in batches:
             out = []
-            for k, i, v, s in zip(f["__el_key"], f["__el_id"], f["__el_x"].tolist(), f["__el_t"].tolist(), strict=True):
+            for k, i, s, *v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if k != last:
                     last, state = k, kernel.start
-                state, got = kernel.step(state, v, s)
+                if s is None or any(map(_missing, v)):
+                    continue
+                state, got = kernel.step(state, tuple(v), s)
                 if got is not None:
                     out.append((k, i, *got))
-            yield pd.DataFrame(out, columns=names)
+            held = list(zip(*out, strict=True)) or [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, arrow, strict=True)], schema=arrow)
 
-    return rows.select("__el_key", "__el_id", "__el_x", "__el_t").mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def fold_stream(df: DataFrame, key: str, order: Sequence[str], x: str, t: str, row_id: str, kernel: Kernel) -> DataFrame:
-    """The same over a stream, whose batches bring each key's rows in order."""
+    """The same over a stream whose batches bring each key's rows in order, for kernels with numeric states."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     kinds = dict(df.dtypes)
@@ -160,12 +314,15 @@ def fold_stream(df: DataFrame, key: str, order: Sequence[str], x: str, t: str, r
 
     def run(own, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else kernel.start
+        rows = pd.concat(list(frames)).sort_values(list(order))  # one key's rows of one batch
         out = []
-        for _, row in pd.concat(list(frames)).sort_values(list(order)).iterrows():  # one key's rows of one batch
-            now, got = kernel.step(now, float(row[x]), float(row[t]))
+        for i, v, s in zip(rows[row_id].tolist(), rows[x].tolist(), rows[t].tolist(), strict=True):
+            if _missing(s) or _missing(v):
+                continue
+            now, got = kernel.step(now, (float(v),), float(s))
             if got is not None:
-                out.append((own[0], row[row_id], *got))
-        state.update(tuple(float(v) for v in now))
+                out.append((own[0], i, *got))
+        state.update(tuple(None if v is None else float(v) for v in now))
         yield pd.DataFrame(out, columns=names)
 
     return df.groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{row_id}` {kinds[row_id]}, {kernel.output}", held, "append", GroupStateTimeout.NoTimeout)

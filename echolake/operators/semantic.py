@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echolake.plans.ranking import with_running_total
+
 #: Alert priorities, the lowest first, and triage classes that can be raised.
 PRIORITIES = ("low", "medium", "high", "critical")
 UPGRADES = {"minor": "delayed", "delayed": "immediate"}
@@ -55,7 +57,8 @@ def upgraded(status: Column, deteriorating: Column) -> Column:
 
 def joint_distances(pred: Column, truth: Column) -> Column:
     """Distances of 2-D joints, given as flat arrays x, y, x, y, ..."""
-    pairs = F.sequence(F.lit(0), F.floor(F.size(pred) / 2).cast("int") - 1)
+    n = F.floor(F.size(pred) / 2).cast("int")
+    pairs = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
     def distance(k: Column) -> Column:
         d = [F.get(pred, 2 * k + j).cast("double") - F.get(truth, 2 * k + j).cast("double") for j in (0, 1)]
@@ -77,14 +80,13 @@ def keypoint_similarity(distances: Column, scale: float, spread: float) -> Colum
     return mean_of(F.transform(distances, lambda d: F.exp(-d * d / (2 * scale * scale * spread * spread))))
 
 
-def auc(df: DataFrame, score: str, positive: str, digits: int = 4) -> DataFrame:
-    """Area under the curve and the leakage 2 |auc - 1/2| for scores from 0 to 1.
+def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
+    """Area under the curve and the leakage 2 |auc - 1/2|; equal scores count half, null ones not at all.
 
-    Scores are rounded, so that only their counts (at most 10^digits + 1 rows)
-    meet in the running sum; equal scores count half.
+    Scores are counted by value; the values of one bin at a time are summed up in order.
     """
-    bins = df.groupBy(F.round(score, digits).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = bins.withColumn("won", F.col("p") * (below + F.col("n") / 2))
-    value = F.sum("won") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))
-    return won.agg(value.alias("auc")).withColumn("leakage", 2 * F.abs(F.col("auc") - 0.5))
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+    ranked = with_running_total(counts, [], "s", "n", "__el_n")
+    won = F.col("p") * (F.col("__el_n") - F.col("n") / 2)
+    value = F.sum(won) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))
+    return ranked.agg(value.alias("auc")).withColumn("leakage", 2 * F.abs(F.col("auc") - 0.5))

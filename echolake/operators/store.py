@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echolake.plans.ranking import with_running_total
+
 MAX_ENTITIES = 32
 ROW_BUDGET = 100_000
 
@@ -85,25 +87,27 @@ def counts_by_table(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def floor_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """Percentiles at ``sorted[int(n * p)]`` of the non-null values, from ranks and not from lists."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("__el_at", F.row_number().over(w.orderBy(value)) - 1).withColumn("__el_n", F.count(F.lit(1)).over(w))
+def _at_places(df: DataFrame, keys: Sequence[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """By key, the values at places (from 0, made of ``n``): values are counted, and the counts summed up range by range."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__el_c"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    upto = with_running_total(counts, keys, value, "__el_c", "__el_upto").join(F.broadcast(sizes), list(keys))
+    hits = [F.max(F.when((p < F.col("__el_upto")) & (p >= F.col("__el_upto") - F.col("__el_c")), F.col(value))).alias(name) for name, p in places.items()]
+    return upto.groupBy(*keys).agg(*hits)
 
-    def at(p: float) -> Column:
-        place = F.least(F.floor(F.col("__el_n") * F.lit(p)), F.col("__el_n") - 1)
-        return F.max(F.when(F.col("__el_at") == place, F.col(value))).alias(f"p{round(100 * p)}")
 
-    return ranked.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), *[at(p) for p in shares])
+def floor_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Percentiles at ``sorted[int(n * p)]`` of the non-null values, with count, sum, least, most and mean."""
+    some = df.where(F.col(value).isNotNull())
+    places = {f"p{round(100 * p)}": F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1) for p in shares}
+    whole = some.groupBy(*keys).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    return whole.join(_at_places(some, keys, value, places), list(keys))
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """Percentiles at rank ceil(p n) of the finite values."""
     finite = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
-    w = Window.partitionBy(*keys)
-    ranked = finite.withColumn("__el_at", F.row_number().over(w.orderBy(value))).withColumn("__el_n", F.count(F.lit(1)).over(w))
-    out = [F.max(F.when(F.col("__el_at") == F.greatest(F.ceil(F.col("__el_n") * F.lit(p)), F.lit(1)), F.col(value))).alias(f"p{round(100 * p)}") for p in shares]
-    return ranked.groupBy(*keys).agg(*out)
+    return _at_places(finite, keys, value, {f"p{round(100 * p)}": F.greatest(F.ceil(F.col("n") * F.lit(p)), F.lit(1)) - 1 for p in shares})
 
 
 def time_bins(df: DataFrame, keys: Sequence[str], seconds: str, width: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Vector search for a stated, small set of queries against all rows."""
+"""Vector search: stated queries against all rows, in blocks of a bounded size."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 256
-SKETCH_DIMS = 64
+from echolake.plans.shared import materialize
+
+QUERIES_PER_BLOCK = 256
+_WORD = 32
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,23 +26,37 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def sign_sketch(v: Column) -> Column:
-    """One bit for each of the first 64 components: whether it is above 0."""
-    bits = F.transform(F.slice(v, 1, SKETCH_DIMS), lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i % 32)).otherwise(0.0))
-    low = F.aggregate(F.slice(bits, 1, 32), F.lit(0.0), lambda s, b: s + b).cast("long")
-    high = F.aggregate(F.slice(bits, 33, 32), F.lit(0.0), lambda s, b: s + b).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(low)
+    """One bit for each component, whether it is above 0, in words of 32 bits."""
+    words = F.ceil(F.size(v) / _WORD).cast("int")
+    power = lambda x, i: F.when(x > 0, F.pow(F.lit(2.0), i.cast("double"))).otherwise(0.0)
+    word = lambda k: F.aggregate(F.transform(F.slice(v, k * _WORD + 1, F.lit(_WORD)), power), F.lit(0.0), lambda s, b: s + b).cast("long")
+    return F.when(words > 0, F.transform(F.sequence(F.lit(0), words - 1), word)).otherwise(F.array().cast("array<long>"))
+
+
+def hamming(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
 
 
-def nearest(df: DataFrame, key: str, query_ids: Sequence[int], features: Sequence[str], distance, k: int) -> DataFrame:
-    """The ``k`` nearest other rows of each query: (query, key, distance), ties by key.
+def nearest(df: DataFrame, key: str, is_query: Column, features: Sequence[str], distance, k: int) -> DataFrame:
+    """The ``k`` nearest other rows of each query row: (query, key, distance), ties by key.
 
-    The queries are broadcast, at most ``MAX_QUERIES`` rows; each partition
-    keeps its own best before the shuffle.
+    Queries are numbered and cut into blocks of ``QUERIES_PER_BLOCK`` rows.  One
+    block after another is broadcast; each partition keeps its own best before
+    the shuffle, so no block emits more than ``k`` rows a query and partition.
     """
-    if len(query_ids) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries")
-    ask = df.where(F.col(key).isin(list(query_ids))).select(F.col(key).alias("query"), *[F.col(f).alias(f"q_{f}") for f in features])
-    met = df.select(key, *features).join(F.broadcast(ask), F.col(key) != F.col("query"))
-    scored = met.select("query", key, distance(*[c for f in features for c in (F.col(f), F.col(f"q_{f}"))]).alias("distance"))
+    cut = df.where(is_query).select(F.col(key).alias("query"), *[F.col(f).alias(f"q_{f}") for f in features])
+    n = cut.count()
+    blocks = max(1, -(-n // QUERIES_PER_BLOCK))
+    cut = materialize(cut.repartition(blocks, F.xxhash64("query")).withColumn("__el_part", F.spark_partition_id()), "queries")
+    sizes = {r[0]: r[1] for r in cut.groupBy("__el_part").count().collect()}  # a row a block
     w = Window.partitionBy("query").orderBy("distance", key)
-    return scored.withColumn("__el_rank", F.row_number().over(w)).where(F.col("__el_rank") <= k).drop("__el_rank")
+    found: DataFrame | None = None
+    for part, size in sorted(sizes.items()):
+        for turn in range(-(-size // QUERIES_PER_BLOCK)):  # a block that repeated ids have made larger
+            few = -(-size // QUERIES_PER_BLOCK)
+            ask = cut.where((F.col("__el_part") == part) & (F.pmod(F.xxhash64("query", *[f"q_{f}" for f in features]), F.lit(few)) == turn)).drop("__el_part")
+            met = df.select(key, *features).join(F.broadcast(ask), F.col(key) != F.col("query"))
+            scored = met.select("query", key, distance(*[c for f in features for c in (F.col(f), F.col(f"q_{f}"))]).alias("distance"))
+            best = scored.withColumn("__el_rank", F.row_number().over(w)).where(F.col("__el_rank") <= k).drop("__el_rank")
+            found = best if found is None else found.unionByName(best)
+    return found if found is not None else df.select(F.col(key).alias("query"), key, F.lit(0.0).alias("distance")).limit(0)

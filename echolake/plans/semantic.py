@@ -23,18 +23,18 @@ def bed_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.leaves_zone(samples(spark, sf_dir), ["node"], _ORDER, "kind", "view", second, 79_200, 21_600).select("event_id", "node")
 
 
-_RISK = f"""q AS (SELECT *, CAST(floor(t) AS BIGINT) AS sec FROM s), r AS (SELECT event_id, node, ts, least(100.0, 10.0 * count(*) FILTER (WHERE x > 40) OVER (PARTITION BY node ORDER BY sec RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)
- + 0.1 * coalesce(var_pop(x) OVER (PARTITION BY node ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW), 0)) AS score FROM q)"""
+_RISK = f"""q AS (SELECT *, CAST(floor(t) AS BIGINT) AS sec FROM s), r AS (SELECT event_id, node, ts, least(100.0, 30.0 * count(*) FILTER (WHERE x > 40) OVER (PARTITION BY node ORDER BY sec RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)
+ + 50 * coalesce(var_pop(x / 400) OVER (PARTITION BY node ORDER BY sec RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW), 0)) AS score FROM q)"""
 
 
-@query(f"WITH {SAMPLES}, {_RISK}, c AS (SELECT *, lag(score) OVER ({_W}) AS b FROM (SELECT event_id, node, ts, round(score, 4) AS score FROM r)) SELECT event_id, node FROM c WHERE score >= 20 AND (b IS NULL OR b < 20)")
+@query(f"WITH {SAMPLES}, {_RISK}, c AS (SELECT *, lag(score) OVER ({_W}) AS b FROM (SELECT event_id, node, ts, round(score, 4) AS score FROM r)) SELECT event_id, node FROM c WHERE score >= 70 AND (b IS NULL OR b < 70)")
 def elderly_fall_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Falls of a day and variance of an hour as a score of at most 100; its upward crossings."""
     s = samples(spark, sf_dir)
     falls = S.recent_count(s, ["node"], "t", F.col("x") > 40, 86_400)
     hour = Window.partitionBy("node").orderBy(F.col("t").cast("long")).rangeBetween(-3600, 0)
-    score = F.round(F.least(F.lit(100.0), F.col("recent") * 10.0 + F.coalesce(F.var_pop("x").over(hour), F.lit(0.0)) * 0.1), 4)
-    return R.risk_crossings(falls.withColumn("score", score), ["node"], _ORDER, "score", 20).select("event_id", "node")
+    score = F.round(F.least(F.lit(100.0), F.col("recent") * 30.0 + F.coalesce(F.var_pop(F.col("x") / 400).over(hour), F.lit(0.0)) * 50), 4)
+    return R.risk_crossings(falls.withColumn("score", score), ["node"], _ORDER, "score", 70).select("event_id", "node")
 
 
 _ZONES = "z AS (SELECT node, CAST(floor(t / 21600) AS BIGINT) AS slot, list_sort(list(DISTINCT kind)) AS zones FROM s GROUP BY ALL), b AS (SELECT *, coalesce(lag(zones) OVER (PARTITION BY node ORDER BY slot), []) AS was FROM z)"
@@ -121,7 +121,7 @@ def pose_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("vec_id", *[F.round(c, 5).alias(c) for c in ("mpjpe", "pck", "oks")])
 
 
-@query(f"""WITH {SAMPLES}, b AS (SELECT round(least(x / 80, 1.0), 4) AS p, kind = 'error' AS y FROM s), c AS (SELECT p, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE NOT y) AS neg FROM b GROUP BY p),
+@query(f"""WITH {SAMPLES}, b AS (SELECT least(x / 80, 1.0) AS p, kind = 'error' AS y FROM s), c AS (SELECT p, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE NOT y) AS neg FROM b GROUP BY p),
 w AS (SELECT pos, neg, pos * (coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS won FROM c), a AS (SELECT sum(won) / (sum(pos) * sum(neg)) AS auc FROM w) SELECT round(auc, 6) AS auc, round(2 * abs(auc - 0.5), 6) AS leakage FROM a""")
 def auc_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = samples(spark, sf_dir).select(F.least(F.col("x") / 80, F.lit(1.0)).alias("p"), (F.col("kind") == "error").alias("y"))

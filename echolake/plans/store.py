@@ -125,9 +125,9 @@ def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.nearest_rank(samples(spark, sf_dir), ["kind"], "x", [0.5, 0.95])
 
 
-@query(f"WITH {SAMPLES} SELECT node % 4 AS zone, CAST(floor(t / 300) * 300 AS BIGINT) AS bin, count(*) AS n, round(avg(x), 6) AS mean, max(x) AS most FROM s WHERE node % 4 IN (1, 2) GROUP BY ALL")
+@query(f"WITH {SAMPLES} SELECT node % 4 AS zone, CAST(floor(t / 300) * 300 AS BIGINT) AS bin, count(*) AS n, round(avg(x), 6) AS mean, max(x) AS most FROM s GROUP BY ALL")
 def historical_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zoned = samples(spark, sf_dir).withColumn("zone", F.col("node") % 4).where("zone IN (1, 2)")
+    zoned = samples(spark, sf_dir).withColumn("zone", F.col("node") % 4)
     return S.time_bins(zoned, ["zone"], "t", 300).groupBy("zone", "bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.max("x").alias("most"))
 
 
@@ -161,16 +161,3 @@ def application_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_status = o.groupBy(F.concat(F.lit("orders_"), F.lower("o_orderstatus")).alias("metric")).agg(F.count(F.lit(1)).alias("value"))
     whole = o.agg(F.count(F.lit(1)).alias("orders_total"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("orders_urgent"))
     return by_status.unionByName(whole.unpivot([], ["orders_total", "orders_urgent"], "metric", "value"))
-
-
-@query(f"""WITH {SAMPLES}, h AS (SELECT node, event_id, sha256(concat_ws('|', event_id, node, kind)) AS hash FROM s),
-c AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY node ORDER BY event_id), 'genesis') AS prev, row_number() OVER (PARTITION BY node ORDER BY event_id) - 1 AS seq FROM h)
-SELECT node, seq, prev, sha256(prev || hash) AS link FROM c""")
-def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Witness links: each record hashed with the hash of the one before."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("node").orderBy("event_id")
-    h = samples(spark, sf_dir).select("node", "event_id", F.sha2(F.concat_ws("|", "event_id", "node", "kind"), 256).alias("hash"))
-    c = h.select("node", (F.row_number().over(w) - 1).cast("long").alias("seq"), F.coalesce(F.lag("hash").over(w), F.lit("genesis")).alias("prev"), "hash")
-    return c.select("node", "seq", "prev", F.sha2(F.concat("prev", "hash"), 256).alias("link"))

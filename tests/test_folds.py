@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from echolake.operators import folds as K
+from echolake.operators import vitals as V
 from echolake.sources.tables import samples
 from echolake.streaming import windows as W
 
 SMALL = "/root/testdata/sf0.001"
-KERNELS = {
-    "ema": K.ema(), "cusum": K.cusum(20, 2, 60), "gate": K.predictive_gate(0.2, 15), "rate": K.rate_limit(3600),
-    "debounce": K.debounce((2, 6, 12), warm_up=5), "hysteresis": K.hysteresis_gate(20, 10, 2), "quiet": K.quiet_state(20, 3600, 1800),
-}
+KERNELS = {"ema": K.ema(), "cusum": K.cusum(20, 2, 60), "gate": K.predictive_gate(0.2, 15), "rate": K.rate_limit(3600), "motion": K.smoothed_motion(), "action": K.action_gate()}
 
 
 def loop(rows, kernel):
     state, out = defaultdict(lambda: kernel.start), Counter()
     for r in sorted(rows, key=lambda r: (r["ts"], r["event_id"])):
-        state[r["node"]], got = kernel.step(state[r["node"]], r["x"], r["t"])
+        state[r["node"]], got = kernel.step(state[r["node"]], (r["x"],), r["t"])
         if got is not None:
             out[r["node"], r["event_id"], *got] += 1
     return out
@@ -34,18 +33,69 @@ def test_fold_equals_loop(spark, name):
     assert found and Counter(map(tuple, found)) == loop(s.collect(), KERNELS[name])
 
 
-def test_steps():
-    run = lambda k, xs: [k.step(s, x, t)[1] for s, x, t in _states(k, xs)]
-    assert run(K.hysteresis_gate(5, 3, 2), [6, 6, 4, 2, 2]) == [(False,), (True,), (True,), (True,), (False,)]
-    assert [a[2] for a in run(K.cusum(0, 0, 5), [3, 3, 3, -3, -3])] == [0, 1, 0, 0, -1]
-    assert run(K.rate_limit(2), [0] * 5) == [(0,), None, (2,), None, (4,)]
+def states(kernel, rows):
+    """Outputs of rows (time, values...)."""
+    s, out = kernel.start, []
+    for t, *v in rows:
+        s, got = kernel.step(s, tuple(v), t)
+        out.append(got)
+    return out
 
 
-def _states(kernel, xs):
-    s = kernel.start
-    for t, x in enumerate(xs):
-        yield s, x, t
-        s = kernel.step(s, x, t)[0]
+def test_steps():
+    assert [a[2] for a in states(K.cusum(0, 0, 5), enumerate_values([3, 3, 3, -3, -3]))] == [0, 1, 0, 0, -1]
+    assert states(K.rate_limit(2), enumerate_values([0] * 5)) == [(0,), None, (2,), None, (4,)]
+    gate = states(K.action_gate(), [(0, 0.54), (1, 0.56), (3, 0.56), (6, 0.56), (7, 0.46), (8, 0.44), (12, 0.44), (13, 0.44), (20, 2.0), (24.9, 2.0), (25, 2.0)])
+    assert [g[0] for g in gate] == ["accept"] * 3 + ["predict_only"] * 4 + ["accept"] * 3 + ["recalibrate"]
+
+
+def enumerate_values(xs):
+    return [(t, x) for t, x in enumerate(xs)]
+
+
+def test_sleep_needs_its_dwell_and_ends_at_once_without_presence():
+    calm = (True, 0.01, 12.0, 0.9)
+    assert states(K.sleeping(), [(10, *calm), (60, *calm), (359, *calm), (360, *calm)]) == [None, None, None, (True,)]
+    asleep = [(60, *calm), (360, *calm)]
+    assert states(K.sleeping(), [*asleep, (361, False, 0.0, 12.0, 0.9)])[-1] == (False,)
+    assert states(K.sleeping(), [*asleep, (370, True, 0.2, 12.0, 0.9), (399, True, 0.2, 12.0, 0.9), (400, True, 0.2, 12.0, 0.9)])[2:] == [None, None, (False,)]
+    assert states(K.sleeping(), [(60, *calm), (200, True, 0.01, 21.0, 0.9), (360, *calm), (660, *calm)]) == [None, None, None, (True,)]
+
+
+def test_distress_waits_after_its_end():
+    calm, bad = (60.0, 0.9, 0.05, False), (100.0, 0.9, 0.5, False)
+    rows = [(0, *calm), (70, *bad), (129, *bad), (130, *bad), (140, *calm), (200, *bad), (439, *bad), (440, *bad), (499, *bad), (500, *bad)]
+    assert states(K.distress(), rows) == [None, None, None, (True,), (False,), None, None, None, None, (True,)]
+    assert states(K.distress(), [(0, *calm), (70, 100.0, 0.9, 0.5, True), (140, 100.0, 0.9, 0.5, True)]) == [None] * 3
+
+
+def test_nulls_leave_the_state_and_keys_stay_exact(spark):
+    big = 9007199254740993
+    rows = [(big, 1, 1.0, 5.0), (big, 2, 2.0, None), (big, 3, 3.0, float("nan")), (big, 4, None, 7.0), (big, 5, 5.0, 9.0), (None, 6, 1.0, 2.0), (None, 7, 2.0, 4.0), (7, 8, 1.0, None)]
+    s = spark.createDataFrame(rows, "node long, event_id long, t double, x double")
+    found = {(r[0], r[1]): r[2] for r in K.fold(s, "node", ["event_id"], "x", "t", "event_id", K.ema(0.5)).collect()}
+    assert found == {(big, 1): 5.0, (big, 5): 7.0, (None, 6): 2.0, (None, 7): 3.0}
+
+
+def test_changed_chains_are_found(spark):
+    rows = [(k, i, float(i), f"record {i}") for k in range(5) for i in range(6)]
+    s = spark.createDataFrame(rows, "k long, i long, t double, body string")
+    chain = K.fold(s, "k", ["i"], "body", "t", "i", K.hash_links()).join(s.select("k", "i", "body"), ["k", "i"])
+    body = F.when(F.expr("k = 1 and i = 3"), "changed").otherwise(F.col("body"))
+    link = F.when(F.expr("k = 2 and i = 4"), F.sha2(F.lit("other"), 256)).otherwise(F.col("link"))
+    prev = F.when(F.expr("k = 4 and i = 2"), F.sha2(F.lit("other"), 256)).otherwise(F.col("prev"))
+    changed = chain.select("k", "seq", prev.alias("prev"), link.alias("link"), body.alias("body")).where("not (k = 3 and seq = 1)")
+    found = {r[0]: tuple(r)[1:] for r in V.chain_faults(changed, "k", "seq", "prev", "link", "body").collect()}
+    assert found == {0: (6, None, None), 1: (6, 3, "hash_mismatch"), 2: (6, 4, "hash_mismatch"), 3: (5, 1, "seq_gap"), 4: (6, 2, "prev_mismatch")}
+
+
+def test_breathing_of_a_planted_sinusoid(spark):
+    """A quarter of a hertz at ten samples a second is fifteen breaths a minute."""
+    rows = [(1, k, k / 10, math.sin(2 * math.pi * 0.25 * k / 10) + 0.02 * math.sin(2 * math.pi * 3 * k / 10)) for k in range(600)]
+    s = spark.createDataFrame(rows, "node long, event_id long, t double, x double")
+    y = K.fold(s, "node", ["event_id"], "x", "t", "event_id", K.resonator(0.1, 0.5, 10.0))
+    last = V.rate_by_crossings(y, ["node"], ["event_id"], "filtered", 300, 100, 10.0, 0.1, 0.5).orderBy(F.desc("event_id")).first()
+    assert last["bpm"] == pytest.approx(15, abs=1) and last["confidence"] > 0.25
 
 
 @pytest.fixture(scope="module")
