@@ -29,7 +29,7 @@ BUCKETS = 1 << 15
 TRAIN_DOCS = 20_000
 LEAST_DOCS = 100
 _HELD = 32  # languages counted in a task at a time
-_CHARS = 1 << 20  # of a batch
+_CHARS = 1 << 16  # of a batch
 ALPHA = 0.5
 #: The reported posterior counts the evidence as that of this many n-grams at most, so that
 #: the score of a long text stays a measure of how clear the choice is; the choice itself weighs all.
@@ -59,7 +59,14 @@ def ngram_counts(text: str) -> np.ndarray:
 
 def incidence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sparse counts of a batch: rows, buckets and counts of the entries above zero, row by row."""
-    found = [np.unique(ngram_buckets(t), return_counts=True) for t in texts]
+    found = []
+    for t in texts:
+        if len(t) < BUCKETS // 8:
+            found.append(np.unique(ngram_buckets(t), return_counts=True))
+        else:  # the counts take less room than the n-grams
+            counts = ngram_counts(t)
+            hit = np.flatnonzero(counts)
+            found.append((hit, counts[hit]))
     rows = np.repeat(np.arange(len(texts)), [len(b) for b, _ in found])
     return rows, np.concatenate([b for b, _ in found]).astype(np.int64), np.concatenate([n for _, n in found]).astype(float)
 
