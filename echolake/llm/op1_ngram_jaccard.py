@@ -504,7 +504,8 @@ def _found(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, DataFram
     full = rows.where("set_id is not null")
     sets = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("many")), "sets")
     keyed = full.where(F.size("keys") > 0).groupBy("set_id").agg(F.first("keys").alias("keys"))
-    dealt = keyed.select("set_id", F.explode("keys").alias("key"))
+    # most keys are of one set, so that partial sums shrink nothing: one shuffle serves the ends and the join
+    dealt = keyed.select("set_id", F.explode("keys").alias("key")).where("key is not null").repartition("key")
     ends = dealt.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("other")).where("pivot <> other")
     blocks = materialize(dealt.join(ends.select("key", "pivot"), "key").select("key", "set_id", "pivot"), "blocks")
 
