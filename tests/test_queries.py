@@ -65,7 +65,7 @@ def test_running_totals_over_many_ranges(spark):
 
     from echolake.plans.ranking import with_running_total
 
-    rows = [(k, float(v), (v * 7 + k) % 5 + 1) for k in (1, 2, None) for v in range(60)]
+    rows = [(k, float(v), (v * 7 + (k or 0)) % 5 + 1) for k in (1, 2, None) for v in range(60)]
     got = with_running_total(spark.createDataFrame(rows, "k long, v double, n long"), ["k"], "v", "n", "upto").collect()
     for k in (1, 2, None):
         own = sorted((r["v"], r["n"], r["upto"]) for r in got if r["k"] == k)
