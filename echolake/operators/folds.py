@@ -246,6 +246,75 @@ def inactivity(multiple: float = 2.0, floor: float = 1800.0, pause: float = 86_4
     return Kernel((False, floor, None, None), step, "anomaly boolean")
 
 
+def spaced() -> Kernel:
+    """Values pause and any other: rows at least their pause after the last row that passed, with the other value."""
+
+    def step(s: State, v: tuple, t: float):
+        return (s, None) if s[0] is not None and t - s[0] < v[0] else ((t,), (float(v[1]),))
+
+    return Kernel((None,), step, "value double")
+
+
+def beside_mean(alpha: float) -> Kernel:
+    """Values rate and frame: both again, beside the exponential mean started at the first rate."""
+
+    def step(s: State, v: tuple, t: float):
+        mean = v[0] if s[0] is None else s[0] + alpha * (v[0] - s[0])
+        return (mean,), (v[0], v[1], mean)
+
+    return Kernel((None,), step, "rate double, frame long, mean double")
+
+
+def occupied_zone(arrive: int = 200, leave: int = 6000, every: int = 20, alpha: float = 0.1) -> Kernel:
+    """Values presence score, motion.  Every so many rows: occupied, activity, and what is left of the time to leave.
+
+    The state turns after so many rows on end that speak against it.
+    """
+
+    def step(s: State, v: tuple, t: float):
+        n, on, against, mean = s
+        n, mean = n + 1, mean * (1 - alpha) + v[1] * alpha
+        against = against + 1 if (v[0] > 0.5) != on else 0
+        if against >= (leave if on else arrive):
+            on, against = not on, 0
+        shown = (on, 1.0 if mean > 0.3 else mean, 1 - against / leave if on and against else None)
+        return (n, on, against, mean), (shown if n % every == 0 else None)
+
+    return Kernel((0, False, 0, 0.0), step, "occupied boolean, activity double, countdown double")
+
+
+def loitering(confirm: int = 60, dwell: int = 6000, leave: int = 600, report: int = 600, pause: int = 200, rate: float = 20.0) -> Kernel:
+    """Values presence, motion.  ``start``, ``ongoing`` and ``end`` of loitering with the seconds stayed.
+
+    Starts after ``dwell`` still rows of a confirmed stay (absences below half of ``leave`` rows do not end it),
+    ends after ``leave`` rows of absence; the next stay can begin ``pause`` rows later.
+    """
+    away, entering, staying = range(3)  # and loitering beyond
+
+    def step(s: State, v: tuple, t: float):
+        phase, count, stayed, told, rest = s  # count: rows of presence on entering, of absence later
+        rest = max(rest - 1, 0)
+        there, still = v[0], v[1] < 0.5
+        if phase == away:
+            return ((entering, 1, 0, 0, rest) if there and not rest else (away, 0, 0, 0, rest)), None
+        if phase == entering:
+            if not there:
+                return (away, 0, 0, 0, rest), None
+            return ((staying, 0, 0, 0, rest) if count + 1 >= confirm else (entering, count + 1, 0, 0, rest)), None
+        if there:
+            stayed += 1 if phase > staying or still else 0
+            if phase == staying:
+                begun = stayed >= dwell
+                return (phase + begun, 0, stayed, 0, rest), (("start", stayed / rate) if begun else None)
+            told = (told + 1) % report
+            return (phase, 0, stayed, told, rest), (None if told else ("ongoing", stayed / rate))
+        if count + 1 < (leave // 2 if phase == staying else leave):
+            return (phase, count + 1, stayed, told, rest), None
+        return ((away, 0, 0, 0, rest), None) if phase == staying else ((away, 0, 0, 0, pause), ("end", stayed / rate))
+
+    return Kernel((away, 0, 0, 0, 0), step, "alert string, seconds double")
+
+
 def hash_links(genesis: str = "0" * 64) -> Kernel:
     """Value: a record's canonical text.  Each link is the hash of the link before, the number and the text."""
 
