@@ -21,6 +21,7 @@ RATE = 20.0
 BREATH_FLOOR, STILL_MOTION, BODY_VARIANCE = 4.0, 0.02, 0.005
 TURBULENT = 0.6
 HEART_HIGH, HEART_LOW, BEAT_DROP, RMSSD_RANGE, RMSSD_SCALE = 100.0, 50.0, 0.30, (10.0, 120.0), 17.0
+APNEA_BELOW, BREATH_RANGE, TREND_HEART_RANGE = 1.0, (12.0, 25.0), (50.0, 120.0)
 NIGHT_FROM, NIGHT_TO, USED = 22, 6, 0.1
 
 
@@ -125,6 +126,27 @@ def heart_rhythm(df: DataFrame, key: str, order: Sequence[str], row_id: str, hea
     return paused(found, key, row_id, dict.fromkeys(("tachycardia", "bradycardia", "missed_beat", "variability"), pause))
 
 
+def vital_trend(df: DataFrame, key: str, order: Sequence[str], row_id: str, breathing: str, heart: str, lasting: int = 5, apnea: int = 20, window: int = 60) -> DataFrame:
+    """One row a second: no breath for ``apnea`` rows, rates out of range for ``lasting`` rows, and means each ``window`` rows.
+
+    Alerts repeat while they last.  Means are of the readings that are there.
+    """
+    b, h = (F.col(c).cast("double") for c in (breathing, heart))
+    below = lambda c, limit: F.coalesce((c < limit) & ~F.isnan(c), F.lit(False))
+    s = runs(numbered(df, key, order), key, order, breathless=below(b, APNEA_BELOW),
+             slow_breath=above(b, 0) & below(b, BREATH_RANGE[0]), fast_breath=above(b, BREATH_RANGE[1]),
+             slow_heart=above(h, 0) & below(h, TREND_HEART_RANGE[0]), fast_heart=above(h, TREND_HEART_RANGE[1]))
+    last = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - window, 0)
+    s = s.withColumns({"breath_mean": F.avg(F.nanvl(b, F.lit(None))).over(last), "heart_mean": F.avg(F.nanvl(h, F.lit(None))).over(last)})
+    due = F.col("frame") % window == 0
+    return _alerts(s, key, row_id, {
+        "apnea": (F.col("breathless") >= apnea, F.col("breathless")),
+        "bradypnea": (F.col("slow_breath") >= lasting, b), "tachypnea": (F.col("fast_breath") >= lasting, b),
+        "bradycardia": (F.col("slow_heart") >= lasting, h), "tachycardia": (F.col("fast_heart") >= lasting, h),
+        "breathing_mean": (due & F.col("breath_mean").isNotNull(), F.col("breath_mean")), "heart_mean": (due & F.col("heart_mean").isNotNull(), F.col("heart_mean")),
+    })
+
+
 def occupancy_schedule(df: DataFrame, key: str, ts: str, presence: str, persons: str) -> DataFrame:
     """By key, day of the week (Sunday 0) and hour: rows, share of occupied ones, mean head count of these, and whether the hour is used."""
     there = F.coalesce(F.col(presence), F.lit(False))

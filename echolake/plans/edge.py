@@ -68,6 +68,17 @@ def heart_rhythm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(E.heart_rhythm(s, "node", _ORDER, "event_id", "heart", sustained=2, window=8, pause=6))
 
 
+@query(f"""WITH {_VIEW}, v AS (SELECT *, (breathing - 6) * 3 AS b, heart * 1.5 - 40 AS h FROM o),
+a AS ({_runs('v', {'none': 'b < 1', 'sb': 'b > 0 AND b < 12', 'fb': 'b > 25', 'sh': 'h > 0 AND h < 50', 'fh': 'h > 120'})}),
+m AS (SELECT *, avg(b) OVER w AS bm, avg(h) OVER w AS hm FROM a WINDOW w AS (PARTITION BY node ORDER BY r ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+u AS (SELECT node, event_id, 'apnea' AS alert, none::DOUBLE AS value FROM m WHERE none >= 2 UNION ALL SELECT node, event_id, 'bradypnea', b FROM m WHERE sb >= 3 UNION ALL SELECT node, event_id, 'tachypnea', b FROM m WHERE fb >= 3
+  UNION ALL SELECT node, event_id, 'bradycardia', h FROM m WHERE sh >= 3 UNION ALL SELECT node, event_id, 'tachycardia', h FROM m WHERE fh >= 3 UNION ALL SELECT node, event_id, 'breathing_mean', bm FROM m WHERE r % 10 = 0 UNION ALL SELECT node, event_id, 'heart_mean', hm FROM m WHERE r % 10 = 0)
+SELECT node, event_id, alert, round(value / pi(), 6) AS value_over_pi FROM u""")
+def vital_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _room(spark, sf_dir).withColumns({"breathing": (F.col("breathing") - 6) * 3, "heart": F.col("heart") * 1.5 - 40})
+    return _shown(E.vital_trend(s, "node", _ORDER, "event_id", "breathing", "heart", lasting=3, apnea=2, window=10))
+
+
 @query(f"WITH {_VIEW} SELECT node, dayofweek(ts) AS day, hour(ts) AS hour, count(*) AS n, round(avg(presence::INT), 6) AS occupied, round(coalesce(avg(greatest(persons, 0)) FILTER (presence), 0.0), 6) AS heads, avg(presence::INT) >= 0.1 AS used FROM o GROUP BY ALL")
 def occupancy_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = E.occupancy_schedule(_room(spark, sf_dir), "node", "ts", "presence", "persons")

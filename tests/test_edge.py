@@ -60,6 +60,12 @@ def test_heart_rhythm_skips_missing_rates(room):
     assert got == sorted(first.values()) and len(got) == 4
 
 
+def test_vital_trend(room):
+    rows = [(True, 0.5, 0.5, 1.0, 1, 130.0)] * 3 + [(True, None, 0.5, 1.0, 1, float("nan"))] + [(True, 30.0, 0.5, 1.0, 1, 40.0)] * 2
+    got = alerts(E.vital_trend(room(rows), "k", ["i"], "i", "breath", "heart", lasting=2, apnea=3, window=6))
+    assert got == [(1, "bradypnea", 0.5), (1, "tachycardia", 130), (2, "apnea", 3), (2, "bradypnea", 0.5), (2, "tachycardia", 130), (5, "bradycardia", 40), (5, "breathing_mean", 12.3), (5, "heart_mean", 94), (5, "tachypnea", 30)]
+
+
 def test_loitering_and_zone_ignore_missing_rows(room):
     there, away = (True, 12.0, 0.1, 1.0, 1, 70.0), (False, 12.0, 0.1, 1.0, 1, 70.0)
     s = room([there] * 6 + [(None, 12.0, 0.1, 1.0, 1, 70.0)] + [there, away, away, there])
