@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are character n-grams of words.  A bounded sample of labelled documents
-chooses the terms that go with the label, by chi-squared; document frequencies
+Terms are character n-grams of words, and n-grams that a text repeats or is
+dense with, as a cosine alone forgets how often.  A bounded sample of labelled
+documents chooses the terms that go with the label, by chi-squared; document frequencies
 of these are counted over all documents.  Examples are unit TF-IDF vectors in a
 block-max inverted index: posting lists of a term lead to blocks of examples
 with the largest weight in the block, so blocks whose bound is below the k-th
@@ -33,7 +34,9 @@ from echolake.plans.shared import materialize
 GRAM = 5
 PER_LABEL, MAX_TERMS, MAX_POSTINGS = 8192, 4096, 4_000_000
 #: A term must be in so many labelled documents and have such a chi-squared (p = 0.0001).
-MIN_DOCS, MIN_CHI2 = 5, 15.14
+MIN_DOCS, MIN_CHI2 = 3, 15.14
+#: An n-gram found so often is a term of its own; so is a repeated one that is in one of so many words.
+REPEATS, SPARSEST = (2, 3, 5), (200, 60)
 BLOCK = 64
 NEIGHBOURS = 15
 #: Weight of the share of toxic documents among those without a term.
@@ -54,6 +57,12 @@ def words(text: str) -> Counter:
     return Counter(m[0] for m in _WORD.finditer(low)) if len(low) > _LONG else Counter(_WORD.findall(low))
 
 
+def levels(count: int, n_words: int) -> list[int]:
+    """The levels that an n-gram reaches with so many finds among so many words; 0 is to be there."""
+    out = [0, *[k for k, n in enumerate(REPEATS, 1) if count >= n]]
+    return out + [k for k, n in enumerate(SPARSEST, 1 + len(REPEATS)) if count >= REPEATS[0] and count * n >= n_words]
+
+
 @dataclass(frozen=True)
 class Terms:
     """Chosen terms by number, with their inverse document frequencies."""
@@ -173,8 +182,14 @@ def choose_terms(examples: DataFrame) -> list[str]:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for g in set().union(*map(grams, words(text))):
-                    n.setdefault(g, [0, 0])[toxic] += 1
+                found, seen = words(text), Counter()
+                for w, c in found.items():
+                    for g in grams(w):
+                        seen[g] += c
+                total_words = found.total()
+                for g, c in seen.items():
+                    for level in levels(c, total_words) if c > 1 else (0,):
+                        n.setdefault(f"{g} {level}", [0, 0])[toxic] += 1
                 if len(n) > 500_000:
                     yield out()
                     n.clear()
@@ -192,10 +207,19 @@ def choose_terms(examples: DataFrame) -> list[str]:
     return [r[0] for r in ranked.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()]
 
 
+def _by_gram(names: list[str]) -> dict[str, dict[int, int]]:
+    """For each n-gram the numbers of its terms by level."""
+    out: dict[str, dict[int, int]] = {}
+    for k, name in enumerate(names):
+        g, level = name.rsplit(" ", 1)
+        out.setdefault(g, {})[int(level)] = k
+    return out
+
+
 def with_terms(docs: DataFrame, names: list[str]) -> DataFrame:
     """``docs`` (whose ``text`` goes) with __el_terms and __el_counts, the chosen terms of each whole text."""
     rest = [c for c in docs.columns if c != "text"]
-    number = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(names)})
+    number = docs.sparkSession.sparkContext.broadcast(_by_gram(names))
     schema = docs.select(*[F.col(f"`{c}`") for c in rest], F.array().cast("array<int>").alias("__el_terms"), F.array().cast("array<int>").alias("__el_counts")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,16 +227,16 @@ def with_terms(docs: DataFrame, names: list[str]) -> DataFrame:
         for batch in batches:
             terms, counts = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                n: Counter = Counter()
-                for w, c in words(text or "").items():
-                    ids = of.get(w)
-                    if ids is None:
+                found, seen = words(text or ""), Counter()
+                for w, c in found.items():
+                    own = of.get(w)
+                    if own is None:
                         if len(of) >= _KEPT_WORDS:
                             of.clear()
-                        ids = of[w] = tuple(known[g] for g in grams(w) if g in known)
-                    for k in ids:
-                        n[k] += c
-                held = sorted(n.items())
+                        own = of[w] = tuple(g for g in grams(w) if g in known)
+                    for g in own:
+                        seen[g] += c
+                held = sorted((known[g][k], c) for g, c in seen.items() for k in levels(c, found.total()) if k in known[g])
                 terms.append([k for k, _ in held])
                 counts.append([min(c, 2**31 - 1) for _, c in held])
             arrays = [*batch.columns[:-1], pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
