@@ -10,23 +10,24 @@ turns ordinals of units into character offsets:
 * the offsets are aggregated by document and the text is cut by substring.
 
 Only lengths, and the few matches that a cut falls into, leave the scan; the
-text itself moves once, to meet its offsets.  Rows are known by the hashes of
-text and cuts, so equal rows are exploded and joined once, and a lost task
-finds the same keys again.
+text itself moves once, compressed, to meet its offsets.  Rows are known by the hashes of
+text and cuts, so a lost task finds the same keys again.
 """
 
 from __future__ import annotations
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-from echolake.llm.groups import own_columns
 
 CODE_POINT = "(?s:.)"
 #: Words with the white space before them, and the white space at the end.
 WORD = r"(?:\s*\S+|\s+)"
 #: Units of one exploded match.
-UNITS_PER_RUN = 64
+UNITS_PER_RUN = 128
 #: Fixed values of the format.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN_FROM, SPM_BELOW = 90, 20
@@ -34,6 +35,18 @@ PLAIN_FROM, SPM_BELOW = 90, 20
 _KEY = ["__el_k1", "__el_k2"]
 
 
+@F.pandas_udf(BinaryType())
+def _packed(s: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdCompressor(level=1)
+    return s.map(lambda x: pack.compress(x.encode()), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _unpacked(s: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdDecompressor()
+    return s.map(lambda x: pack.decompress(x).decode(), na_action="ignore")
+
+
 def with_offsets(docs: DataFrame, text: str, cuts: str, out: str, unit: str = CODE_POINT, run: int = UNITS_PER_RUN) -> DataFrame:
     """``docs`` with ``out``: for each ordinal of the array ``cuts`` the number of characters of so many first units.
 
@@ -44,26 +57,26 @@ def with_offsets(docs: DataFrame, text: str, cuts: str, out: str, unit: str = CO
     table gives an empty one; a long text is many rows of one window.
     """
     wanted = F.coalesce(F.col(f"`{cuts}`"), F.array().cast("array<long>"))
-    keyed = docs.select(
-        *own_columns(docs), wanted.alias("__el_cuts"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__el_text"),
-    ).withColumns({"__el_k1": F.xxhash64("__el_text", "__el_cuts"), "__el_k2": F.xxhash64("__el_cuts", F.lit(1), "__el_text")})
-    asked = keyed.where(F.size("__el_cuts") > 0).select(*_KEY, "__el_text", "__el_cuts")
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    keyed = docs.withColumn("__el_cuts", wanted).withColumns({"__el_k1": F.xxhash64(whole, "__el_cuts"), "__el_k2": F.xxhash64("__el_cuts", F.lit(1), whole)})
+    asked = keyed.where(F.size("__el_cuts") > 0).select(*_KEY, whole.alias("__el_text"), "__el_cuts")
     place = lambda o: F.floor((F.greatest(o, F.lit(1)) - 1) / run).cast("int")
-    runs = asked.select(*_KEY, F.transform("__el_cuts", place).alias("hit"), F.posexplode(F.regexp_extract_all("__el_text", F.lit(f"(?:{unit}){{1,{run}}}"), F.lit(0))).alias("run", "piece"))
-    # equal rows count once; a match that no cut falls into is its length
-    runs = runs.select(*_KEY, "run", F.char_length("piece").alias("chars"), F.when(F.array_contains("hit", F.col("run")), F.col("piece")).alias("piece")).distinct()
-    before = Window.partitionBy(*_KEY).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("begin", F.coalesce(F.sum("chars").over(before), F.lit(0))).where(F.col("piece").isNotNull())
+    runs = asked.withColumn("row", F.monotonically_increasing_id())  # tells equal rows apart, no more
+    runs = runs.select(*_KEY, "row", F.transform("__el_cuts", place).alias("hit"), F.posexplode(F.regexp_extract_all("__el_text", F.lit(f"(?:{unit}){{1,{run}}}"), F.lit(0))).alias("run", "piece"))
+    # a match that no cut falls into is its length
+    runs = runs.select(*_KEY, "row", "run", F.char_length("piece").alias("chars"), F.when(F.array_contains("hit", F.col("run")), F.col("piece")).alias("piece"))
+    before = Window.partitionBy("__el_k1", "row").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("begin", F.coalesce(F.sum("chars").over(before), F.lit(0))).where(F.col("piece").isNotNull()).select(*_KEY, "run", "begin", "piece").distinct()
     requests = asked.select(*_KEY, F.posexplode("__el_cuts").alias("turn", "ordinal")).distinct().withColumn("run", place(F.col("ordinal")))
     rest = F.greatest(F.col("ordinal") - F.col("run") * run, F.lit(0)).cast("int")
     inside = F.aggregate(F.slice(F.regexp_extract_all("piece", F.lit(unit), F.lit(0)), F.lit(1), rest), F.lit(0), lambda n, u: n + F.char_length(u))
     found = requests.join(runs, [*_KEY, "run"], "left")
     offset = F.when(F.col("ordinal") < 1, F.lit(0)).otherwise(F.col("begin") + inside).cast("long")
     offsets = found.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("turn", offset.alias("offset")))).alias("__el_found"))  # a few a document
-    joined = keyed.join(offsets, _KEY, "left")
-    whole = F.char_length("__el_text").cast("long")
-    filled = F.transform(F.coalesce(F.col("__el_found.offset"), F.array().cast("array<long>")), lambda o: F.coalesce(o, whole))
-    return joined.select(*own_columns(docs), filled.alias(out))
+    kept = keyed.select(*[_packed(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], *_KEY, F.char_length(whole).cast("long").alias("__el_whole"))
+    joined = kept.join(offsets, _KEY, "left")
+    filled = F.transform(F.coalesce(F.col("__el_found.offset"), F.array().cast("array<long>")), lambda o: F.coalesce(o, F.col("__el_whole")))
+    return joined.select(*[_unpacked(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], filled.alias(out))
 
 
 def draws(doc_id: Column) -> list[Column]:

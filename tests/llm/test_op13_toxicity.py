@@ -74,7 +74,7 @@ def planted(spark):
         rows.append((k, " ".join([f"word{x}" for x in rng.integers(0, 50, 12)] + ["vile", "rotten"][: 2 * bad]), "x"))
         labels.append((k, int(bad)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    return docs, spark.createDataFrame(labels, "doc_id long, toxic int"), {i for i, y in labels if y}
+    return docs, spark.createDataFrame(labels, "doc_id long, toxic int"), {i for i, y in labels if y and i is not None}
 
 
 def test_planted_words_and_awkward_rows(spark):
