@@ -339,6 +339,16 @@ def resonator(low: float, high: float, rate: float) -> Kernel:
     return Kernel((0.0,) * 4, step, "filtered double")
 
 
+def carrying(kernel: Kernel, rest: str) -> Kernel:
+    """The kernel on the first value; the other ones (``rest`` names their types) go out with its outputs."""
+
+    def step(s: State, v: tuple, t: float):
+        state, got = kernel.step(s, v[:1], t)
+        return state, None if got is None else (*got, *v[1:])
+
+    return Kernel(kernel.start, step, f"{kernel.output}, {rest}")
+
+
 def _missing(v: object) -> bool:
     return v is None or (isinstance(v, float) and math.isnan(v))
 

@@ -81,15 +81,15 @@ def entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BITS = "list_sum(list_transform(list_zip(v.e, q.e), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END))"
-_PAIRS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT q.vec_id AS query, v.vec_id, {0} AS bits, 1 - list_cosine_similarity(v.e, q.e) AS distance FROM v JOIN v AS q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)".format(_BITS)
+_PAIRS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT q.vec_id AS query, v.vec_id, {0} AS bits, len(q.e) AS n, 1 - list_cosine_similarity(v.e, q.e) AS distance FROM v JOIN v AS q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)".format(_BITS)
 
 
-@query(f"WITH {_PAIRS} SELECT query, round(min(bits) / 64.0, 6) AS novelty FROM d GROUP BY query")
+@query(f"WITH {_PAIRS} SELECT query, round(min(bits / n::DOUBLE), 6) AS novelty FROM d GROUP BY query")
 def sketch_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the nearest sketch is, as a share of its bits."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", V.sign_sketch(F.col("embedding")).alias("sketch"))
-    found = V.nearest(e, "vec_id", F.col("vec_id") % 50 == 0, ["sketch"], V.hamming, 1)
-    return found.groupBy("query").agg(F.round(F.min("distance") / 64, 6).alias("novelty"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", V.sign_sketch(F.col("embedding")).alias("sketch"), F.size("embedding").alias("bits"))
+    found = V.nearest(e, "vec_id", F.col("vec_id") % 50 == 0, "sketch", "hamming", 1)
+    return found.join(e.select(F.col("vec_id").alias("query"), "bits"), "query").groupBy("query").agg(F.round(F.min(F.col("distance") / F.col("bits")), 6).alias("novelty"))
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY bits, vec_id) AS a, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS b FROM d)
@@ -98,8 +98,8 @@ def sketch_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of the 8 nearest by cosine that are among the 24 nearest by sketch."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", V.sign_sketch(F.col("embedding")).alias("sketch"))
     asked = F.col("vec_id") % 50 == 0
-    rough = V.nearest(e, "vec_id", asked, ["sketch"], V.hamming, 24).select("query", "vec_id", F.lit(1).alias("hit"))
-    exact = V.nearest(e, "vec_id", asked, ["embedding"], lambda a, b: 1 - V.cosine(a, b), 8).select("query", "vec_id")
+    rough = V.nearest(e, "vec_id", asked, "sketch", "hamming", 24).select("query", "vec_id", F.lit(1).alias("hit"))
+    exact = V.nearest(e, "vec_id", asked, "embedding", "cosine", 8).select("query", "vec_id")
     return exact.join(rough, ["query", "vec_id"], "left").groupBy("query").agg((F.count("hit") / 8).alias("coverage"))
 
 
@@ -109,8 +109,7 @@ def fingerprint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label whose mean vector is nearest by cosine; the labels' means are broadcast."""
     e = table(spark, sf_dir, "embeddings")
     means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centre"))
-    held = centres.agg(F.collect_list(F.struct("label", "centre")).alias("centres"))  # one vector a label
-    score = F.transform("centres", lambda c: F.struct(F.round(V.cosine(F.col("embedding"), c["centre"]), 9).alias("s"), (-c["label"]).alias("l")))
-    best = e.crossJoin(F.broadcast(held)).select("vec_id", F.array_max(score).alias("b"))
-    return best.select("vec_id", (-F.col("b.l")).cast("int").alias("matched"), F.round("b.s", 6).alias("score"))
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centre"))  # one vector a label
+    both = centres.select((-F.col("label") - 1).cast("long").alias("key"), F.col("centre").alias("v")).unionByName(e.select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("v")))
+    found = V.nearest_of(both.where("key < 0"), both.where("key >= 0"), "key", "v", "cosine", digits=9)
+    return found.select(F.col("key").alias("vec_id"), (-F.col("nearest") - 1).cast("int").alias("matched"), F.round(1 - F.col("distance"), 6).alias("score"))

@@ -76,20 +76,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id)
 
 @query(_nearest_sql("1 - list_cosine_similarity(v.e, q.e)"))
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = V.nearest(table(spark, sf_dir, "embeddings"), "vec_id", F.col("vec_id") % 50 == 0, ["embedding"], lambda a, b: 1 - V.cosine(a, b), 5)
+    out = V.nearest(table(spark, sf_dir, "embeddings"), "vec_id", F.col("vec_id") % 50 == 0, "embedding", "cosine", 5)
     return out.withColumn("distance", F.round("distance", 6))
 
 
 @query(_nearest_sql("list_sum(list_transform(list_zip(v.e, q.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"))
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = V.nearest(table(spark, sf_dir, "embeddings"), "vec_id", F.col("vec_id") % 50 == 0, ["embedding"], V.squared_distance, 5)
+    out = V.nearest(table(spark, sf_dir, "embeddings"), "vec_id", F.col("vec_id") % 50 == 0, "embedding", "l2", 5)
     return out.withColumn("distance", F.round("distance", 6))
 
 
 @query(_nearest_sql("list_sum(list_transform(list_zip(v.e, q.e), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END))").replace("round(distance, 6)", "CAST(distance AS INTEGER)"))
 def sketch_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", V.sign_sketch(F.col("embedding")).alias("sketch"))
-    return V.nearest(e, "vec_id", F.col("vec_id") % 50 == 0, ["sketch"], V.hamming, 5)
+    return V.nearest(e, "vec_id", F.col("vec_id") % 50 == 0, "sketch", "hamming", 5).withColumn("distance", F.col("distance").cast("int"))
 
 
 _TRIAGE = "t AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'immediate' WHEN o_orderpriority = '2-HIGH' THEN 'delayed' WHEN o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN 'minor' ELSE 'unknown' END AS status, o_custkey % 16 AS zone FROM orders)"

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/echolake-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(parts: Iterable[DataFrame], tag: str) -> DataFrame:
+    """Write all of ``parts``, of one schema and one after the other, and return a reader of them together."""
+    path, first = None, None
+    for df in parts:
+        if path is None:
+            path, first = f"{shared_dir(df.sparkSession)}/echolake-{tag}-{uuid.uuid4().hex}", df
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+    if first is None:
+        raise ValueError("nothing to write")
+    return first.sparkSession.read.schema(first.schema).parquet(path)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolake.operators import folds as K
+from echolake.operators import rhythm as H
 from echolake.operators import vitals as V
 from echolake.registry import query
-from echolake.sources.tables import SAMPLES, samples
+from echolake.sources.tables import FRAMES, SAMPLES, frames, samples
 from echolake.streaming import windows as W
 
 
@@ -201,20 +202,51 @@ def hash_chain_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.chain_faults(hash_chain(spark, sf_dir).join(s, "event_id"), "node", "number", "prev", "hash", "body")
 
 
+_POLE = "0.37168146928204138::DOUBLE"
+
+
 @query(_recursion(
-    {"x1": "0.0::DOUBLE", "x2": "0.0::DOUBLE", "y1": "0.0::DOUBLE", "y2": "0.0::DOUBLE"},
-    [{"next_y1": "(1 - 0.37168146928204138::DOUBLE) * (x - x2) + 2 * 0.37168146928204138::DOUBLE * cos(0.3 * 2 * pi()) * y1 - 0.37168146928204138::DOUBLE * 0.37168146928204138::DOUBLE * y2"}, {"next_x1": "x", "next_x2": "x1", "next_y2": "y1"}],
-    {"filtered DOUBLE": "next_y1"},
-).replace("SELECT node, event_id, filtered FROM p WHERE given", """, w AS (SELECT node, event_id, filtered AS y, lag(filtered) OVER (PARTITION BY node ORDER BY r) AS b, r FROM p WHERE given),
-v AS (SELECT node, event_id, count(*) OVER k AS n, count(*) FILTER (WHERE y * b < 0 ) OVER m AS crossings, max(abs(y)) OVER k AS peak, stddev_pop(y) OVER k AS spread FROM w WINDOW k AS (PARTITION BY node ORDER BY r ROWS 29 PRECEDING), m AS (PARTITION BY node ORDER BY r ROWS 28 PRECEDING))
-SELECT node, event_id, round(crossings / (2.0 * n) * 60, 5) AS bpm, round(least(peak / spread / 5, 1) / pi(), 5) AS confidence_over_pi, CASE WHEN least(peak / spread / 5, 1) >= 0.7 THEN 'valid' WHEN least(peak / spread / 5, 1) >= 0.4 THEN 'degraded' ELSE 'unreliable' END AS status
-FROM v WHERE n >= 10 AND crossings / (2.0 * n) BETWEEN 0.2 AND 0.4"""))
+    {"x1": "0.0::DOUBLE", "x2": "0.0::DOUBLE", "y1": "0.0::DOUBLE", "y2": "0.0::DOUBLE", "ring": "[]::DOUBLE[]"},
+    [
+        {"y": f"(1 - {_POLE}) * (x - x2) + 2 * {_POLE} * cos(0.3 * 2 * pi()) * y1 - {_POLE} * {_POLE} * y2"},
+        {"held": "list_append(ring, y)[-30:]"},
+        {"n": "len(held)", "hertz": "list_sum(list_transform(list_zip(held[1:len(held) - 1], held[2:]), lambda z: CASE WHEN z[1] * z[2] < 0 THEN 1 ELSE 0 END)) / (2.0 * len(held))"},
+        {"gone": "n >= 10 AND hertz NOT BETWEEN 0.2 AND 0.4", "mean": "list_avg(held)"},
+        {"spread": "sqrt(list_sum(list_transform(held, lambda v: (v - mean) * (v - mean))) / n)"},
+        {"sure": "CASE WHEN spread < 1e-7 THEN 0.0 ELSE least(list_max(list_transform(held, lambda v: abs(v))) / spread / 5, 1.0) END"},
+        {"next_x1": "CASE WHEN gone THEN 0.0 ELSE x END", "next_x2": "CASE WHEN gone THEN 0.0 ELSE x1 END", "next_y1": "CASE WHEN gone THEN 0.0 ELSE y END", "next_y2": "CASE WHEN gone THEN 0.0 ELSE y1 END", "next_ring": "CASE WHEN gone THEN []::DOUBLE[] ELSE held END"},
+    ],
+    {"bpm DOUBLE": "round(hertz * 60, 5)", "confidence DOUBLE": "round(sure, 5)", "status VARCHAR": "CASE WHEN sure >= 0.7 THEN 'valid' WHEN sure >= 0.4 THEN 'degraded' ELSE 'unreliable' END"}, "n >= 10 AND NOT gone",
+    source="x / pi() AS x",
+))
 def breathing_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breathing from a band-passed signal: sign changes over a window of samples, one a second."""
-    out = _fold(spark, sf_dir, K.resonator(0.2, 0.4, 1.0)).join(samples(spark, sf_dir).select("event_id", "ts"), "event_id")
-    return V.rate_by_crossings(out, ["node"], ["ts", "event_id"], "filtered", 30, 10, 1.0, 0.2, 0.4).select(
-        "node", "event_id", F.round("bpm", 5).alias("bpm"), F.round(F.col("confidence") / F.pi(), 5).alias("confidence_over_pi"), "status"
-    )
+    """Breathing from a band-passed signal, one sample a second: sign changes over a window that a rate out of the band empties."""
+    s = samples(spark, sf_dir).withColumn("x", F.col("x") / F.pi())
+    out = K.fold(s, "node", ["ts", "event_id"], "x", "t", "event_id", H.breathing(1.0, (0.2, 0.4)))
+    return out.select("node", "event_id", F.round("bpm", 5).alias("bpm"), F.round("confidence", 5).alias("confidence"), H.status(F.col("confidence"), 0.7, 0.4).alias("status"))
+
+
+# Frames in turn at 20 nodes, ten a second.
+_HEART = f"""WITH RECURSIVE {FRAMES}, w AS (SELECT frame % 20 AS node, frame, amplitude, phase, len(amplitude) AS tones, list_transform(range(1, len(amplitude) + 1), lambda i: coalesce(exp(-abs(phase[CASE WHEN i < len(phase) THEN i + 1 ELSE i - 1 END] - phase[i])), 1.0)) AS c FROM f),
+g AS (SELECT node, frame, tones, row_number() OVER (PARTITION BY node ORDER BY frame) AS r, CASE WHEN tones = 1 THEN amplitude[1]::DOUBLE ELSE list_sum(list_transform(list_zip(amplitude, c), lambda z: z[1]::DOUBLE * z[2])) / list_sum(c) END AS x FROM w),
+k AS (SELECT 1 - 2 * pi() * 1.2 / 10 / 2 AS a, cos(2 * pi() * 2.8 / 10 / 2) AS b),
+p AS (SELECT DISTINCT node, 0::BIGINT AS r, NULL::BIGINT AS frame, 0::BIGINT AS tones, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2 FROM g
+UNION ALL SELECT g.node, g.r, g.frame, g.tones, g.x, p.x1, (1 - a) * (g.x - p.x2) + 2 * a * b * p.y1 - a * a * p.y2, p.y1 FROM p JOIN g ON g.node = p.node AND g.r = p.r + 1, k),
+s AS (SELECT node, frame, tones, list(y1) OVER (PARTITION BY node ORDER BY r ROWS 149 PRECEDING) AS h FROM p WHERE r > 0),
+m AS (SELECT *, len(h) AS n, list_avg(h) AS mean, list_sum(list_transform(h, lambda v: v * v)) - len(h) * list_avg(h) * list_avg(h) AS base FROM s WHERE len(h) >= 50),
+l AS (SELECT *, unnest(range(5, 14)) AS lag FROM m), a AS (SELECT *, list_sum(list_transform(list_zip(h[1:n - lag], h[lag + 1:]), lambda z: (z[1] - mean) * (z[2] - mean))) / base AS acf FROM l WHERE lag <= n // 2 AND base >= 1e-15),
+t AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY acf DESC, lag) AS best FROM a), u AS (SELECT node, frame, 600.0 / lag AS bpm, least(greatest(acf * least(tones / 4.0, 1.0), 0.0), 1.0) AS sure, tones FROM t WHERE best = 1 AND acf > 0 AND 600.0 / lag BETWEEN 40 AND 180)
+SELECT node, frame, round(bpm, 5)::DOUBLE AS bpm, round(sure, 5) AS confidence, CASE WHEN sure >= 0.6 AND tones >= 4 THEN 'valid' WHEN sure >= 0.3 THEN 'degraded' ELSE 'unreliable' END AS status FROM u"""
+
+
+@query(_HEART)
+def heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heart rate of frames by autocorrelation of their coherent signal."""
+    f = frames(spark, sf_dir).withColumn("node", F.col("frame") % 20).withColumn("tones", F.size("amplitude"))
+    f = f.select("node", "frame", "tones", F.col("frame").cast("double").alias("t"), H.coherent_signal(F.transform("amplitude", lambda a: a.cast("double")), F.transform("phase", lambda a: a.cast("double"))).alias("x"))
+    y = K.fold(f, "node", ["frame"], ["x", "tones"], "t", "frame", K.carrying(K.resonator(*H.HEART_BAND, 10.0), "tones int"))
+    out = H.heart_rate(y, ["node"], ["frame"], "filtered", "tones", 10.0)
+    return out.select("node", "frame", F.round("bpm", 5).alias("bpm"), F.round("confidence", 5).alias("confidence"), "status")
 
 
 @query(f"""WITH {SAMPLES}, v AS (SELECT node, event_id, ts, x / 6 AS rr, 40 + x AS hr, 0.25 + (event_id % 5) / 10.0::DOUBLE AS confidence FROM s),

@@ -81,7 +81,7 @@ def test_searches_of_many_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "QUERIES_PER_BLOCK", 7)
     x = np.random.default_rng(3).standard_normal((80, 70))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
-    got = V.nearest(df.withColumn("s", V.sign_sketch(F.col("v"))), "k", F.col("k") % 2 == 0, ["s"], V.hamming, 3).collect()
+    got = V.nearest(df.withColumn("s", V.sign_sketch(F.col("v"))), "k", F.col("k") % 2 == 0, "s", "hamming", 3).collect()
     bits = (x > 0).astype(int)
     for q in range(0, 80, 2):
         d = sorted((int((bits[q] != bits[k]).sum()), k) for k in range(80) if k != q)[:3]
