@@ -135,7 +135,7 @@ def test_search_by_estimate_reaches_the_exact_result(spark, vectors, by):
         assert {k for a, k in exact if a == q} == set(np.argsort(d)[:5].tolist())
 
 
-def test_estimate_covers_more_than_plain_signs(spark, vectors):
+def test_rotated_codes_cover_more_than_plain_signs(spark, vectors):
     x, df = vectors
     asked = df.where("k % 20 = 0 AND k < 480").select(F.col("k").alias("query"), F.col("v").alias("vector"))
     exact = {(r["query"], r["k"]) for r in V.nearest(df, "k", F.col("k") % 20 == 0, "v", "cosine", 8).collect() if r["query"] < 480}
@@ -145,7 +145,7 @@ def test_estimate_covers_more_than_plain_signs(spark, vectors):
     for by in ("hamming", "cosine"):
         share[by] = {(r["query"], r["key"]) for r in S.candidates(coded, asked, 24, by).collect()}
     share = {by: len(exact & found) / len(exact) for by, found in share.items()}
-    assert share["cosine"] > share["hamming"] - 0.02 and share["cosine"] > share["plain"] + 0.02
+    assert min(share["cosine"], share["hamming"]) > share["plain"] + 0.1
 
 
 def test_search_in_several_blocks_and_nearest_centres(spark, vectors, monkeypatch):
