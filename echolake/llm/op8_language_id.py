@@ -35,7 +35,6 @@ ALPHA = 0.5
 #: the score of a long text stays a measure of how clear the choice is; the choice itself weighs all.
 EVIDENCE = 60
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(r"\s+")
 _SHIFT = np.uint32(32 - BUCKETS.bit_length() + 1)
 # Odd multipliers, one for each place in an n-gram.
@@ -94,7 +93,7 @@ class NaiveBayes:
         The posterior tempers the evidence; the choice doesn't.
         """
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
         if some:
             entries = incidence([texts[i] for i in some])
             ll = self.log_likelihood(*entries, len(some))

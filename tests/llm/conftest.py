@@ -27,6 +27,7 @@ def edge_documents() -> list[tuple]:
         (13, "12345 678", "en", "z"), (14, "\u2028ünï\x85cödé text \u00a0 here", "de", "z"), (15, "é" * 50 + "\n\n" + BOILER, "fr", "z"),
         (None, base, "en", "a"),
     ]
+    rows += [(17, "12 \u00b2 \u00bd", "en", "a"), (18, "\u2167 \u2460", None, "a")]  # numbers, but no letters
     rows += [(16, "twice the same row", "en", "a")] * 2
     rows += [(20 + k, f"intro {k} {text(8)}\n  {BOILER if k % 2 else BOILER.upper()}\t\nend {k}", "en", "hot") for k in range(12)]
     rows += [(40 + k, base + f" {k}" * (k % 3), "en", "hot") for k in range(30)]

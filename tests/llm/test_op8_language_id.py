@@ -48,7 +48,7 @@ def test_scores_are_those_of_plain_naive_bayes(spark):
         held[x].update(ngram_buckets(t).tolist())
     langs = sorted(held)
     prior = {x: math.log(sum(y == x for _, y in texts) / len(texts)) for x in langs}
-    asked = ["a dog and a cat", "la katze", None, "12 3", "", "e", "und so weiter " * 30, "perro 99 " + "7 " * 500]
+    asked = ["a dog and a cat", "la katze", None, "12 3", "", "e", "und so weiter " * 30, "perro 99 " + "7 " * 500, "12 \u00b2", "\u00bd", "\u2167 \u2460 _"]  # the last three: numbers, not letters
     for t, lang, score in zip(asked, *model.score_batch(asked), strict=True):
         if not t or not any(c.isalpha() for c in t):
             assert (lang, score) == ("und", 0.0)
