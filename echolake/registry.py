@@ -48,5 +48,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _name in ("store", "signal", "fusion", "temporal", "frames", "semantic", "scalars", "features", "edge", "tracking", "warping"):
+for _name in ("store", "signal", "fusion", "temporal", "frames", "semantic", "scalars", "features", "edge", "tracking", "warping", "spatial", "baselines"):
     import_module(f"echolake.plans.{_name}")
