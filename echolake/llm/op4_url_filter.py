@@ -8,11 +8,12 @@ says the same.  An inverted index holds each rule under its rarest token: a
 URL's tokens are looked up there, and only rules found that way are tested
 whole.  Explicit host and path rules come first.
 
-Everything is DataFrame work.  Itemsets could grow with two to the power of a
-URL's tokens, so of a URL with more than ``MINED_TOKENS`` frequent tokens those
-are mined that tell most about the label (chi-squared over all labelled URLs);
-each frequent token is a candidate by itself whatever its place.  Matching
-knows no such bound.
+Everything is DataFrame work.  Antecedents have ``MAX_ANTECEDENT`` tokens at
+most, and all such rules are found whatever a URL's number of tokens: FP-growth
+mines bad URLs, of which those of many frequent tokens are dealt to pieces that
+hold every combination of that length.  What it finds are candidates, as a
+combination may lie in several pieces of a URL; each is counted anew over the
+whole token sets of all labelled URLs, and those counts alone decide.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from echolake.llm.groups import own_columns
 from echolake.plans.shared import materialize
 
-BAD = "label=bad"
-MINED_TOKENS = 10
+#: Tokens of a rule, and of a piece that FP-growth mines; itemsets of a piece grow with two to the power of its tokens.
+MAX_ANTECEDENT, MINED_TOKENS = 4, 12
 MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_LIFT = 0.001, 20, 0.5, 1.5
 #: The confidence must be above the share of bad labels by so many standard errors.
 DEVIATIONS = 2.0
@@ -91,15 +92,18 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.size(labels) > 0, F.array_sort(F.array_distinct(F.array_compact(tokens)))).otherwise(F.array().cast("array<string>"))
 
 
-def _frequent(known: DataFrame, n: int, bad: int, least: float) -> DataFrame:
-    """(token, told): tokens of ``least`` labelled URLs, and how far their bad labels are from the expected.
+def _pieces(items: Column, antecedent: int, piece: int) -> Column:
+    """Arrays of ``piece`` items at most such that any ``antecedent`` items are together in one."""
+    wide = max(1, piece // antecedent)
+    groups = F.ceil(F.size(items) / wide).cast("int")
 
-    There are at most as many as an average URL's tokens over the support, whatever the input.
-    """
-    base = bad / n
-    counts = known.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"))
-    told = F.pow(F.col("bad") - F.col("n") * base, F.lit(2.0)) / (F.col("n") * F.lit(max(base * (1 - base), 1e-9)))
-    return counts.where(F.col("n") >= least).select("token", told.alias("told"))
+    def choose(first: Column, left: int, got: Column) -> Column:
+        if left == 0:
+            return F.array(got)
+        return F.flatten(F.transform(F.sequence(first, groups - left), lambda k: choose(k + 1, left - 1, F.concat(got, F.slice(items, k * wide + 1, F.lit(wide))))))
+
+    few = F.size(items) <= wide * antecedent
+    return F.when(few, F.array(items)).otherwise(choose(F.lit(0), antecedent, F.array().cast("array<string>")))
 
 
 def mine_rules(
@@ -108,39 +112,48 @@ def mine_rules(
     min_rows: int = MIN_ROWS,
     min_confidence: float = MIN_CONFIDENCE,
     min_lift: float = MIN_LIFT,
+    max_antecedent: int = MAX_ANTECEDENT,
     mined_tokens: int = MINED_TOKENS,
 ) -> DataFrame:
-    """Rows (antecedent sorted, confidence, lift, support) from rows (tokens, bad boolean).
+    """Rules (antecedent sorted, confidence, lift, support) from rows (tokens, bad boolean): all of ``max_antecedent`` tokens at most.
 
     Support is the share of labelled URLs that hold the antecedent and are bad,
     ``min_rows`` of them at least.  Rows with a null label or without tokens
-    tell nothing and are left out; fewer than ``min_rows`` bad ones give no rule.
+    tell nothing and are left out; fewer than ``min_rows`` bad ones, or none at all, give no rule.
+    Repeated rows count each.  ``mined_tokens`` bounds what is mined at once, not the result.
     """
-    known = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(F.monotonically_increasing_id().alias("row"), "tokens", "bad")
-    known = materialize(known, "labelled")  # fixes the row numbers
-    n, bad = known.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    known = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(F.array_sort(F.array_distinct("tokens")).alias("tokens"), "bad")
+    known = materialize(known.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")), "labelled")  # copies are one row
+    n, bad = known.agg(F.sum("n"), F.sum("bad")).first()
     none = labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, lift double, support double")
-    if bad < min_rows:
+    if (bad or 0) < min_rows:
         return none
     least = max(min_support * n, min_rows)
-    frequent = materialize(_frequent(known, n, bad, least), "tokens")
-    held = known.select("row", "bad", F.explode("tokens").alias("token")).join(F.broadcast(frequent), "token")
-    ranked = held.groupBy("row", "bad").agg(F.collect_list(F.struct(F.negate("told").alias("rank"), "token")).alias("found"))  # a URL's own tokens
-    mined = F.transform(F.slice(F.array_sort("found"), 1, mined_tokens), lambda x: x["token"])
-    items = materialize(ranked.select(F.when(F.col("bad"), F.array_append(mined, F.lit(BAD))).otherwise(mined).alias("items")), "items")
-    rest = n - items.count()  # without frequent tokens: they count in the shares
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, n - rest)), minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where(F.element_at("consequent", 1) == BAD)
-    # tokens outside the mined ones of a URL: the whole count is that of all labelled URLs
-    single = held.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.count_if("bad").alias("hit"))
-    share = (F.col("hit") / F.col("all")).alias("confidence")
-    single = single.where(F.col("hit") >= least).select(F.array("token").alias("antecedent"), share, (F.col("hit") / n).alias("support"))
-    several = found.where(F.size("antecedent") > 1).select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * ((n - rest) / n)).alias("support"))
-    rules = single.unionByName(several).withColumn("lift", F.col("confidence") / (bad / n))
-    holders = F.col("support") * n / F.col("confidence")
-    error = F.sqrt(F.lit(bad / n * (1 - bad / n)) / holders)
+    counts = known.select(F.explode("tokens").alias("token"), "n", "bad").groupBy("token").agg(F.sum("n").alias("all"), F.sum("bad").alias("hit"))
+    # at most as many as an average URL's tokens over the support, whatever the input
+    frequent = materialize(counts.where(F.col("hit") >= least), "tokens")
+    rows = known.where("bad > 0").select(F.monotonically_increasing_id().alias("row"), "tokens", "bad")
+    rows = materialize(rows, "bad")  # fixes the row numbers
+    held = rows.select("row", "bad", F.explode("tokens").alias("token")).join(F.broadcast(frequent.select("token")), "token")
+    items = held.groupBy("row", "bad").agg(F.array_sort(F.collect_list("token")).alias("items")).where(F.size("items") > 1)  # a URL's own tokens
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("bad")))
+    pieces = materialize(items.select("items", copies.alias("copy")).select(F.explode(_pieces(F.col("items"), max_antecedent, mined_tokens)).alias("items")), "items")
+    mined, parts = none.select("antecedent"), pieces.count()
+    if parts and max_antecedent > 1:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / parts)).fit(pieces)
+        mined = model.freqItemsets.where(F.size("items").between(2, max_antecedent)).select(F.array_sort("items").alias("antecedent"))
+    several = recounted(materialize(mined, "mined"), known)
+    counted = frequent.select(F.array("token").alias("antecedent"), "all", "hit").unionByName(several).where(F.col("hit") >= least)
+    rules = counted.withColumn("confidence", F.col("hit") / F.col("all")).withColumn("lift", F.col("confidence") / (bad / n))
+    error = F.sqrt(F.lit(bad / n * (1 - bad / n)) / F.col("all"))
     sure = F.col("confidence") - bad / n >= DEVIATIONS * error
-    return rules.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift) & sure).select("antecedent", "confidence", "lift", "support")
+    return rules.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift) & sure).select("antecedent", "confidence", "lift", (F.col("hit") / n).alias("support"))
+
+
+def recounted(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """(antecedent, all, hit): labelled URLs that hold each candidate whole, and the bad ones, from distinct sets (tokens, n, bad)."""
+    met = known.select("tokens", "n", "bad", F.explode("tokens").alias("token")).join(inverted_index(candidates, known), "token")
+    return met.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("antecedent").agg(F.sum("n").alias("all"), F.sum("bad").alias("hit"))
 
 
 def shortest_rules(antecedents: Sequence[Sequence[str]]) -> list[tuple[str, ...]]:
@@ -192,7 +205,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, url: str, page: str, rules:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict`` (allow or block).
 
     ``labels``: rows (``page``, bad boolean).  A URL that no rule fits is
-    blocked where a mined rule holds, else allowed; so are null URLs.
+    blocked where a mined rule holds, else allowed; so are null URLs.  Repeated
+    pages stay as they are; each of a page's labels counts in mining.  Empty
+    tables mine nothing, and URLs of any length are read whole.
     """
     if clash := {"host", "path", "rule", "verdict"} & set(pages.columns):
         raise ValueError(f"there are columns {sorted(clash)} already")

@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import pyarrow.parquet as pq
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,14 +74,34 @@ def test_mined_rules_against_brute_force(spark):
     found = {tuple(r[0]): tuple(r)[1:] for r in mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
     assert len(want) > 5 and set(found) == set(want)
     assert all(found[c] == pytest.approx(want[c]) for c in want)
-    few = {tuple(r[0]) for r in mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), mined_tokens=2).collect()}
-    assert {c for c in want if len(c) == 1} <= few <= set(want) | {c for c in few if len(c) > 1}
+    for mined in (3, 6):  # more tokens than a piece holds
+        few = {tuple(r[0]): tuple(r)[1:] for r in mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), mined_tokens=mined).collect()}
+        assert set(few) == set(want) and all(few[c] == pytest.approx(want[c]) for c in want)
     short = shortest_rules(list(want))
     assert ("a", "b") in short and ("g",) in short and not any("g" in c and len(c) > 1 for c in short)
     held = spark.createDataFrame(rows, "tokens array<string>, bad boolean").select("tokens", holds_rule(F.col("tokens"), [(c[-1], c) for c in short]).alias("hit"))
     assert all(r["hit"] == any(set(c) <= set(r["tokens"]) for c in short) for r in held.collect())
 
 
+def test_rules_of_urls_of_many_tokens(spark):
+    rng, names = np.random.default_rng(8), [f"t{k:02}" for k in range(26)]
+    held = np.zeros((1200, 26), bool)
+    for r in held:
+        r[rng.choice(26, 15, replace=False)] = True
+    bad = rng.random(1200) < np.where(held[:, [0, 9, 23]].all(1), 0.95, np.where(held[:, [5, 6]].all(1), 0.6, 0.03))
+    rows = [([n for n, x in zip(names, r, strict=True) if x], bool(y)) for r, y in zip(held, bad, strict=True)]
+    base, want = bad.mean(), {}
+    for k in (1, 2, 3, 4):
+        for c in combinations(range(26), k):
+            of = held[:, c].all(1)
+            every, hit = int(of.sum()), int(bad[of].sum())
+            if hit >= 20 and hit / every >= 0.5 and hit / every >= 1.5 * base and hit / every - base >= 2 * (base * (1 - base) / every) ** 0.5:
+                want[tuple(names[i] for i in c)] = (hit / every, hit / every / base, hit / 1200)
+    found = {tuple(r[0]): tuple(r)[1:] for r in mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    assert {("t05", "t06"), ("t00", "t09", "t23")} <= set(want) and any(len(c) == 4 for c in want) and set(found) == set(want)
+    assert all(found[c] == pytest.approx(want[c]) for c in want)
+
+
 def test_joined_index_gives_the_same(spark, edge_dir, monkeypatch):
     import echolake.llm.op4_url_filter as op4
 
