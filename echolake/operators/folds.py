@@ -34,11 +34,16 @@ ACTIONS, ACTION_EDGES = ("accept", "predict_only", "reject", "recalibrate"), (0.
 
 @dataclass(frozen=True)
 class Kernel:
-    """``step(state, values, t)`` gives (state, outputs or None); ``output`` names the outputs' types."""
+    """``step(state, values, t)`` gives (state, outputs or None); ``output`` names the outputs' types.
+
+    A row with a missing value leaves the state alone, but for the values numbered
+    in ``optional``, which reach the step as None or NaN.
+    """
 
     start: State
     step: Callable[[State, tuple, float], tuple[State, tuple | None]]
     output: str
+    optional: tuple[int, ...] = ()
 
 
 def ema(alpha: float = 0.15) -> Kernel:
@@ -139,7 +144,8 @@ def sleeping(dwell: float = 300.0, leave: float = 30.0, warm_up: float = 60.0) -
     """Values presence, motion, breathing rate, confidence.  Rows where someone falls asleep or wakes.
 
     Asleep after ``dwell`` seconds of presence, little motion and calm breathing;
-    awake at once without presence, or after ``leave`` seconds of motion.
+    awake at once without presence, or after ``leave`` seconds of motion.  A row
+    may lack the rate or its confidence: nobody falls asleep then, but sleepers still wake.
     """
 
     def step(s: State, v: tuple, t: float):
@@ -148,7 +154,7 @@ def sleeping(dwell: float = 300.0, leave: float = 30.0, warm_up: float = 60.0) -
         if t < warm_up:
             return s, None
         if not asleep:
-            if not (presence and motion < 0.05 and 8 <= rate <= 20 and confidence >= 0.5):
+            if not (presence and motion < 0.05 and not _missing(rate) and not _missing(confidence) and 8 <= rate <= 20 and confidence >= 0.5):
                 return (False, None), None
             since = t if since is None else since
             return ((True, None), (True,)) if t - since >= dwell else ((False, since), None)
@@ -157,7 +163,7 @@ def sleeping(dwell: float = 300.0, leave: float = 30.0, warm_up: float = 60.0) -
         since = t if since is None else since
         return ((False, None), (False,)) if not presence or t - since >= leave else ((True, since), None)
 
-    return Kernel((False, None), step, "asleep boolean")
+    return Kernel((False, None), step, "asleep boolean", (2, 3))
 
 
 def distress(multiple: float = 1.5, dwell: float = 60.0, pause: float = 300.0, warm_up: float = 60.0, alpha: float = 0.01) -> Kernel:
@@ -372,7 +378,7 @@ def fold(df: DataFrame, key: str, order: Sequence[str], x: str | Sequence[str],
             for k, i, s, *v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if k != last:
                     last, state = k, kernel.start
-                if s is None or any(map(_missing, v)):
+                if s is None or any(_missing(x) for n, x in enumerate(v) if n not in kernel.optional):
                     continue
                 state, got = kernel.step(state, tuple(v), s)
                 if got is not None:

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 
 def softmax_weights(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """``df`` with ``weight``: softmax of the score within the key; weights of a key sum to 1."""
-    top = df.groupBy(*keys).agg(F.max(score).alias("__el_top"))
-    joined = df.join(top, list(keys)).withColumn("__el_e", F.exp(F.col(score) - F.col("__el_top")))
-    total = joined.groupBy(*keys).agg(F.sum("__el_e").alias("__el_sum"))
-    return joined.join(total, list(keys)).withColumn("weight", F.col("__el_e") / F.col("__el_sum")).drop("__el_top", "__el_e", "__el_sum")
+    """``df`` with ``weight``: softmax of the score within the key; weights of a key sum to 1, a null key is one too."""
+    w = Window.partitionBy(*keys)
+    held = df.withColumn("__el_e", F.exp(F.col(score) - F.max(score).over(w)))
+    return held.withColumn("weight", F.col("__el_e") / F.sum("__el_e").over(w)).drop("__el_e")
 
 
 def entropy(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:

@@ -106,12 +106,12 @@ def zone_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SAMPLES}, l AS (SELECT node, max(t) AS last, avg(x) AS rate FROM s GROUP BY node), u AS (SELECT node, rate, least(greatest(1.7e9 + 10000000 - last, 0) * 1e-8 * node, 1) AS uncertainty FROM l)
-SELECT node, round(uncertainty / pi(), 6) AS uncertainty_over_pi, round(uncertainty * rate * 2 / greatest(node % 7, 1e-9) / pi(), 4) AS priority_over_pi FROM u WHERE node % 7 > 0""")
+SELECT node, round(uncertainty / pi(), 6) AS uncertainty_over_pi, round(uncertainty * rate * 2 / (1 + node % 7) / pi(), 4) AS priority_over_pi FROM u""")
 def sensing_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions by the age of what is known of them; those without a cost are not sensed."""
-    last = samples(spark, sf_dir).groupBy("node").agg(F.max("t").alias("last"), F.avg("x").alias("rate")).where("node % 7 > 0")
+    """Regions by the age of what is known of them and what it costs to sense them."""
+    last = samples(spark, sf_dir).groupBy("node").agg(F.max("t").alias("last"), F.avg("x").alias("rate"))
     u = C.aged_uncertainty(F.lit(1.7e9 + 10_000_000) - F.col("last"), F.col("node") * 1e-8)
-    p = C.refresh_priority(u, F.col("rate"), F.lit(2.0), F.col("node") % 7)
+    p = C.refresh_priority(u, F.col("rate"), F.lit(2.0), 1 + F.col("node") % 7)
     return last.select("node", F.round(u / F.pi(), 6).alias("uncertainty_over_pi"), F.round(p / F.pi(), 4).alias("priority_over_pi"))
 
 

@@ -195,11 +195,18 @@ def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("node", "event_id", F.col("seq").alias("number"), "prev", F.col("link").alias("hash"))
 
 
-@query(f"WITH {SAMPLES} SELECT node, count(*) AS n, CAST(NULL AS BIGINT) AS broken_at, CAST(NULL AS VARCHAR) AS fault FROM s GROUP BY node")
+@query(f"""WITH {SAMPLES}, c AS (SELECT node, count(*) AS n, CASE node % 5 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 END AS spot, CASE node % 5 WHEN 1 THEN 'hash_mismatch' WHEN 2 THEN 'seq_gap' WHEN 3 THEN 'prev_mismatch' END AS fault FROM s GROUP BY node)
+SELECT node, n, CASE WHEN n > spot THEN spot END::BIGINT AS broken_at, CASE WHEN n > spot THEN fault END AS fault FROM c""")
 def hash_chain_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chain of every node, checked link by link; an unchanged one has no fault."""
-    s = samples(spark, sf_dir).select("event_id", F.concat_ws("|", "event_id", "kind", "node").alias("body"))
-    return V.chain_faults(hash_chain(spark, sf_dir).join(s, "event_id"), "node", "number", "prev", "hash", "body")
+    """The chain of every node, checked link by link; records, numbers and links of some nodes were changed after they were chained."""
+    s = samples(spark, sf_dir).withColumn("body", F.concat_ws("|", "event_id", "kind", "node")).withColumn("record", F.col("body"))
+    chain = K.fold(s, "node", ["ts", "event_id"], ["body", "record"], "t", "event_id", K.carrying(K.hash_links(), "record string"))
+    way, number = F.col("node") % 5, F.col("seq")
+    changed = chain.select(
+        "node", F.when((way == 2) & (number >= 3), number + 1).otherwise(number).alias("number"), F.when((way == 3) & (number == 4), F.repeat(F.lit("f"), F.lit(64))).otherwise(F.col("prev")).alias("prev"), F.col("link").alias("hash"),
+        F.when((way == 1) & (number == 2), F.concat("record", F.lit("!"))).otherwise(F.col("record")).alias("body"),
+    )
+    return V.chain_faults(changed, "node", "number", "prev", "hash", "body")
 
 
 _POLE = "0.37168146928204138::DOUBLE"

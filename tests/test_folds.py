@@ -130,3 +130,17 @@ def test_fold_stream_equals_batch(spark, stream, tmp_path):
     args = ("node", ["ts", "event_id"], "x", "t", "event_id", kernel)
     got = drain(spark, K.fold_stream(live.where("event_id >= 0"), *args), "folded", tmp_path)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, K.fold(table, *args).collect()))
+
+
+def test_sleepers_without_a_breathing_rate_wake(spark):
+    from echolake.operators import fusion as J
+
+    calm = [(1, k, 100.0 * k, True, 0.01, 12.0, 0.9) for k in range(1, 6)]
+    rows = [*calm, (1, 6, 600.0, True, 0.01, None, None), (1, 7, 700.0, False, 0.01, None, None)]
+    rows += [(2, k, 100.0 * k, True, 0.01, None if k == 3 else 12.0, 0.9) for k in range(1, 6)]  # without a rate the dwell starts anew
+    rows += [(3, *r[1:]) for r in calm] + [(3, 6, 600.0, None, 0.01, 12.0, 0.9)]
+    s = spark.createDataFrame(rows, "node long, id long, t double, presence boolean, motion double, rate double, confidence double")
+    got = K.fold(s, "node", ["id"], ["presence", "motion", "rate", "confidence"], "t", "id", K.sleeping()).collect()
+    assert sorted(map(tuple, got)) == [(1, 4, True), (1, 7, False), (3, 4, True)]
+    w = J.softmax_weights(spark.createDataFrame([(None, 1.0), (None, 1.0), (1, 3.0)], "k long, s double"), ["k"], "s").collect()
+    assert sorted(r["weight"] for r in w) == [0.5, 0.5, 1.0]
