@@ -25,7 +25,7 @@ class _Fold(StatefulProcessor):
         out = []
         for i, s, *v in zip(*[own[c].tolist() for c in (self.row_id, self.t, *self.columns)], strict=True):
             v = [_plain(x) for x in v]
-            if _missing(s) or any(_missing(x) for n, x in enumerate(v) if n not in kernel.optional):
+            if _missing(s) or any(_missing(x) for n, x in enumerate(v) if n not in self.kernel.optional):
                 continue
             now, got = self.kernel.step(now, tuple(v), float(s))
             if got is not None:
