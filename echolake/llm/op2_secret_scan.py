@@ -85,7 +85,7 @@ def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / _CHUNK).cast("int")), lambda k: F.slice(z, k * _CHUNK + 1, F.lit(_CHUNK)))
         return _let(chunks, lambda c: F.flatten(F.zip_with(c, _offsets(c), spans)))
 
-    found = F.when(F.size(zipped) <= _CHUNK, spans(zipped, F.lit(0))).otherwise(_let(zipped, chunked))
+    found = _let(zipped, lambda z: F.when(F.size(z) <= _CHUNK, spans(z, F.lit(0))).otherwise(chunked(z)))
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -179,33 +179,76 @@ def discovery_thresholds(candidates: DataFrame, fdr: float = FDR) -> dict[int, f
     return {r["cls"]: r["edge"] for r in passed.groupBy("cls").agg(F.max(edge).alias("edge")).collect()}  # _MAX_CLASS rows
 
 
+def _last_from(spans: Column, at: Column) -> Column:
+    """Number (from 1) of the last of sorted spans that starts at or before ``at``, by halving; 0 if none does."""
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        before = F.get(spans, middle - 1)["start"] <= at
+        narrowed = F.struct(F.when(before, middle).otherwise(a["low"]).alias("low"), F.when(before, a["high"]).otherwise(middle).alias("high"))
+        return F.when(a["high"] - a["low"] > 1, narrowed).otherwise(a)
+
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.size(spans))))
+    start = F.struct(F.lit(0).alias("low"), (F.size(spans) + 1).alias("high"))
+    return F.aggregate(rounds, start, halve, lambda a: a["low"])
+
+
+def _inside(spans: Column, c: Column) -> Column:
+    """Whether one of sorted spans that don't overlap covers span ``c``."""
+    last = _last_from(spans, c["start"])
+    return (F.size(spans) > 0) & F.coalesce(F.get(spans, last - 1)["end"] >= c["end"], F.lit(False))
+
+
+def tokens(text: Column) -> Column:
+    """Array of (start, end, hit) for each unbroken token: the token, then its segments if it isn't one itself."""
+    part = lambda s, at: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["hit"].alias("hit"))
+
+    def parts(w: Column) -> Column:
+        inner = F.transform(find_spans(w["hit"], SEGMENT), lambda s: part(s, w["start"]))
+        return F.concat(F.array(part(w, F.lit(0))), F.filter(inner, lambda s: s["end"] - s["start"] < w["end"] - w["start"]))
+
+    return F.transform(find_spans(text, CANDIDATE), parts)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, base, spans): arrays of (start, kind number, end), sorted.
 
     Null texts count as empty.  Rows are scanned each for itself; only the
-    thresholds depend on all of them.
+    thresholds depend on all of them.  Repeated rows get equal spans and each
+    counts for the thresholds; spans of one start go by kind, then end; other
+    columns are left out whatever their names; an empty table stays empty.  A
+    text of n matches costs in proportion to n log n: spans of a kind don't
+    overlap, so a span that could cover a token is found by halving, and a
+    token's segments are held with it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    bases = (("__el_assign", ASSIGN, 2, 6), ("__el_access", ACCESS, 0, 20), ("__el_hex", HEX, 0, 24))
 
-    def base(kind: int, pattern: str, group: int, least: int) -> Column:
+    def base(pattern: str, group: int, least: int) -> Column:
         kept = F.filter(find_spans(text, pattern, group), lambda s: F.length(s["part"]) >= least)
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
     def tested(s: Column) -> Column:
         b = battery(s["hit"])
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), b["p_random"].alias("p_random"), b["p_text"].alias("p_text"))
 
-    whole = find_spans(text, CANDIDATE)
-    inner = _let(whole, lambda w: F.filter(find_spans(text, SEGMENT), lambda s: ~F.exists(w, lambda c: (c["start"] == s["start"]) & (c["end"] == s["end"]))))
-    found = docs.select(
-        "doc_id",
-        F.array_sort(F.concat(base(0, ASSIGN, 2, 6), base(1, ACCESS, 0, 20), base(2, HEX, 0, 24))).alias("base"),
-        F.transform(F.concat(whole, inner), tested).alias("candidates"),
+    def unknown(c: Column) -> Column:
+        return ~(_inside(F.col("__el_assign"), c) | _inside(F.col("__el_access"), c) | _inside(F.col("__el_hex"), c))
+
+    def of_kind(name: str, kind: int) -> Column:
+        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+
+    found = docs.select("doc_id", *[base(*how).alias(name) for name, *how in bases], tokens(text).alias("__el_tokens"))
+    left = F.filter(F.transform("__el_tokens", lambda t: F.filter(t, unknown)), lambda t: F.size(t) > 0)  # a covered token's segments are covered
+    found = materialize(
+        found.select(
+            "doc_id",
+            F.array_sort(F.concat(*[of_kind(name, k) for k, (name, *_) in enumerate(bases)])).alias("base"),
+            F.transform(left, lambda t: F.transform(t, tested)).alias("candidates"),
+        ),
+        "secrets",
     )
-    found = materialize(found, "secrets")
-    known = lambda c: F.exists("base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"]))
-    found = found.withColumn("candidates", F.filter("candidates", lambda c: ~known(c)))
-    each = found.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c"))
+    each = found.where(F.size("candidates") > 0).select(F.explode(F.flatten("candidates")).alias("c"))
     thresholds = discovery_thresholds(each.select((F.col("c.end") - F.col("c.start")).alias("length"), F.col("c.p_text").alias("p_text")))
     random = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     if thresholds:
@@ -215,16 +258,13 @@ def scan(docs: DataFrame) -> DataFrame:
             limit = F.coalesce(F.try_element_at(table, length_class(c["end"] - c["start"])), F.lit(0.0))
             return (c["p_text"] <= limit) & (c["p_random"] >= REJECT)
 
-        def holds(c: Column, s: Column) -> Column:
-            return (c["start"] <= s["start"]) & (c["end"] >= s["end"]) & (c["end"] - c["start"] > s["end"] - s["start"])
+        def chosen(t: Column) -> Column:
+            """The whole token if it passes and no passing segment is less likely to be text, else its passing segments."""
+            whole, segments = F.get(t, F.lit(0)), F.filter(F.slice(t, F.lit(2), F.size(t)), added)
+            return F.when(added(whole) & ~F.exists(segments, lambda s: s["p_text"] < whole["p_text"]), F.array(whole)).otherwise(segments)
 
-        passed = F.col("passed")
-        found = found.withColumn("passed", F.filter("candidates", added))
-        # a whole token stays unless a segment of it is less likely to be text
-        outer = F.filter(passed, lambda c: ~F.exists(passed, lambda s: holds(c, s) & (s["p_text"] < c["p_text"])))
-        found = found.withColumn("outer", outer)
         random = F.transform(
-            F.filter("outer", lambda s: ~F.exists("outer", lambda c: holds(c, s))),
+            F.flatten(F.transform("candidates", chosen)),
             lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
         )
     return found.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))

@@ -4,12 +4,13 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from echolake.llm.op2_secret_scan import ENCODINGS, battery, discovery_thresholds, find_spans, op2_secret_scan
+from echolake.llm.op2_secret_scan import ENCODINGS, battery, discovery_thresholds, find_spans, op2_secret_scan, scan
 
 KINDS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -80,31 +81,87 @@ def test_many_spans_of_one_text(spark):
     assert found == {k: [(m.start(), m.end(), m[0], m[1]) for m in re.finditer(pattern, t)] for k, t in enumerate(texts)}
 
 
+def plain_battery(t: str) -> tuple[float, ...]:
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    a = next(e[2] for e in ENCODINGS if re.search(e[1], t))
+    x, n, size = [a.index(c) for c in t], len(t), len(a)
+    chi = sum((x.count(k) - n / size) ** 2 / (n / size) for k in range(size))
+    df = size - 1
+    uniform = tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = [c > (size - 1) / 2 for c in x]
+    expected = 2 * sum(high) * (n - sum(high)) / n
+    spread = expected * (expected - 1) / (n - 1)
+    runs = 2 * tail(abs(sum(p != q for p, q in zip(high, high[1:], strict=False)) - expected) / math.sqrt(spread)) if spread > 0 else 0
+    mean = sum(x) / n
+    var = sum((c - mean) ** 2 for c in x)
+    serial = 2 * tail(abs(sum((p - mean) * (q - mean) for p, q in zip(x, x[1:], strict=False)) / var + 1 / n) * math.sqrt(n)) if var else 2 * tail((1 + 1 / n) * math.sqrt(n))
+    excess = n * max(size * 0.065 - 1, 0.5)
+    text = 1 - tail((chi - df - excess) / math.sqrt(2 * (df + 2 * excess)))
+    return chi, uniform, runs, serial, min(1, 3 * min(uniform, runs, serial)), text
+
+
 def test_battery_against_plain_python(spark):
     rng = random.Random(8)
     alphabet = {e[0]: e[2] for e in ENCODINGS}
     tokens = ["".join(rng.choice(alphabet[e]) for _ in range(n)) for e in alphabet for n in (20, 33, 64)]
     tokens += ["internationalisation", "a" * 30, "01" * 20, "TelecommunicationEquipment/Representation"]
     rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", battery(F.col("t")).alias("b")).collect()
-    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
     for r in rows:
-        t, b = r["t"], r["b"]
-        a = next(e[2] for e in ENCODINGS if re.search(e[1], t))
-        x, n, size = [a.index(c) for c in t], len(t), len(a)
-        chi = sum((x.count(k) - n / size) ** 2 / (n / size) for k in range(size))
-        df = size - 1
-        uniform = tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
-        high = [c > (size - 1) / 2 for c in x]
-        expected = 2 * sum(high) * (n - sum(high)) / n
-        spread = expected * (expected - 1) / (n - 1)
-        runs = 2 * tail(abs(sum(p != q for p, q in zip(high, high[1:], strict=False)) - expected) / math.sqrt(spread)) if spread > 0 else 0
-        mean = sum(x) / n
-        var = sum((c - mean) ** 2 for c in x)
-        serial = 2 * tail(abs(sum((p - mean) * (q - mean) for p, q in zip(x, x[1:], strict=False)) / var + 1 / n) * math.sqrt(n)) if var else 2 * tail((1 + 1 / n) * math.sqrt(n))
-        excess = n * max(size * 0.065 - 1, 0.5)
-        text = 1 - tail((chi - df - excess) / math.sqrt(2 * (df + 2 * excess)))
-        want = (chi, uniform, runs, serial, min(1, 3 * min(uniform, runs, serial)), text)
-        assert tuple(b) == pytest.approx(want, abs=1e-5, rel=1e-6)
+        assert tuple(r["b"]) == pytest.approx(plain_battery(r["t"]), abs=1e-5, rel=1e-6)
+
+
+def plain_spans(texts: list[str | None]) -> list[list[tuple[int, int]]]:
+    """The random spans of each text, every span held against every other."""
+    candidates = []
+    for text in texts:
+        spans = {(m.start(), m.end()) for p in (r"[A-Za-z0-9+/_-]{20,}", r"[A-Za-z0-9]{20,}") for m in re.finditer(p, text or "")}
+        base = [(a, b) for a, _, _, b in brute(text)]
+        candidates.append({s: plain_battery(text[s[0] : s[1]])[4:] for s in spans if not any(a <= s[0] and b >= s[1] for a, b in base)})
+    place = lambda p: min(math.floor(-math.log10(max(p, 1e-30)) / 0.05), 400)
+    classes = defaultdict(list)
+    for found in candidates:
+        for (a, b), (_, p) in found.items():
+            classes[int(math.log2(b - a))].append(place(p))
+    limits = {c: max((10 ** (-k * 0.05) for k in set(bins) if 10 ** (-k * 0.05) <= 0.05 * sum(x >= k for x in bins) / len(bins)), default=0.0) for c, bins in classes.items()}
+    out = []
+    for found in candidates:
+        passed = {s: p for s, (r, p) in found.items() if r >= 0.001 and p <= limits[int(math.log2(s[1] - s[0]))]}
+        holds = lambda c, s: c != s and c[0] <= s[0] and c[1] >= s[1]
+        outer = [c for c in passed if not any(holds(c, s) and passed[s] < passed[c] for s in passed)]
+        out.append(sorted(s for s in outer if not any(holds(c, s) for c in outer)))
+    return out
+
+
+def test_choice_of_spans_against_plain_python(spark):
+    rng = random.Random(12)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    alphanumeric, words = ENCODINGS[7][2], ["internationalisation", "telecommunications", "representatives", "settings", "users", "aaaaaaaaaaaaaaaaaaaaaaaa"]
+
+    def token() -> str:
+        parts = [rng.choice(words) if rng.random() < 0.5 else some(rng.choice([alphanumeric, "0123456789abcdef"]), rng.choice([12, 20, 24, 40, 64])) for _ in range(rng.randrange(1, 5))]
+        return rng.choice(["", "", "token=", "password: ", "AKIA", "secret='"]) + rng.choice("/-_+").join(parts)
+
+    texts = ["\u00e9\U0001f600 " + " then ".join(token() for _ in range(rng.randrange(12))) for _ in range(300)] + [None, "", "AKIA" + some(alphanumeric.upper(), 600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("base", F.lit("x")).withColumn("spans", F.lit(1))
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 3] for r in scan(docs).collect()}
+    want = dict(enumerate(plain_spans(texts)))
+    assert sum(map(len, want.values())) > 200
+    assert found == want
+
+
+def test_text_of_many_candidates(spark):
+    """Twice the candidates cost about twice the time, not four times."""
+    rng = random.Random(13)
+    token = lambda: "".join(rng.choice(ENCODINGS[7][2]) for _ in range(12)) + "/" + "".join(rng.choice(ENCODINGS[7][2]) for _ in range(24))
+    many = [token() for _ in range(10_000)]
+    text = " ".join(t if k % 10 else f"token={t}" for k, t in enumerate(many))
+    began = time.monotonic()
+    (row,) = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.monotonic() - began < 60
+    assert len(row["base"]) >= 1000
+    spans = [(s["start"], s["end"]) for s in row["spans"] if s["kind"] == 3]
+    assert len(spans) > 8000
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
 def test_discoveries_against_the_exact_rule(spark):
