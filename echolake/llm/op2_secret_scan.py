@@ -120,6 +120,10 @@ def _encoding(token: Column, field: int) -> Column:
 def battery(token: Column) -> Column:
     """Struct (chi_squared, p_uniform, p_runs, p_serial, p_random, p_text) of a token."""
 
+    def centred(v: Column) -> Column:
+        mean = F.aggregate(v["codes"], F.lit(0.0), lambda s, c: s + c) / F.size(v["codes"])
+        return F.struct(v["alphabet"].alias("alphabet"), v["codes"].alias("codes"), mean.alias("mean"))
+
     def tests(v: Column) -> Column:
         a, x = v["alphabet"], v["codes"]
         size, n = F.length(a).cast("double"), F.size(x).cast("double")
@@ -129,7 +133,7 @@ def battery(token: Column) -> Column:
             lambda s: s * size / n - n,
         )
         middle = (size - 1) / 2
-        mean = F.aggregate(x, F.lit(0.0), lambda s, c: s + c) / n
+        mean = v["mean"]  # computed once, not once a symbol
         spread = F.aggregate(x, F.lit(0.0), lambda s, c: s + (c - mean) * (c - mean))
         pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
         serial = F.aggregate(pairs, F.lit(0.0), lambda s, w: s + (w["p"] - mean) * (w["q"] - mean))
@@ -157,7 +161,7 @@ def battery(token: Column) -> Column:
 
     alphabet = _encoding(token, 2)
     codes = _let(alphabet, lambda a: F.struct(a.alias("alphabet"), F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.position(c, a) - 1).alias("codes")))
-    return _let(_let(codes, tests), chances)
+    return _let(_let(_let(codes, centred), tests), chances)
 
 
 def length_class(length: Column) -> Column:
@@ -229,8 +233,8 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
     def tested(s: Column) -> Column:
-        b = battery(s["hit"])
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), b["p_random"].alias("p_random"), b["p_text"].alias("p_text"))
+        span = lambda b: F.struct(s["start"].alias("start"), s["end"].alias("end"), b["p_random"].alias("p_random"), b["p_text"].alias("p_text"))
+        return _let(battery(s["hit"]), span)
 
     def unknown(c: Column) -> Column:
         return ~(_inside(F.col("__el_assign"), c) | _inside(F.col("__el_access"), c) | _inside(F.col("__el_hex"), c))

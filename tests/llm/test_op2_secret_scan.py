@@ -156,8 +156,10 @@ def test_text_of_many_candidates(spark):
     many = [token() for _ in range(10_000)]
     text = " ".join(t if k % 10 else f"token={t}" for k, t in enumerate(many))
     began = time.monotonic()
-    (row,) = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    long = "".join(rng.choice(ENCODINGS[7][2]) for _ in range(200_000))
+    row, other = sorted(scan(spark.createDataFrame([(1, text), (2, f"a {long} b")], "doc_id long, text string")).collect())
     assert time.monotonic() - began < 60
+    assert [(s["start"], s["end"]) for s in other["spans"]] == [(2, 200_002)]
     assert len(row["base"]) >= 1000
     spans = [(s["start"], s["end"]) for s in row["spans"] if s["kind"] == 3]
     assert len(spans) > 8000
