@@ -38,6 +38,7 @@ MIN_DOCS, MIN_CHI2 = 3, 15.14
 #: An n-gram found so often is a term of its own; so is a repeated one that is in one of so many words.
 REPEATS, SPARSEST = (2, 3, 5), (200, 60)
 BLOCK = 64
+FIRST_BLOCKS = 8
 NEIGHBOURS = 15
 #: Weight of the share of toxic documents among those without a term.
 PRIOR_VOTES = 0.2
@@ -83,41 +84,59 @@ class BlockMaxIndex:
         self.ids, self.labels, self.votes = ids[order], labels[order], weights[order]
         own = np.repeat(np.arange(len(order)), sizes[order])
         self.n_terms, self.n_blocks = n_terms, -(-len(order) // BLOCK)
-        t, v, block = terms[picked].astype(np.int64), values[picked], own // BLOCK
-        self.block_begin = np.searchsorted(block, np.arange(self.n_blocks + 1))
-        self.post_term, self.post_own, self.post_value = t, own % BLOCK, v
-        pair, place = np.unique(t * max(1, self.n_blocks) + block, return_inverse=True)
-        self.max_value = np.zeros(len(pair))
-        np.maximum.at(self.max_value, place, v)
+        t, v = terms[picked].astype(np.int64), values[picked]
+        by_term = np.lexsort((own, t))  # a term's postings, block by block
+        self.post_own, self.post_value = own[by_term], v[by_term]
+        keys = t[by_term] * max(1, self.n_blocks) + self.post_own // BLOCK
+        pair, begin = np.unique(keys, return_index=True)
+        self.pair_begin = np.append(begin, len(keys))
+        self.max_value = np.maximum.reduceat(self.post_value, begin) if len(begin) else np.zeros(0)
         self.max_block = pair % max(1, self.n_blocks)
         self.term_begin = np.searchsorted(pair // max(1, self.n_blocks), np.arange(n_terms + 1))
 
+    def _cosines(self, pairs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the examples in these posting lists, each a term's in a block."""
+        begin, end = self.pair_begin[pairs], self.pair_begin[pairs + 1]
+        at = _ranges(begin, end)
+        total = np.bincount(self.post_own[at], np.repeat(weights, end - begin) * self.post_value[at], minlength=len(self.ids)).round(12)
+        place = np.flatnonzero(total > 0)
+        return place, total[place]
+
     def search(self, terms: np.ndarray, values: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k examples of the largest positive cosines (ties: smaller place), the cosines, and how many blocks were scored."""
-        bound = np.zeros(self.n_blocks)
-        for t, q in zip(terms.tolist(), values.tolist(), strict=True):
-            s = slice(self.term_begin[t], self.term_begin[t + 1])
-            bound[self.max_block[s]] += q * self.max_value[s]
-        dense = np.zeros(self.n_terms)
-        dense[terms] = values
-        order = np.argsort(-bound, kind="stable")
-        best, place, least, scored = np.zeros(0), np.zeros(0, np.int64), 0.0, 0
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < least - 1e-9):
-                break
-            s = slice(self.block_begin[b], self.block_begin[b + 1])
-            here = np.bincount(self.post_own[s], dense[self.post_term[s]] * self.post_value[s], minlength=BLOCK).round(12)
-            found = np.flatnonzero(here > 0)
+        """The k examples of the largest positive cosines (ties: smaller place), the cosines, and how many blocks were scored.
+
+        The blocks of the largest bounds are scored first; of the rest, those
+        whose bound reaches the k-th best cosine found there.
+        """
+        begin, end = self.term_begin[terms], self.term_begin[terms + 1]
+        pairs, weights = _ranges(begin, end), np.repeat(values, end - begin)
+        blocks = self.max_block[pairs]
+        bound = np.bincount(blocks, weights * self.max_value[pairs], minlength=self.n_blocks)
+        first = np.zeros(self.n_blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        first &= bound > 0
+        place, best = np.zeros(0, np.int64), np.zeros(0)
+        todo, scored = first, 0
+        for _ in range(2):
+            here = todo[blocks]
+            found, cosine = self._cosines(pairs[here], weights[here])
             if without is not None:
-                found = found[found + b * BLOCK != without]
-            best, place = np.concatenate([best, here[found]]), np.concatenate([place, found + b * BLOCK])
+                cosine, found = cosine[found != without], found[found != without]
+            place, best = np.concatenate([place, found]), np.concatenate([best, cosine])
             top = np.lexsort((place, -best))[:k]
-            best, place = best[top], place[top]
+            place, best = place[top], best[top]
+            scored += int(todo.sum())
             least = best[-1] if len(best) == k else 0.0
-            scored += 1
+            todo = ~first & (bound > 0) & (bound >= least - 1e-9)
         return place, best, scored
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all half-open ranges, one after another."""
+    size = end - begin
+    return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+
+
 @dataclass(frozen=True)
 class Model:
     """The index, the terms and the calibration: votes at its knots and what they mean."""
@@ -207,39 +226,58 @@ def choose_terms(examples: DataFrame) -> list[str]:
     return [r[0] for r in ranked.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()]
 
 
-def _by_gram(names: list[str]) -> dict[str, dict[int, int]]:
-    """For each n-gram the numbers of its terms by level."""
-    out: dict[str, dict[int, int]] = {}
-    for k, name in enumerate(names):
-        g, level = name.rsplit(" ", 1)
-        out.setdefault(g, {})[int(level)] = k
-    return out
+def _by_gram(names: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Numbers of the n-grams, and for each the numbers of its terms by level, -1 for none."""
+    number: dict[str, int] = {}
+    pairs = [name.rsplit(" ", 1) for name in names]
+    for g, _ in pairs:
+        number.setdefault(g, len(number))
+    table = np.full((len(number), 1 + len(REPEATS) + len(SPARSEST)), -1, np.int32)
+    for k, (g, level) in enumerate(pairs):
+        table[number[g], int(level)] = k
+    return number, table
+
+
+def _terms_of(table: np.ndarray, of_gram: list[int], counts: list[int], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms, ascending, and their counts, of n-grams found so often; as ``levels`` says, for all n-grams at once."""
+    c = np.asarray(counts, np.int64)
+    own = table[np.asarray(of_gram, np.int64)]
+    reached = [np.ones(len(c), bool), *[c >= n for n in REPEATS], *[(c >= REPEATS[0]) & (c * n >= n_words) for n in SPARSEST]]
+    row, level = np.nonzero(np.stack(reached, 1) & (own >= 0))
+    terms = own[row, level]
+    order = np.argsort(terms)
+    return terms[order], np.minimum(c[row][order], 2**31 - 1).astype(np.int32)
+
+
+def _lists(parts: list[np.ndarray], values: pa.Array) -> pa.ListArray:
+    """``values`` as one list a part, of the part's length."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), values)
 
 
 def with_terms(docs: DataFrame, names: list[str]) -> DataFrame:
     """``docs`` (whose ``text`` goes) with __el_terms and __el_counts, the chosen terms of each whole text."""
     rest = [c for c in docs.columns if c != "text"]
-    number = docs.sparkSession.sparkContext.broadcast(_by_gram(names))
+    shared = docs.sparkSession.sparkContext.broadcast(_by_gram(names))
     schema = docs.select(*[F.col(f"`{c}`") for c in rest], F.array().cast("array<int>").alias("__el_terms"), F.array().cast("array<int>").alias("__el_counts")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of = number.value, {}
+        (known, table), of = shared.value, {}
         for batch in batches:
-            terms, counts = [], []
+            terms, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                found, seen = words(text or ""), Counter()
+                found, seen = words(text or ""), {}
                 for w, c in found.items():
                     own = of.get(w)
                     if own is None:
                         if len(of) >= _KEPT_WORDS:
                             of.clear()
-                        own = of[w] = tuple(g for g in grams(w) if g in known)
+                        own = of[w] = tuple(known[g] for g in grams(w) if g in known)
                     for g in own:
-                        seen[g] += c
-                held = sorted((known[g][k], c) for g, c in seen.items() for k in levels(c, found.total()) if k in known[g])
-                terms.append([k for k, _ in held])
-                counts.append([min(c, 2**31 - 1) for _, c in held])
-            arrays = [*batch.columns[:-1], pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
+                        seen[g] = seen.get(g, 0) + c
+                t, c = _terms_of(table, list(seen), list(seen.values()), found.total())
+                terms.append(t)
+                counts.append(c)
+            arrays = [*batch.columns[:-1], *[_lists(x[1:], pa.array(np.concatenate(x), pa.int32())) for x in (terms, counts)]]
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "__el_terms", "__el_counts"])
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], "text").mapInArrow(run, schema)
@@ -290,20 +328,18 @@ def scored(vectors: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        bare = m.score(m.prior)
         for batch in batches:
-            scores, found = [], []
-            for t, c in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if not t:
-                    scores.append(bare)
-                    found.append([])
-                    continue
-                terms = np.asarray(t, np.int64)
-                vote, place, cosine = m.votes(terms, unit_vector(terms, np.asarray(c), m.terms.idf))
+            scores, places, cosines = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for t, c in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+                terms = np.asarray(t.values, np.int64)
+                vote, place, cosine = m.votes(terms, unit_vector(terms, np.asarray(c.values), m.terms.idf)) if len(terms) else (m.prior, places[0], cosines[0])
                 scores.append(m.score(vote))
-                found.append([{"doc_id": int(m.index.ids[p]), "toxic": int(m.index.labels[p]), "cosine": float(x)} for p, x in zip(place, cosine, strict=True)])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(scores, pa.float64()), pa.array(found, kind)], names=[*rest, "__el_score", "__el_evidence"])
+                places.append(place)
+                cosines.append(cosine)
+            at = np.concatenate(places)
+            columns = [pa.array(m.index.ids[at], pa.int64()), pa.array(m.index.labels[at].astype(np.int32)), pa.array(np.concatenate(cosines))]
+            found = _lists(places[1:], pa.StructArray.from_arrays(columns, names=["doc_id", "toxic", "cosine"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(scores, pa.float64()), found], names=[*rest, "__el_score", "__el_evidence"])
 
     return vectors.select(*[F.col(f"`{c}`") for c in rest], "__el_terms", "__el_counts").mapInArrow(run, schema)
 
