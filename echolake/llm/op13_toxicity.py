@@ -316,13 +316,30 @@ def fit(names: list[str], examples: DataFrame, vectors: DataFrame) -> Model:
     values = np.concatenate([unit_vector(t, c, idf) for t, c in zip(np.split(terms, parts), np.split(counts, parts), strict=True)]) if few else np.zeros(0)
     index = BlockMaxIndex(ids, labels, votes, sizes, terms, values, len(names))
     raw = Model(Terms(names, idf), index, np.array([0.0, 1.0]), np.array([0.0, 1.0]), prior)
-    begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    place = {int(i): k for k, i in enumerate(index.ids)}
-    own = np.array([raw.votes(terms[begin[k] : begin[k + 1]], values[begin[k] : begin[k + 1]], place[int(i)])[0] for k, i in enumerate(ids)])
-    knots, means = monotone(np.append(own, prior), np.append(labels, prior), np.append(votes, 1.0), prior)
+    own = own_votes(examples, raw).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # a row an example
+    x, y, w = (own.column(c).to_numpy() for c in ("own", "toxic", "vote"))
+    knots, means = monotone(np.append(x, prior), np.append(y.astype(float), prior), np.append(w, 1.0), prior)
     return Model(raw.terms, index, knots, means, prior)
 
 
+def own_votes(examples: DataFrame, model: Model) -> DataFrame:
+    """Rows (doc_id, toxic, vote, own): the vote that each example of the index gets from the others."""
+    shared = examples.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        place = {i: k for k, i in enumerate(m.index.ids.tolist())}
+        for batch in batches:
+            own = []
+            for i, t, c in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                terms = np.asarray(t.values, np.int64)
+                own.append(m.votes(terms, unit_vector(terms, np.asarray(c.values), m.terms.idf), place[i])[0] if i in place and len(terms) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.float64())], names=["doc_id", "toxic", "vote", "own"])
+
+    dealt = examples.select("doc_id", "toxic", "vote", "__el_terms", "__el_counts").repartition(64, F.xxhash64("doc_id"))
+    return dealt.mapInArrow(run, "doc_id long, toxic int, vote double, own double").where("own IS NOT NULL")
+
+
 def scored(vectors: DataFrame, model: Model) -> DataFrame:
     """``vectors`` without their terms, with __el_score and __el_evidence (doc_id, toxic, cosine of the neighbours)."""
     rest = [c for c in vectors.columns if c not in ("__el_terms", "__el_counts")]
