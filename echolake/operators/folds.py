@@ -16,6 +16,7 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pandas as pd
 import pyarrow as pa
@@ -118,15 +119,19 @@ def smoothed_motion(frames: int = 4, alpha: float = 0.15, slow: float = 0.003, w
 
 
 def action_gate(margin: float = 0.05, debounce: float = 5.0) -> Kernel:
-    """A ladder of actions by risk score: an edge must be passed by a margin, and a new action wanted for so many seconds."""
+    """A ladder of actions by risk score: an edge must be passed by a margin, and a new action wanted for so many seconds.
+
+    Edges and margins are decimals, so 0.9 and 0.05 make 0.95 and not the sum of their nearest doubles.
+    """
+    above, below = (tuple(float(Decimal(str(e)) + way * Decimal(str(margin))) for e in ACTION_EDGES) for way in (1, -1))
 
     def step(s: State, v: tuple, t: float):
         now, wanted, since = s
         raw = sum(v[0] >= e for e in ACTION_EDGES)
         if raw > now:
-            target = raw if v[0] >= ACTION_EDGES[now] + margin else now
+            target = raw if v[0] >= above[now] else now
         elif raw < now:
-            target = raw if v[0] < ACTION_EDGES[now - 1] - margin else now
+            target = raw if v[0] < below[now - 1] else now
         else:
             target = now
         if target == now:
