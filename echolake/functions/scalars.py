@@ -40,11 +40,11 @@ def distance(p: Sequence[Column], q: Sequence[Column]) -> Column:
     return F.sqrt(total)
 
 
-def snr_db(signal: Column, noise: Column) -> Column:
-    """Decibels between the mean powers of two arrays; infinite over no noise."""
+def snr_db(signal: Column, noise: Column, least: float = 1e-10) -> Column:
+    """Decibels between the mean powers of two arrays; infinite over no noise or a power below ``least``."""
     power = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) / F.size(v)
     p = power(noise)
-    return F.when(p < 1e-10, F.lit(float("inf"))).otherwise(10 * F.log10(power(signal) / F.nullif(p, F.lit(0.0))))
+    return F.when((p == 0) | (p < least), F.lit(float("inf"))).otherwise(10 * F.log10(power(signal) / F.nullif(p, F.lit(0.0))))
 
 
 def pseudo_phase(channel: Column) -> Column:

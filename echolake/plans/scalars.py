@@ -175,4 +175,4 @@ def frame_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FRAMES} SELECT frame, round(10 * log10(list_sum(list_transform(amplitude, lambda v: v * v)) / list_sum(list_transform(phase, lambda v: v * v))), 5) AS snr FROM f")
 def frame_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).select("frame", F.round(C.snr_db(F.col("amplitude"), F.col("phase")), 5).alias("snr"))
+    return frames(spark, sf_dir).select("frame", F.round(C.snr_db(F.col("amplitude"), F.col("phase"), least=0.0), 5).alias("snr"))

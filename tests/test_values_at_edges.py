@@ -39,3 +39,9 @@ def test_action_at_an_edge_with_its_margin(spark, tmp_path, x):
     first = {66.5: 60.0, 38.5: 20.0, 52.5: 45.0, 59.5: 69.0, 45.5: 60.0, 31.5: 45.0}[x]
     got, want = both(spark, tmp_path, "coherence_gate", "events", events([first] * 3 + [x] * 3 + [first] * 2))
     assert got == want
+
+
+def test_signal_over_the_least_noise(spark, tmp_path):
+    prices = [3000.0, 3000.01, 2999.99, 9000.01, 14999.99, 33000.01, 39000.0, 45000.02, 99000.01, 104999.99, 6000.0]
+    got, want = both(spark, tmp_path, "frame_snr", "lineitem", lines(prices))
+    assert got == want and sum(r[1] == float("inf") for r in want) == 2
