@@ -108,12 +108,13 @@ def coherence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROOM = """(t - min(t) OVER (PARTITION BY node)) / 300 AS u, kind <> 'error' AS presence, x / 400 AS motion, 6 + x / 10 AS breathing, 55 + x / 2 AS heart, 0.45 + (event_id % 10) / 20.0::DOUBLE AS confidence, CAST(floor(x / 20) AS INTEGER) AS persons, kind = 'signup' AS fallen"""
 
 
-def _room(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _room(spark: SparkSession, sf_dir: str, still: float = 400.0) -> DataFrame:
+    """``still``: what x is divided by for the motion, in one step, as a threshold meets its very value."""
     s = samples(spark, sf_dir)
     first = s.groupBy("node").agg(F.min("t").alias("first"))
     x = F.col("x")
     return s.join(first, "node").select(
-        "node", "event_id", "ts", "kind", ((F.col("t") - F.col("first")) / 300).alias("u"), (F.col("kind") != "error").alias("presence"), (x / 400).alias("motion"), (6 + x / 10).alias("breathing"),
+        "node", "event_id", "ts", "kind", ((F.col("t") - F.col("first")) / 300).alias("u"), (F.col("kind") != "error").alias("presence"), (x / still).alias("motion"), (6 + x / 10).alias("breathing"),
         (55 + x / 2).alias("heart"), (0.45 + F.col("event_id") % 10 / 20.0).alias("confidence"), F.floor(x / 20).cast("int").alias("persons"), (F.col("kind") == "signup").alias("fallen"),
     )
 
@@ -137,7 +138,7 @@ def _dwell(enter: str, leave: str, dwell: str, last: str, at_once: str = "false"
 
 @query(_recursion(_ON, _dwell("presence AND motion < 0.05 AND breathing BETWEEN 8 AND 20 AND confidence >= 0.5", "NOT presence OR motion > 0.15", "300", "30", "NOT presence"), {"asleep BOOLEAN": "next_act"}, "turn", _ROOM.replace("x / 400 AS motion", "x / 2400 AS motion")))
 def sleeping_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _room(spark, sf_dir).withColumn("motion", F.col("motion") / 6)
+    s = _room(spark, sf_dir, still=2400.0)
     return K.fold(s, "node", ["ts", "event_id"], ["presence", "motion", "breathing", "confidence"], "u", "event_id", K.sleeping())
 
 
@@ -166,7 +167,7 @@ def room_active_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     {"anomaly BOOLEAN": "next_act"}, "on_ OR off_", _ROOM.replace("x / 400 AS motion", "x / 2000 AS motion"),
 ))
 def elderly_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _room(spark, sf_dir).withColumn("motion", F.col("motion") / 5)
+    s = _room(spark, sf_dir, still=2000.0)
     return K.fold(s, "node", ["ts", "event_id"], ["presence", "motion"], "u", "event_id", K.inactivity(1.5, 40.0, 1000.0))
 
 

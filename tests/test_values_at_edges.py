@@ -41,6 +41,13 @@ def test_action_at_an_edge_with_its_margin(spark, tmp_path, x):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["sleeping_fsm", "elderly_fsm"])
+def test_motion_at_its_threshold(spark, tmp_path, name):
+    values = [100.0, 120.0, 120.0, 120.0, 130.0, 360.0, 360.0, 40.0, 40.0, 40.0, 100.0, 100.0, 100.0, 400.0, 400.0, 40.0, 120.0, 110.0, 110.0, 20.0, 20.0, 20.0, 400.0]
+    got, want = both(spark, tmp_path, name, "events", events(values, hours=26))
+    assert want and got == want
+
+
 def test_signal_over_the_least_noise(spark, tmp_path):
     prices = [3000.0, 3000.01, 2999.99, 9000.01, 14999.99, 33000.01, 39000.0, 45000.02, 99000.01, 104999.99, 6000.0]
     got, want = both(spark, tmp_path, "frame_snr", "lineitem", lines(prices))
