@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 TAU = 2 * math.pi
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row; named in a lambda as it is, it would be computed once an element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -18,17 +24,28 @@ def mean(v: Column) -> Column:
     return total(v) / F.nullif(F.size(v), F.lit(0))
 
 
+def deviation(v: Column) -> Column:
+    """Population deviation in one pass; exactly 0 where all are equal."""
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        now = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), now.alias("mean"), (s["sq"] + (x - now) * (x - s["mean"])).alias("sq"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sq"))
+    return F.aggregate(v, start, step, lambda s: F.sqrt(s["sq"] / F.nullif(s["n"], F.lit(0.0))))
+
+
 def normalize_min_max(v: Column) -> Column:
     """(x - least) / (most - least); zeros where all are equal."""
-    lo, hi = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: F.when(hi > lo, (x - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise(0.0))
+    ends = F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
+    return let(ends, lambda e: F.transform(v, lambda x: F.when(e["hi"] > e["lo"], (x - e["lo"]) / F.nullif(e["hi"] - e["lo"], F.lit(0.0))).otherwise(0.0)))
 
 
 def normalize_zscore(v: Column) -> Column:
     """Distance from the mean in population deviations; zeros where all are equal."""
-    m = mean(v)
-    sd = F.sqrt(mean(F.transform(v, lambda x: (x - m) * (x - m))))
-    return F.transform(v, lambda x: F.when(sd > 0, (x - m) / F.nullif(sd, F.lit(0.0))).otherwise(0.0))
+    moments = F.struct(mean(v).alias("m"), deviation(v).alias("sd"))
+    return let(moments, lambda s: F.transform(v, lambda x: F.when(s["sd"] > 0, (x - s["m"]) / F.nullif(s["sd"], F.lit(0.0))).otherwise(0.0)))
 
 
 def remove_noise(v: Column, threshold_db: float) -> Column:
@@ -50,11 +67,14 @@ def unwrap_phase(v: Column) -> Column:
 
 def detrend(v: Column) -> Column:
     """What is left of the least-squares line over the positions."""
-    n = F.size(v).cast("double")
-    centre, m = (n - 1) / 2, mean(v)
-    moment = total(F.transform(v, lambda x, i: (i - centre) * (x - m)))
-    slope = F.coalesce(moment / F.nullif(n * (n * n - 1) / 12, F.lit(0.0)), F.lit(0.0))
-    return F.transform(v, lambda x, i: x - m - slope * (i - centre))
+
+    def about(v: Column, s: Column) -> Column:
+        n, centre, m = s["n"], (s["n"] - 1) / 2, s["m"]
+        moment = total(F.transform(v, lambda x, i: (i - centre) * (x - m)))
+        slope = F.coalesce(moment / F.nullif(n * (n * n - 1) / 12, F.lit(0.0)), F.lit(0.0))
+        return let(slope, lambda slope: F.transform(v, lambda x, i: x - m - slope * (i - centre)))
+
+    return let(v, lambda v: let(F.struct(F.size(v).cast("double").alias("n"), mean(v).alias("m")), lambda s: about(v, s)))
 
 
 def sanitize_phase(v: Column) -> Column:
@@ -76,7 +96,7 @@ def resample(v: Column, tones: int) -> Column:
 
 def coherence(z: Column) -> Column:
     """Mean of exp(-z^2 / 2) over standardised deviations."""
-    return mean(F.transform(z, lambda x: F.exp(-x * x / 2)))
+    return let(F.transform(z, lambda x: F.exp(-x * x / 2)), mean)
 
 
 def rssi_to_amplitude(dbm: Column) -> Column:
@@ -111,15 +131,12 @@ def conjugate_product(a: Column, b: Column) -> Column:
 
 def hamming(v: Column) -> Column:
     """The array under a Hamming window; one tone stays as it is."""
-    n = F.size(v)
-    return F.transform(v, lambda x, i: F.when(n > 1, x * (0.54 - 0.46 * F.cos(F.lit(TAU) * i / F.nullif(n - 1, F.lit(0))))).otherwise(x))
+    return let(F.size(v), lambda n: F.transform(v, lambda x, i: F.when(n > 1, x * (0.54 - 0.46 * F.cos(F.lit(TAU) * i / F.nullif(n - 1, F.lit(0))))).otherwise(x)))
 
 
 def scale_by_deviation(v: Column) -> Column:
     """Divided by the population deviation."""
-    m = mean(v)
-    sd = F.sqrt(mean(F.transform(v, lambda x: (x - m) * (x - m))))
-    return F.transform(v, lambda x: x / (sd + 1e-12))
+    return let(v, lambda v: let(deviation(v), lambda sd: F.transform(v, lambda x: x / (sd + 1e-12))))
 
 
 def preprocess(v: Column, threshold_db: float) -> Column:

@@ -144,10 +144,9 @@ def tone_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT frame, CAST(i AS INTEGER) AS i, round(a / (stddev_pop(a) OVER (PARTITION BY frame) + 1e-12), 4) AS v FROM w WHERE frame IN (SELECT frame FROM w GROUP BY frame HAVING stddev_pop(a) > 1e-6)""")
 def frame_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noise removal, Hamming window and scaling of frames that are not flat after the window."""
-    v = frames(spark, sf_dir).select("frame", A.hamming(A.remove_noise(F.col("amplitude"), 20)).alias("w"), A.preprocess(F.col("amplitude"), 20).alias("v"))
-    m = A.mean(F.col("w"))
-    spread = F.sqrt(A.mean(F.transform("w", lambda x: (x - m) * (x - m))))
-    return v.where(spread > 1e-6).select("frame", F.posexplode("v").alias("i", "v")).withColumn("v", F.round("v", 4))
+    spread = A.deviation(A.hamming(A.remove_noise(F.col("amplitude"), 20)))
+    v = frames(spark, sf_dir).where(spread > 1e-6).select("frame", A.preprocess(F.col("amplitude"), 20).alias("v"))
+    return v.select("frame", F.posexplode("v").alias("i", "v")).withColumn("v", F.round("v", 4))
 
 
 @query(f"""WITH {FRAMES}, j AS (SELECT frame, amplitude AS s, len(amplitude) AS n, unnest(range(5)) AS i FROM f), p AS (SELECT *, i * (n - 1) / 4.0::DOUBLE AS place FROM j), k AS (SELECT *, CAST(floor(place) AS BIGINT) AS k, place - floor(place) AS u FROM p),

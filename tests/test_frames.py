@@ -59,3 +59,14 @@ def test_datagrams(spark):
     v = D.vitals_of(spark.createDataFrame([(bytearray(vitals),), (bytearray(frame),)], "content binary")).collect()
     assert (v[0]["presence"], v[0]["fall_detected"], v[0]["motion"], v[0]["breathing_rate_bpm"], v[0]["heartrate_bpm"], v[0]["timestamp_ms"]) == (True, False, True, 16.5, 72.0, 123456)
     assert v[1]["error"] == "wrong magic"
+
+
+@pytest.mark.parametrize("f", [A.normalize_zscore, A.sanitize_phase, A.hamming, lambda v: A.preprocess(v, 20), lambda v: F.array(A.coherence(A.normalize_zscore(v)))], ids=["zscore", "sanitize", "hamming", "preprocess", "coherence"])
+def test_long_frames_cost_no_more_an_element(spark, f):
+    from time import perf_counter
+
+    df = spark.createDataFrame([([math.sin(k * 0.7) * 3 for k in range(n)],) for n in (1, 2, 1500)], "v array<double>")
+    one(spark, [1.0, 2.0], f)
+    began = perf_counter()
+    assert [r[0] for r in df.select(F.size(f(F.col("v")))).collect()][0] == 1
+    assert perf_counter() - began < 10  # minutes while sums were taken anew for every element
