@@ -2,11 +2,12 @@
 
 A graph comes as an array in its row, so graphs are dealt over tasks like rows;
 the cut of one is found in memory by contracting the most tightly joined pair
-until two vertices are left.
+until two vertices are left, for all graphs of one size in a batch at once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 LEAST_WEIGHT, EQUAL_WEIGHT, EQUAL_WITHIN, LEAST_VERTICES = 0.5, 1e6, 1e-9, 4
 QUANTUM, RISK, LEAST_NODES = 1 / 64, 0.25, 3
+#: Graphs of one size are cut together, so many weights at a time.
+CELLS = 1 << 20
 
 
 def min_cut(weights: np.ndarray) -> tuple[float, list[int]]:
@@ -61,26 +64,69 @@ def min_cut(weights: np.ndarray) -> tuple[float, list[int]]:
     return float(best), sorted(side)
 
 
+def min_cuts(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``min_cut`` of many graphs of one size (graph, vertex, vertex): weights, and for each vertex whether it is on the side of vertex 0."""
+    g, n = weights.shape[:2]
+    if n < 2:
+        return np.zeros(g), np.ones((g, n), bool)
+    every, w = np.arange(g), weights.astype(float)
+    w[:, range(n), range(n)] = 0.0
+    part = np.zeros((g, n), bool)
+    part[:, 0] = True
+    for _ in range(n - 1):
+        more = part | (part[:, :, None] & (w > 0)).any(axis=1)
+        if (more == part).all():
+            break
+        part = more
+    whole = part.all(axis=1)
+    alive, member = np.ones((g, n), bool), np.broadcast_to(np.eye(n, dtype=bool), (g, n, n)).copy()
+    best, side = np.full(g, np.inf), np.zeros((g, n), bool)
+    for left in range(n, 1, -1):  # a phase leaves one vertex less in every graph
+        todo, tight = alive.copy(), w[:, 0].copy()
+        todo[:, 0] = False
+        last = np.zeros(g, int)
+        for _ in range(left - 1):
+            before = last
+            last = np.argmax(np.where(todo, tight, -np.inf), axis=1)  # the first of equals
+            phase = tight[every, last]
+            todo[every, last] = False
+            tight += w[every, last]
+        better = phase < best
+        best = np.where(better, phase, best)
+        side[better] = member[every, last][better]
+        w[every, before] += w[every, last]
+        w[every, :, before] += w[every, :, last]
+        w[every, before, before] = 0.0
+        member[every, before] |= member[every, last]
+        alive[every, last] = False
+    side = np.where(side[:, :1], side, ~side)
+    return np.where(whole, best, 0.0), np.where(whole[:, None], side, part)
+
+
 def likeness(sensitivity: np.ndarray) -> np.ndarray:
-    """Weights between tones: one over how far apart they are; weak ones are no edge."""
-    apart = np.abs(sensitivity[:, None] - sensitivity[None])
+    """Weights between tones of a frame, or of each of many: one over how far apart they are; weak ones are no edge."""
+    apart = np.abs(sensitivity[..., :, None] - sensitivity[..., None, :])
     w = np.where(apart > EQUAL_WITHIN, 1 / np.maximum(apart, EQUAL_WITHIN), EQUAL_WEIGHT)
     w[w <= LEAST_WEIGHT] = 0.0
-    np.fill_diagonal(w, 0.0)
+    n = sensitivity.shape[-1]
+    w[..., range(n), range(n)] = 0.0
     return w
 
 
-def sensitive_side(s: np.ndarray) -> tuple[float | None, list[int]]:
-    """The cut weight (None where there is nothing to cut) and the tones of the side with the larger mean."""
-    n = len(s)
+def sensitive_sides(s: np.ndarray) -> tuple[list[float | None], list[list[int]]]:
+    """For frames of one size (frame, tone): cut weights (None where there is nothing to cut) and the tones of the sides with the larger means."""
+    g, n = s.shape
     if n < LEAST_VERTICES:
-        return None, list(range(n))
+        return [None] * g, [list(range(n))] * g
     w = likeness(s)
-    if not w.any():
-        return None, list(range(n // 2))
-    cut, side = min_cut(w)
-    other = sorted(set(range(n)) - set(side))
-    return cut, side if not other or s[side].mean() >= s[other].mean() else other
+    joined = w.any(axis=(1, 2))
+    cuts, side = min_cuts(w)
+    a, b = ((s * x).sum(axis=1) / np.maximum(x.sum(axis=1), 1) for x in (side, ~side))
+    side = np.where((~side.any(axis=1) | side.all(axis=1) | (a >= b))[:, None], side, ~side)
+    side[~joined] = np.arange(n) < n // 2
+    row, tone = np.nonzero(side)
+    sides = [x.tolist() for x in np.split(tone, np.searchsorted(row, np.arange(1, g)))]
+    return [c if j else None for c, j in zip(cuts.tolist(), joined.tolist(), strict=True)], sides
 
 
 def partition_tones(df: DataFrame, key: str, sensitivity: Column) -> DataFrame:
@@ -94,12 +140,18 @@ def partition_tones(df: DataFrame, key: str, sensitivity: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cuts, sides = [], []
-            for s in b.column(1).to_pylist():
-                fine = s is not None and all(x is not None and np.isfinite(x) for x in s)
-                cut, side = sensitive_side(np.array(s, float)) if fine else (None, [])
-                cuts.append(cut)
-                sides.append(side)
+            cuts, sides = [None] * b.num_rows, [[]] * b.num_rows
+            by_size: dict[int, tuple[list, list]] = {}
+            for k, s in enumerate(b.column(1).to_pylist()):
+                if s is not None and all(x is not None and math.isfinite(x) for x in s):
+                    at, held = by_size.setdefault(len(s), ([], []))
+                    at.append(k)
+                    held.append(s)
+            for n, (at, held) in by_size.items():
+                step = max(1, CELLS // max(1, n * n))
+                for k in range(0, len(at), step):
+                    for row, cut, side in zip(at[k : k + step], *sensitive_sides(np.array(held[k : k + step], float).reshape(len(at[k : k + step]), n)), strict=True):
+                        cuts[row], sides[row] = cut, side
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cuts, pa.float64()), pa.array(sides, pa.list_(pa.int32()))], names=["key", "cut", "sensitive"])
 
     return rows.mapInArrow(run, f"key {kind}, cut double, sensitive array<int>").withColumnRenamed("key", key)

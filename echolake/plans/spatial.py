@@ -81,9 +81,8 @@ c AS (SELECT m.frame, m.side, coalesce(sum(w) FILTER (WHERE (side >> (i - 1)) &
 b AS (SELECT frame, min(cut) AS cut FROM c GROUP BY frame) SELECT frame, n, round(cut, 6) AS cut FROM a LEFT JOIN b USING (frame)""")
 def min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weight at which the tones of a frame part most easily; null where they are too few or nothing joins them."""
-    f = frames(spark, sf_dir).withColumn("s", F.transform("amplitude", lambda v: v / 10.0))
-    out = P.partition_tones(f, "frame", F.col("s"))
-    return out.join(f.select("frame", F.size("s").cast("long").alias("n")), "frame").select("frame", "n", F.round("cut", 6).alias("cut"))
+    f = frames(spark, sf_dir).select(F.struct("frame", F.size("amplitude").cast("long").alias("n")).alias("of"), F.transform("amplitude", lambda v: v / 10.0).alias("s"))
+    return P.partition_tones(f, "of", F.col("s")).select("of.frame", "of.n", F.round("cut", 6).alias("cut"))
 
 
 # Eight nodes a mesh: SQL tries all sides, as bits.

@@ -86,6 +86,15 @@ def test_minimum_cuts_against_all_subsets(spark):
     assert got[4]["sensitive"] == [0, 1] and got[6]["cut"] is None and got[7]["sensitive"] == [3, 4]
 
 
+def test_many_cuts_at_once_equal_single_ones():
+    rng = np.random.default_rng(8)
+    for n in range(2, 9):
+        w = rng.integers(0, 4, (60, n, n)) * (rng.random((60, n, n)) < 0.5) * rng.choice([1.0, 0.3], (60, 1, 1))  # also graphs of several parts, and ties
+        w = w + w.transpose(0, 2, 1)
+        cuts, sides = P.min_cuts(w)
+        assert [(c, np.flatnonzero(s).tolist()) for c, s in zip(cuts.tolist(), sides, strict=True)] == [P.min_cut(x) for x in w]
+
+
 def test_meshes_at_risk(spark):
     ring = [(1, k, (k + 1) % 4, 0.5 if k in (0, 3) else 0.75) for k in range(4)]  # vertex 0 is tied least
     rows = ring + [(2, 0, 1, 0.9), (2, 1, 2, 1e-6), (2, 2, 1, -4.0), (3, 5, 6, 0.1), (4, 1, 1, 9.0), (4, None, 1, 9.0), (5, 1, 2, None), (5, 2, 3, 0.5)]
