@@ -2,23 +2,28 @@
 
 Breathing counts sign changes in a window that is forgotten when its rate leaves
 the band.  The heart rate is the lag of the largest autocorrelation: sums of
-lagged products over sliding windows, all in one window pass.
+lagged products over sliding windows, many windows of a key at once in numpy.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echolake.functions.arrays import let
 from echolake.operators.folds import Kernel, State, resonator
 
 # Fixed values of the extractors.
 BREATH_BAND, HEART_BAND = (0.1, 0.5), (0.8, 2.0)
 PLAUSIBLE_BPM = (40.0, 180.0)
 LEAST_TONES = 4
+#: Windows taken together.
+WINDOWS = 2048
 
 
 def coherent_signal(residuals: Column, phases: Column) -> Column:
@@ -26,13 +31,16 @@ def coherent_signal(residuals: Column, phases: Column) -> Column:
 
     Null or empty residuals give null.
     """
-    n = F.size(residuals)
-    near = lambda i: F.when(i + 1 < n, i + 1).otherwise(i - 1)
-    apart = lambda i: F.abs(F.get(phases, near(i)) - F.get(phases, i))
-    weight = lambda i: F.coalesce(F.exp(-apart(i)), F.lit(1.0))
-    parts = F.transform(residuals, lambda r, i: F.struct((r * weight(i)).alias("x"), weight(i).alias("w")))
-    total = lambda f: F.aggregate(parts, F.lit(0.0), lambda s, p: s + p[f])
-    return F.when(n == 1, residuals[0]).when(n > 1, total("x") / total("w"))
+
+    def fused(r: Column, p: Column, n: Column) -> Column:
+        near = lambda i: F.when(i + 1 < n, i + 1).otherwise(i - 1)
+        weight = lambda i: F.coalesce(F.exp(-F.abs(F.get(p, near(i)) - F.get(p, i))), F.lit(1.0))
+        total = lambda parts, f: F.aggregate(parts, F.lit(0.0), lambda s, p: s + p[f])
+        parts = F.transform(F.transform(r, lambda x, i: F.struct(x.alias("x"), weight(i).alias("w"))), lambda q: F.struct((q["x"] * q["w"]).alias("x"), q["w"].alias("w")))
+        return F.when(n == 1, r[0]).when(n > 1, let(parts, lambda parts: total(parts, "x") / total(parts, "w")))
+
+    all_ = F.struct(residuals.alias("r"), phases.alias("p"), F.size(residuals).alias("n"))
+    return let(all_, lambda a: fused(a["r"], a["p"], a["n"]))
 
 
 def weighted_signal(residuals: Column, weights: Column) -> Column:
@@ -74,34 +82,62 @@ def breathing(rate: float = 1.0, band: tuple[float, float] = BREATH_BAND, second
     return Kernel((*filtered.start, ()), step, "bpm double, confidence double")
 
 
+def strongest(values: np.ndarray, before: np.ndarray, rows: int, fewest: int, lags: range) -> tuple[np.ndarray, np.ndarray]:
+    """For each value the largest autocorrelation of the last ``rows`` values and its lag; NaN where there is none.
+
+    ``before`` holds the values before the first one, ``rows`` - 1 at most.
+    """
+    held = np.concatenate([np.zeros(rows - 1 - len(before)), before, values])
+    there = np.concatenate([np.zeros(rows - 1 - len(before)), np.ones(len(before) + len(values))])
+    acf, lag = np.full(len(values), np.nan), np.zeros(len(values), np.int32)
+    for k in range(0, len(values), WINDOWS):
+        w, known = (np.lib.stride_tricks.sliding_window_view(x[k : min(k + WINDOWS, len(values)) + rows - 1], rows) for x in (held, there))
+        n = known.sum(axis=1)
+        mean = w.sum(axis=1) / n
+        base = np.einsum("ij,ij->i", w, w) - n * mean * mean
+        ready = (n >= fewest) & (base >= 1e-15) & (n // 2 > lags[0])
+        c = (w - mean[:, None]) * known
+        sums = np.stack([np.einsum("ij,ij->i", c[:, : max(0, rows - q)], c[:, q:]) for q in lags], axis=1)
+        sums = np.where(np.array(lags) <= (n // 2)[:, None], sums / np.where(ready, base, 1.0)[:, None], -np.inf)
+        best = sums.argmax(axis=1)  # the first of equals: the shorter lag
+        acf[k : k + len(w)] = np.where(ready, sums[np.arange(len(w)), best], np.nan)
+        lag[k : k + len(w)] = np.array(lags)[best]
+    return acf, lag
+
+
 def heart_rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, tones: str, rate: float, seconds: float = 15.0, least: float = 5.0, band: tuple[float, float] = HEART_BAND) -> DataFrame:
     """``df`` with ``bpm``, ``confidence`` and ``status`` from the autocorrelation of the last ``seconds`` of the filtered signal ``x``.
 
     Rows with ``least`` seconds behind them whose largest autocorrelation in the
     band is positive and whose rate is plausible; ties go to the shorter lag.
     Rows with a null signal are left out.  A row's lags reach back half the
-    window at most.
+    window at most.  Ordered rows of a key stream through one task, which holds
+    one window of it.
     """
-    rows = int(rate * seconds)
-    every = Window.partitionBy(*keys).orderBy(*order)
-    window = every.rowsBetween(1 - rows, 0)
+    rows, fewest = int(rate * seconds), int(rate * least)
     lags = range(math.floor(rate / band[1]), math.ceil(rate / band[0]) + 1)
-    value, before = F.col(x), lambda lag: F.col(f"__el_x{lag}")
-    held = df.where(value.isNotNull()).withColumns({
-        "__el_n": F.count(F.lit(1)).over(window), "__el_sum": F.sum(x).over(window), "__el_sq": F.sum(value * value).over(window), **{f"__el_x{lag}": F.lag(x, lag).over(every) for lag in lags},
-    })
-    sums = {}
-    for lag in lags:
-        pairs = every.rowsBetween(1 - rows + lag, 0)  # the newer rows of pairs inside the window
-        sums |= {f"__el_p{lag}": F.sum(value * before(lag)).over(pairs), f"__el_e{lag}": F.sum(F.when(before(lag).isNotNull(), value + before(lag))).over(pairs)}
-    n = F.col("__el_n")
-    mean = F.col("__el_sum") / n
-    base = F.col("__el_sq") - n * mean * mean
-    acf = lambda lag: (F.col(f"__el_p{lag}") - mean * F.col(f"__el_e{lag}") + (n - lag) * mean * mean) / F.nullif(base, F.lit(0.0))
-    usable = [F.when(F.lit(lag) <= F.floor(n / 2), F.struct(acf(lag).alias("acf"), F.lit(-lag).alias("lag"))) for lag in lags]
-    ready = held.withColumns(sums).where((n >= int(rate * least)) & (base >= 1e-15) & (F.floor(n / 2) > lags[0]))
-    best = ready.withColumn("__el_best", F.array_max(F.array_compact(F.array(*usable))))
-    strength, bpm = F.col("__el_best.acf"), -60.0 * rate / F.nullif(F.col("__el_best.lag"), F.lit(0))
+    given = df.where(F.col(x).isNotNull())
+    schema = given.select(*[F.col(f"`{c}`") for c in df.columns], F.lit(0.0).alias("__el_acf"), F.lit(0).alias("__el_lag")).schema
+    names = [*df.columns, "__el_acf", "__el_lag"]
+    at, places = names.index(x), [names.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, before = object(), np.zeros(0)  # the values that the next rows' windows reach back to
+        for b in batches:
+            own = list(zip(*[b.column(k).to_pylist() for k in places], strict=True)) or [()] * b.num_rows
+            values = b.column(at).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            starts = [k for k in range(b.num_rows) if k == 0 or own[k] != own[k - 1]]
+            acf, lag = np.full(b.num_rows, np.nan), np.zeros(b.num_rows, np.int32)
+            for begin, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                if own[begin] != key:
+                    key, before = own[begin], np.zeros(0)
+                acf[begin:end], lag[begin:end] = strongest(values[begin:end], before, rows, fewest, lags)
+                before = np.concatenate([before, values[begin:end]])[1 - rows :] if rows > 1 else before
+            found = np.flatnonzero(acf > 0)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(found)) for c in b.columns], pa.array(acf[found]), pa.array(lag[found])], names=names)
+
+    best = given.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    strength, bpm = F.col("__el_acf"), 60.0 * rate / F.nullif(F.col("__el_lag"), F.lit(0))
     confidence = F.least(F.greatest(strength * F.least(F.col(tones) / LEAST_TONES, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
-    found = best.where((strength > 0) & bpm.between(*PLAUSIBLE_BPM)).withColumn("bpm", bpm).withColumn("confidence", confidence)
+    found = best.where(bpm.between(*PLAUSIBLE_BPM)).withColumn("bpm", bpm).withColumn("confidence", confidence)
     return found.withColumn("status", status(F.col("confidence"), 0.6, 0.3, F.col(tones) >= LEAST_TONES)).select(*df.columns, "bpm", "confidence", "status")
