@@ -1,8 +1,9 @@
 """Radio tomography: densities of voxels from attenuations of links, by iterative soft thresholding.
 
 Weights of links and voxels are made by explode and filter, packed into blocks
-of links and written; each round is one job over the blocks with the densities
-broadcast, and only vectors as long as the grid reach the driver.
+of links and written, links of equal weights as one; each round is one job over
+the blocks with the densities broadcast, whose tasks' vectors are added up by
+tasks, so that one vector as long as the grid reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from echolake.plans.shared import materialize
 WAVELENGTH, OCCUPIED = 0.06, 0.01
 #: Voxels of a grid, at most: each round broadcasts and returns a vector of so many numbers.
 MAX_VOXELS = 1 << 20
+#: Tasks' vectors are added in parts of so many numbers.
+PART = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -46,6 +50,13 @@ class Grid:
         return self.nx * self.ny * self.nz
 
 
+def ways(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct ways of links, each a link of its own, and (link, attenuation) of all links: links of one way have its weights."""
+    ends = [f"{e}{a}" for e in "tr" for a in "xyz"]
+    own = links.withColumn("link", F.struct(*ends))
+    return own.select("link", *ends).distinct(), own.select("link", "attenuation")
+
+
 def link_weights(links: DataFrame, grid: Grid) -> DataFrame:
     """(link, voxel, weight): how much of a link's zone a voxel is in, 1 on the line and 0 at its edge.
 
@@ -54,7 +65,8 @@ def link_weights(links: DataFrame, grid: Grid) -> DataFrame:
     axes, size = "xyz", grid.size
     d = {a: F.col(f"r{a}") - F.col(f"t{a}") for a in axes}
     length = F.sqrt(d["x"] ** 2 + d["y"] ** 2 + d["z"] ** 2)
-    near = links.withColumn("radius", F.greatest(F.sqrt(WAVELENGTH * length / 4), F.lit(max(size[:2]))))
+    tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each becomes a box of voxels
+    near = links.repartition(tasks, "link").withColumn("radius", F.greatest(F.sqrt(WAVELENGTH * length / 4), F.lit(max(size[:2]))))
     for a, low, s, n in zip(axes, grid.low, size, grid.counts, strict=True):
         first = F.floor((F.least(f"t{a}", f"r{a}") - F.col("radius") - low) / s).cast("int")
         last = F.floor((F.greatest(f"t{a}", f"r{a}") + F.col("radius") - low) / s).cast("int")
@@ -78,6 +90,22 @@ class Volume:
     rounds: int
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of sorted parts (at, part, g, s) by ``at``, in the order of the parts."""
+    names, at, total, square = ["at", "g", "s"], None, None, 0.0
+    one = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([square])], names=names)
+    for b in batches:
+        for k, _, g, s in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if k != at:
+                if at is not None:
+                    yield one()
+                at, total, square = k, np.zeros(len(g) // 8), 0.0
+            total += np.frombuffer(g)
+            square += s
+    if at is not None:
+        yield one()
+
+
 def reconstruct(weights: DataFrame, measured: DataFrame, grid: Grid, penalty: float = 0.1, most: float = 100, tolerance: float = 1e-4, least_links: int = 8) -> Volume:
     """Densities from 0 up that explain the attenuations (link, attenuation), few of them, within ``most`` rounds.
 
@@ -87,10 +115,12 @@ def reconstruct(weights: DataFrame, measured: DataFrame, grid: Grid, penalty: fl
     if grid.voxels > MAX_VOXELS:
         raise ValueError(f"{grid.voxels} voxels are more than {MAX_VOXELS}")
     rows = weights.groupBy("link").agg(F.sort_array(F.collect_list(F.struct("voxel", "weight"))).alias("w"))  # a link's voxels: at most the grid
-    held = materialize(measured.where("attenuation IS NOT NULL").join(rows, "link").select(F.col("w.voxel").alias("voxel"), F.col("w.weight").alias("weight"), F.col("attenuation").cast("double").alias("y")), "links")
-    n, norm = held.agg(F.count(F.lit(1)), F.sum(F.aggregate("weight", F.lit(0.0), lambda s, w: s + w * w))).first()
+    met = measured.where("attenuation IS NOT NULL").join(rows, "link").withColumn("y", F.col("attenuation").cast("double"))
+    met = met.groupBy("w").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    held = materialize(met.select(F.col("w.voxel").alias("voxel"), F.col("w.weight").alias("weight"), "n", "y", "yy"), "links")
+    n, norm = held.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.sum(F.col("n") * F.aggregate("weight", F.lit(0.0), lambda s, w: s + w * w))).first()
     if n < least_links:
-        raise ValueError(f"{n} links are fewer than {least_links}")
+        raise ValueError(f"{n:.0f} links are fewer than {least_links}")
     step = 1 / max(norm, 1e-10)
     context, x, residual = held.sparkSession.sparkContext, np.zeros(grid.voxels), 0.0
     rounds = 0
@@ -103,18 +133,21 @@ def reconstruct(weights: DataFrame, measured: DataFrame, grid: Grid, penalty: fl
                 sizes = np.asarray(b.column(0).value_lengths())
                 voxel, w = np.asarray(b.column(0).flatten()), np.asarray(b.column(1).flatten())
                 link = np.repeat(np.arange(len(sizes)), sizes)
-                off = np.bincount(link, w * shared.value[voxel], minlength=len(sizes)) - np.asarray(b.column(2))
-                square += float(off @ off)
-                gradient += np.bincount(voxel, w * off[link], minlength=len(gradient))
-            yield pa.RecordBatch.from_arrays([pa.array([gradient.tobytes()], pa.binary()), pa.array([square])], names=["g", "s"])
-
-        parts = held.mapInArrow(run, "g binary, s double").toLocalIterator()  # one vector a task, added one at a time
+                count, y, yy = (np.asarray(b.column(k)) for k in (2, 3, 4))
+                told = np.bincount(link, w * shared.value[voxel], minlength=len(sizes))
+                square += float((count * told**2 - 2 * told * y + yy).sum())
+                gradient += np.bincount(voxel, w * (count * told - y)[link], minlength=len(gradient))
+            part, at = TaskContext.get().partitionId(), range(0, len(gradient), PART)
+            columns = [pa.array(at, pa.int64()), pa.array([part] * len(at), pa.int32()), pa.array([gradient[k : k + PART].tobytes() for k in at], pa.binary()), pa.array([0.0 if k else square for k in at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "part", "g", "s"])
+
+        parts = held.mapInArrow(run, "at long, part int, g binary, s double").repartition("at").sortWithinPartitions("at", "part").mapInArrow(_added, "at long, g binary, s double")
         gradient, square = np.zeros(grid.voxels), 0.0
-        for p in parts:
-            gradient += np.frombuffer(p["g"])
+        for p in parts.collect():  # as long as the grid, all in all
+            gradient[p["at"] : p["at"] + PART] = np.frombuffer(p["g"])
             square += p["s"]
         shared.destroy()
-        residual = float(np.sqrt(square / n))
+        residual = float(np.sqrt(max(square, 0.0) / n))
         now = np.maximum(x - step * gradient - penalty * step, 0.0)
         moved = float(np.abs(now - x).max())
         x, rounds = now, rounds + 1

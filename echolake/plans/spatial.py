@@ -145,6 +145,7 @@ def tomography_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tomography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The occupied voxels of the room after the links' attenuations."""
-    grid, links = R.Grid(), _links(spark, sf_dir)
-    found = R.reconstruct(R.link_weights(links, grid), links.select("link", "attenuation"), grid)
+    grid = R.Grid()
+    links, measured = R.ways(_links(spark, sf_dir))
+    found = R.reconstruct(R.link_weights(links, grid), measured, grid)
     return R.voxels(spark, found, grid).select("voxel", "x", "y", "z", F.round("density", 6).alias("density"))

@@ -136,6 +136,24 @@ def test_tomography_finds_a_planted_body(spark):
         R.reconstruct(weights, measured.limit(3), grid)
 
 
+def test_links_of_one_way_are_taken_together(spark):
+    rng = np.random.default_rng(3)
+    grid = R.Grid(4, 4, 2)
+    ends = [tuple(map(float, rng.uniform(0, 3, 6))) for _ in range(6)]
+    rows = [(k, *ends[k % 6], float(rng.random())) for k in range(40)] + [(40, *ends[0], None)]
+    links = spark.createDataFrame(rows, "link long, tx double, ty double, tz double, rx double, ry double, rz double, attenuation double")
+    w, y, x = np.zeros((40, grid.voxels)), np.array([r[-1] for r in rows[:40]]), np.zeros(grid.voxels)
+    for r in R.link_weights(links.where("link < 40"), grid).collect():
+        w[r["link"], r["voxel"]] = r["weight"]
+    for _ in range(5):
+        step, off = 1 / (w**2).sum(), w @ x - y
+        x = np.maximum(x - step * (w.T @ off) - 0.1 * step, 0)
+    own, measured = R.ways(links)
+    assert own.count() == 6
+    found = R.reconstruct(R.link_weights(own, grid), measured, grid, most=5)
+    assert found.densities == pytest.approx(x, abs=1e-12) and found.residual == pytest.approx(np.sqrt((off**2).mean()))
+
+
 def test_merged_baselines_equal_the_whole(spark):
     rng = np.random.default_rng(6)
     rows = [(k % 3, float(a), float(p)) for k, (a, p) in enumerate(zip(rng.normal(20, 3, 90), rng.vonmises(3, 4, 90), strict=True))] + [(0, None, 1.0), (1, 2.0, None), (2, float("nan"), 1.0)]
