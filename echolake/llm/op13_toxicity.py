@@ -44,7 +44,7 @@ NEIGHBOURS = 15
 PRIOR_VOTES = 0.2
 HELD_OUT = 5
 _WORD, _ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile(r"[a-z]+")
-_LONG, _KEPT_WORDS = 1 << 20, 1 << 18
+_LONG, _KEPT_WORDS, _KEPT_VECTORS = 1 << 20, 1 << 18, 1 << 12
 
 
 def grams(word: str) -> set[str]:
@@ -348,13 +348,20 @@ def scored(vectors: DataFrame, model: Model) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, known = shared.value, {}
         for batch in batches:
             scores, places, cosines = [], [np.zeros(0, np.int64)], [np.zeros(0)]
             for t, c in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-                terms = np.asarray(t.values, np.int64)
-                vote, place, cosine = m.votes(terms, unit_vector(terms, np.asarray(c.values), m.terms.idf)) if len(terms) else (m.prior, places[0], cosines[0])
-                scores.append(m.score(vote))
+                terms, counts = np.asarray(t.values, np.int64), np.asarray(c.values)
+                of = terms.tobytes(), counts.tobytes()
+                found = known.get(of)
+                if found is None:
+                    vote, *near = m.votes(terms, unit_vector(terms, counts, m.terms.idf)) if len(terms) else (m.prior, places[0], cosines[0])
+                    if len(known) >= _KEPT_VECTORS:
+                        known.clear()
+                    found = known[of] = m.score(vote), *near
+                score, place, cosine = found
+                scores.append(score)
                 places.append(place)
                 cosines.append(cosine)
             at = np.concatenate(places)
@@ -362,7 +369,10 @@ def scored(vectors: DataFrame, model: Model) -> DataFrame:
             found = _lists(places[1:], pa.StructArray.from_arrays(columns, names=["doc_id", "toxic", "cosine"]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(scores, pa.float64()), found], names=[*rest, "__el_score", "__el_evidence"])
 
-    return vectors.select(*[F.col(f"`{c}`") for c in rest], "__el_terms", "__el_counts").mapInArrow(run, schema)
+    tasks = max(64, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # small rows, long searches: a file's split is too much for one task
+    alike = F.when(F.size("__el_terms") > 0, F.xxhash64("__el_terms", "__el_counts"))
+    dealt = vectors.repartition(tasks, alike, F.xxhash64(*[F.col(f"`{c}`") for c in rest]) % F.when(alike.isNotNull(), 4).otherwise(1 << 20))
+    return dealt.select(*[F.col(f"`{c}`") for c in rest], "__el_terms", "__el_counts").mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, seed_rows: int = PER_LABEL) -> DataFrame:
