@@ -4,9 +4,9 @@ Terms are character n-grams of words, and n-grams that a text repeats or is
 dense with, as a cosine alone forgets how often.  A bounded sample of labelled
 documents chooses the terms that go with the label, by chi-squared; document frequencies
 of these are counted over all documents.  Examples are unit TF-IDF vectors in a
-block-max inverted index: posting lists of a term lead to blocks of examples
-with the largest weight in the block, so blocks whose bound is below the k-th
-best cosine are never scored, and the k nearest are exact.  Neighbours vote by
+block-max index: a block of examples has the largest weight of each term, so
+blocks whose bound is below the k-th best cosine are never scored, others meet
+many queries at once, and the k nearest are exact.  Neighbours vote by
 closeness; a monotone fit over the examples, each without its own vote, turns
 votes into calibrated scores.  The neighbours are the evidence.
 
@@ -37,8 +37,8 @@ PER_LABEL, MAX_TERMS, MAX_POSTINGS = 8192, 4096, 4_000_000
 MIN_DOCS, MIN_CHI2 = 3, 15.14
 #: An n-gram found so often is a term of its own; so is a repeated one that is in one of so many words.
 REPEATS, SPARSEST = (2, 3, 5), (200, 60)
-BLOCK = 64
-FIRST_BLOCKS = 8
+#: Examples of a block, and queries that meet a block at once.
+BLOCK, SEARCHED = 256, 1024
 NEIGHBOURS = 15
 #: Weight of the share of toxic documents among those without a term.
 PRIOR_VOTES = 0.2
@@ -74,65 +74,91 @@ class Terms:
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks; for each term the blocks that hold it and its largest weight there."""
+    """Unit vectors in blocks, with each term's largest weight in a block."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, sizes: np.ndarray, terms: np.ndarray, values: np.ndarray, n_terms: int):
         """``ids``, ``labels`` and vote ``weights`` by example; its ``sizes`` many terms and values are concatenated."""
         heaviest = np.array([int(t[np.argmax(v)]) if len(t) else -1 for t, v in zip(np.split(terms, np.cumsum(sizes)[:-1]), np.split(values, np.cumsum(sizes)[:-1]), strict=True)]) if len(sizes) else np.zeros(0, int)
         order = np.lexsort((ids, heaviest))  # like examples share blocks
         begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        picked = np.concatenate([np.arange(begin[k], begin[k + 1]) for k in order]) if len(order) else np.zeros(0, np.int64)
+        picked = _ranges(begin[order], begin[order + 1]) if len(order) else np.zeros(0, np.int64)
         self.ids, self.labels, self.votes = ids[order], labels[order], weights[order]
-        own = np.repeat(np.arange(len(order)), sizes[order])
-        self.n_terms, self.n_blocks = n_terms, -(-len(order) // BLOCK)
-        t, v = terms[picked].astype(np.int64), values[picked]
-        by_term = np.lexsort((own, t))  # a term's postings, block by block
-        self.post_own, self.post_value = own[by_term], v[by_term]
-        keys = t[by_term] * max(1, self.n_blocks) + self.post_own // BLOCK
-        pair, begin = np.unique(keys, return_index=True)
-        self.pair_begin = np.append(begin, len(keys))
-        self.max_value = np.maximum.reduceat(self.post_value, begin) if len(begin) else np.zeros(0)
-        self.max_block = pair % max(1, self.n_blocks)
-        self.term_begin = np.searchsorted(pair // max(1, self.n_blocks), np.arange(n_terms + 1))
-
-    def _cosines(self, pairs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the examples in these posting lists, each a term's in a block."""
-        begin, end = self.pair_begin[pairs], self.pair_begin[pairs + 1]
+        self.begin = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
+        self.terms, self.values = terms[picked].astype(np.int32), values[picked]  # an example's, by place
+        self.n_terms, self.n_blocks, self.block = n_terms, -(-len(order) // BLOCK), BLOCK
+        self.largest = np.zeros((self.n_blocks, n_terms), np.float32)
+        np.maximum.at(self.largest, (np.repeat(np.arange(len(order)) // BLOCK, sizes[order]), self.terms), self.values.astype(np.float32))
+
+    def _block(self, b: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first place of a block, the terms that it holds and its weights, terms x examples."""
+        first, last = b * self.block, min((b + 1) * self.block, len(self.ids))
+        here = slice(self.begin[first], self.begin[last])
+        held = np.flatnonzero(self.largest[b])
+        row = np.zeros(self.n_terms, np.int32)
+        row[held] = np.arange(len(held))
+        weights = np.zeros((len(held), last - first), np.float32)
+        weights[row[self.terms[here]], np.repeat(np.arange(last - first), np.diff(self.begin[first : last + 1]))] = self.values[here]
+        return first, held, weights
+
+    def _exact(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Cosines of the examples at these places with a query that has all terms."""
+        begin, end = self.begin[places], self.begin[places + 1]
         at = _ranges(begin, end)
-        total = np.bincount(self.post_own[at], np.repeat(weights, end - begin) * self.post_value[at], minlength=len(self.ids)).round(12)
-        place = np.flatnonzero(total > 0)
-        return place, total[place]
+        return np.bincount(np.repeat(np.arange(len(places)), end - begin), query[self.terms[at]] * self.values[at], minlength=len(places)).round(12)
 
-    def search(self, terms: np.ndarray, values: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k examples of the largest positive cosines (ties: smaller place), the cosines, and how many blocks were scored.
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """For each query of (terms, values) the k examples of the largest positive cosines (ties: smaller place) and the cosines; and how many blocks were scored for a query.
 
-        The blocks of the largest bounds are scored first; of the rest, those
-        whose bound reaches the k-th best cosine found there.
+        Blocks go by falling bounds; a block is scored for those queries whose
+        bound reaches their k-th best cosine so far.  Products of a block with
+        queries are of single precision; whatever their error lets be among
+        the k is scored again in double precision, so the k are exact.
+        ``without`` has a place for each query that is left out, -1 for none.
         """
-        begin, end = self.term_begin[terms], self.term_begin[terms + 1]
-        pairs, weights = _ranges(begin, end), np.repeat(values, end - begin)
-        blocks = self.max_block[pairs]
-        bound = np.bincount(blocks, weights * self.max_value[pairs], minlength=self.n_blocks)
-        first = np.zeros(self.n_blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        first &= bound > 0
-        place, best = np.zeros(0, np.int64), np.zeros(0)
-        todo, scored = first, 0
-        for _ in range(2):
-            here = todo[blocks]
-            found, cosine = self._cosines(pairs[here], weights[here])
+        n, error = len(queries), (self.n_terms + 2) * 2.0**-23  # twice that of a sum of so many terms
+        by_term = np.zeros((self.n_terms, n), np.float32)
+        for j, (terms, values) in enumerate(queries):
+            by_term[terms, j] = values
+        bound = self.largest @ by_term * (1 + error)
+        best, least = np.zeros((n, k), np.float32), np.zeros(n, np.float32)  # the k largest products so far, and the smallest of these
+        owners, places, products, scored = [], [], [], 0
+        for b in np.argsort(-bound.sum(1), kind="stable").tolist():
+            need = np.flatnonzero((bound[b] > 0) & (bound[b] >= least - error))
+            if not len(need):
+                continue
+            scored += len(need)
+            first, held, weights = self._block(b)
+            of_held = by_term[held]
+            product = (of_held if len(need) == n else np.take(of_held, need, axis=1, mode="clip")).T @ weights
             if without is not None:
-                cosine, found = cosine[found != without], found[found != without]
-            place, best = np.concatenate([place, found]), np.concatenate([best, cosine])
-            if len(best) > k:
-                near = best >= np.partition(best, -k)[-k]  # ties at the k-th stay
-                place, best = place[near], best[near]
-            top = np.lexsort((place, -best))[:k]
-            place, best = place[top], best[top]
-            scored += int(todo.sum())
-            least = best[-1] if len(best) == k else 0.0
-            todo = ~first & (bound > 0) & (bound >= least - 1e-9)
-        return place, best, scored
+                own = np.flatnonzero((without[need] >= first) & (without[need] < first + weights.shape[1]))
+                product[own, without[need][own] - first] = 0
+            better = np.flatnonzero(product.max(1) > least[need])
+            at = need[better]
+            best[at] = np.partition(np.concatenate([best[at], product[better]], 1), -k, axis=1)[:, -k:]
+            least[at] = best[at].min(1)
+            q, place = np.nonzero((product > 0) & (product >= (least[need] - error)[:, None]))
+            owners.append(need[q])
+            places.append(first + place)
+            products.append(product[q, place])
+        owner, place, product = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, owners), (np.int64, places), (np.float32, products)))
+        near = np.flatnonzero(product >= least[owner] - error)
+        near = near[np.argsort(owner[near], kind="stable")]
+        end = np.searchsorted(owner[near], np.arange(n + 1))
+        found, query = [], np.zeros(self.n_terms)
+        for j, (terms, values) in enumerate(queries):
+            here = np.sort(place[near[end[j] : end[j + 1]]])
+            query[terms] = values
+            cosine = self._exact(here, query)
+            query[terms] = 0
+            top = np.lexsort((here, -cosine))[: min(k, np.count_nonzero(cosine > 0))]
+            found.append((here[top], cosine[top]))
+        return found, scored
+
+    def search(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """``search_all`` for one query: places, cosines, blocks scored."""
+        [(place, cosine)], scored = self.search_all([(terms, values)], k)
+        return place, cosine, scored
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -151,10 +177,13 @@ class Model:
     means: np.ndarray
     prior: float
 
-    def votes(self, terms: np.ndarray, values: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        place, cosine, _ = self.index.search(terms, values, NEIGHBOURS, without)
-        w = self.index.votes[place] * cosine**2
-        return float((w @ self.index.labels[place] + PRIOR_VOTES * self.prior) / (w.sum() + PRIOR_VOTES)), place, cosine
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each query the vote, and the places and cosines of its neighbours."""
+        for start in range(0, len(queries), SEARCHED):
+            here = slice(start, start + SEARCHED)
+            for place, cosine in self.index.search_all(queries[here], NEIGHBOURS, None if without is None else without[here])[0]:
+                w = self.index.votes[place] * cosine**2
+                yield float((w @ self.index.labels[place] + PRIOR_VOTES * self.prior) / (w.sum() + PRIOR_VOTES)), place, cosine
 
     def score(self, vote: float) -> float:
         return float(np.clip(np.interp(vote, self.knots, self.means), 0.0, 1.0))
@@ -253,6 +282,12 @@ def _terms_of(table: np.ndarray, of_gram: list[int], counts: list[int], n_words:
     return terms[order], np.minimum(c[row][order], 2**31 - 1).astype(np.int32)
 
 
+def _vectors(terms: pa.ListArray, counts: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Terms and counts of each row."""
+    for t, c in zip(terms, counts, strict=True):
+        yield np.asarray(t.values, np.int64), np.asarray(c.values)
+
+
 def _lists(parts: list[np.ndarray], values: pa.Array) -> pa.ListArray:
     """``values`` as one list a part, of the part's length."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), values)
@@ -316,7 +351,9 @@ def fit(names: list[str], examples: DataFrame, vectors: DataFrame) -> Model:
     values = np.concatenate([unit_vector(t, c, idf) for t, c in zip(np.split(terms, parts), np.split(counts, parts), strict=True)]) if few else np.zeros(0)
     index = BlockMaxIndex(ids, labels, votes, sizes, terms, values, len(names))
     raw = Model(Terms(names, idf), index, np.array([0.0, 1.0]), np.array([0.0, 1.0]), prior)
-    own = own_votes(examples, raw).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # a row an example
+    own = own_votes(examples, raw).toArrow()  # a row an example; Spark's sort would search all twice
+    rank = {i: k for k, i in enumerate(ids.tolist())}
+    own = own.take(np.argsort([rank[i] for i in own.column("doc_id").to_pylist()]))
     x, y, w = (own.column(c).to_numpy() for c in ("own", "toxic", "vote"))
     knots, means = monotone(np.append(x, prior), np.append(y.astype(float), prior), np.append(w, 1.0), prior)
     return Model(raw.terms, index, knots, means, prior)
@@ -330,14 +367,14 @@ def own_votes(examples: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         place = {i: k for k, i in enumerate(m.index.ids.tolist())}
         for batch in batches:
-            own = []
-            for i, t, c in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                terms = np.asarray(t.values, np.int64)
-                own.append(m.votes(terms, unit_vector(terms, np.asarray(c.values), m.terms.idf), place[i])[0] if i in place and len(terms) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.float64())], names=["doc_id", "toxic", "vote", "own"])
+            at = np.array([place.get(i, -1) for i in batch.column(0).to_pylist()], np.int64)
+            rows = batch.take(pa.array(np.flatnonzero(at >= 0)))
+            queries = [(t, unit_vector(t, c, m.terms.idf)) for t, c in _vectors(rows.column(3), rows.column(4))]
+            own = [vote for vote, *_ in m.votes(queries, at[at >= 0])]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(own, pa.float64())], names=["doc_id", "toxic", "vote", "own"])
 
     dealt = examples.select("doc_id", "toxic", "vote", "__el_terms", "__el_counts").repartition(64, F.xxhash64("doc_id"))
-    return dealt.mapInArrow(run, "doc_id long, toxic int, vote double, own double").where("own IS NOT NULL")
+    return dealt.mapInArrow(run, "doc_id long, toxic int, vote double, own double")
 
 
 def scored(vectors: DataFrame, model: Model) -> DataFrame:
@@ -350,17 +387,17 @@ def scored(vectors: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
         for batch in batches:
+            keys, new = [], {}
+            for terms, counts in _vectors(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+                keys.append((terms.tobytes(), counts.tobytes()))
+                if keys[-1] not in known and keys[-1] not in new:
+                    new[keys[-1]] = terms, unit_vector(terms, counts, m.terms.idf)
+            here = {of: known[of] for of in keys if of in known}
+            here |= {of: (m.score(vote), place, cosine) for of, (vote, place, cosine) in zip(new, m.votes(list(new.values())), strict=True)}
+            known = dict(list((known | here).items())[-_KEPT_VECTORS:])
             scores, places, cosines = [], [np.zeros(0, np.int64)], [np.zeros(0)]
-            for t, c in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-                terms, counts = np.asarray(t.values, np.int64), np.asarray(c.values)
-                of = terms.tobytes(), counts.tobytes()
-                found = known.get(of)
-                if found is None:
-                    vote, *near = m.votes(terms, unit_vector(terms, counts, m.terms.idf)) if len(terms) else (m.prior, places[0], cosines[0])
-                    if len(known) >= _KEPT_VECTORS:
-                        known.clear()
-                    found = known[of] = m.score(vote), *near
-                score, place, cosine = found
+            for of in keys:
+                score, place, cosine = here[of]
                 scores.append(score)
                 places.append(place)
                 cosines.append(cosine)
