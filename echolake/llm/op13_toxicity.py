@@ -39,12 +39,14 @@ MIN_DOCS, MIN_CHI2 = 3, 15.14
 REPEATS, SPARSEST = (2, 3, 5), (200, 60)
 #: Examples of a block, and queries that meet a block at once.
 BLOCK, SEARCHED = 256, 1024
+#: Like examples share blocks: clusters, and rounds to find them.
+CLUSTERS, CLUSTER_ROUNDS = 4, 6
 NEIGHBOURS = 15
 #: Weight of the share of toxic documents among those without a term.
 PRIOR_VOTES = 0.2
 HELD_OUT = 5
 _WORD, _ASCII_WORD = re.compile(r"[^\W\d_]+"), re.compile(r"[a-z]+")
-_LONG, _KEPT_WORDS, _KEPT_VECTORS = 1 << 20, 1 << 18, 1 << 12
+_LONG, _KEPT_WORDS, _KEPT_GRAMS, _KEPT_VECTORS = 1 << 20, 1 << 18, 1 << 14, 1 << 12
 
 
 def grams(word: str) -> set[str]:
@@ -53,6 +55,16 @@ def grams(word: str) -> set[str]:
     return {x[k : k + GRAM] for k in range(max(1, len(x) - GRAM + 1))}
 
 
+def _known_grams(word: str, known: dict[str, int]) -> tuple[int, ...]:
+    """Numbers of those of a word's n-grams that are known."""
+    x = f"^{word}$"
+    if len(x) <= GRAM:
+        return (known[x],) if x in known else ()
+    found = {*map(known.get, [x[k : k + GRAM] for k in range(len(x) - GRAM + 1)])}
+    found.discard(None)
+    return tuple(found)
+
+
 def words(text: str) -> Counter:
     low = text.lower()
     word = _ASCII_WORD if low.isascii() else _WORD  # equal on ASCII, and faster
@@ -79,32 +91,40 @@ class BlockMaxIndex:
     def __init__(self, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, sizes: np.ndarray, terms: np.ndarray, values: np.ndarray, n_terms: int):
         """``ids``, ``labels`` and vote ``weights`` by example; its ``sizes`` many terms and values are concatenated."""
         heaviest = np.array([int(t[np.argmax(v)]) if len(t) else -1 for t, v in zip(np.split(terms, np.cumsum(sizes)[:-1]), np.split(values, np.cumsum(sizes)[:-1]), strict=True)]) if len(sizes) else np.zeros(0, int)
-        order = np.lexsort((ids, heaviest))  # like examples share blocks
-        begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        picked = _ranges(begin[order], begin[order + 1]) if len(order) else np.zeros(0, np.int64)
+        order = np.lexsort((ids, heaviest))
         self.ids, self.labels, self.votes = ids[order], labels[order], weights[order]
-        self.begin = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
-        self.terms, self.values = terms[picked].astype(np.int32), values[picked]  # an example's, by place
+        begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.n_terms, self.n_blocks, self.block = n_terms, -(-len(order) // BLOCK), BLOCK
+        self.centres, cluster = _clusters(np.repeat(np.arange(len(sizes)), sizes), terms, values, len(sizes), n_terms)
+        self.place = np.lexsort((sizes[order], cluster[order]))  # by slot: like examples share blocks
+        self.slot = np.argsort(self.place)
+        stored = order[self.place]
+        picked = _ranges(begin[stored], begin[stored + 1]) if len(order) else np.zeros(0, np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(sizes[stored])]).astype(np.int64)
+        self.terms, self.values = terms[picked].astype(np.int32), values[picked]  # an example's, by slot
         self.largest = np.zeros((self.n_blocks, n_terms), np.float32)
-        np.maximum.at(self.largest, (np.repeat(np.arange(len(order)) // BLOCK, sizes[order]), self.terms), self.values.astype(np.float32))
+        np.maximum.at(self.largest, (np.repeat(np.arange(len(order)) // BLOCK, sizes[stored]), self.terms), self.values.astype(np.float32))
 
-    def _block(self, b: int) -> tuple[int, np.ndarray, np.ndarray]:
-        """The first place of a block, the terms that it holds and its weights, terms x examples."""
+    def likeness(self, terms: np.ndarray, values: np.ndarray) -> tuple[int, int]:
+        """Queries next to each other in this order need much the same blocks and terms."""
+        return int((self.centres[:, terms] @ values).argmax()), len(terms)
+
+    def _block(self, b: int, used: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first slot of a block, those of the ``used`` terms that it holds, and its weights, terms x examples."""
         first, last = b * self.block, min((b + 1) * self.block, len(self.ids))
         here = slice(self.begin[first], self.begin[last])
-        held = np.flatnonzero(self.largest[b])
-        row = np.zeros(self.n_terms, np.int32)
+        held = np.flatnonzero((self.largest[b] > 0) & used)
+        row = np.full(self.n_terms, len(held), np.int32)
         row[held] = np.arange(len(held))
-        weights = np.zeros((len(held), last - first), np.float32)
+        weights = np.zeros((len(held) + 1, last - first), np.float32)  # the last row takes the terms that are not used
         weights[row[self.terms[here]], np.repeat(np.arange(last - first), np.diff(self.begin[first : last + 1]))] = self.values[here]
-        return first, held, weights
+        return first, held, weights[:-1]
 
-    def _exact(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Cosines of the examples at these places with a query that has all terms."""
-        begin, end = self.begin[places], self.begin[places + 1]
+    def _exact(self, slots: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Cosines of the examples in these slots with a query that has all terms."""
+        begin, end = self.begin[slots], self.begin[slots + 1]
         at = _ranges(begin, end)
-        return np.bincount(np.repeat(np.arange(len(places)), end - begin), query[self.terms[at]] * self.values[at], minlength=len(places)).round(12)
+        return np.bincount(np.repeat(np.arange(len(slots)), end - begin), query[self.terms[at]] * self.values[at], minlength=len(slots)).round(12)
 
     def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
         """For each query of (terms, values) the k examples of the largest positive cosines (ties: smaller place) and the cosines; and how many blocks were scored for a query.
@@ -119,37 +139,38 @@ class BlockMaxIndex:
         by_term = np.zeros((self.n_terms, n), np.float32)
         for j, (terms, values) in enumerate(queries):
             by_term[terms, j] = values
+        used = by_term.any(1)
         bound = self.largest @ by_term * (1 + error)
+        mine = np.full(n, -1) if without is None else np.where(without >= 0, np.append(self.slot, -1)[without], -1)
         best, least = np.zeros((n, k), np.float32), np.zeros(n, np.float32)  # the k largest products so far, and the smallest of these
-        owners, places, products, scored = [], [], [], 0
+        owners, slots, products, scored = [], [], [], 0
         for b in np.argsort(-bound.sum(1), kind="stable").tolist():
             need = np.flatnonzero((bound[b] > 0) & (bound[b] >= least - error))
             if not len(need):
                 continue
             scored += len(need)
-            first, held, weights = self._block(b)
+            first, held, weights = self._block(b, used)
             of_held = by_term[held]
             product = (of_held if len(need) == n else np.take(of_held, need, axis=1, mode="clip")).T @ weights
-            if without is not None:
-                own = np.flatnonzero((without[need] >= first) & (without[need] < first + weights.shape[1]))
-                product[own, without[need][own] - first] = 0
+            own = np.flatnonzero((mine[need] >= first) & (mine[need] < first + weights.shape[1]))
+            product[own, mine[need][own] - first] = 0
             better = np.flatnonzero(product.max(1) > least[need])
             at = need[better]
             best[at] = np.partition(np.concatenate([best[at], product[better]], 1), -k, axis=1)[:, -k:]
             least[at] = best[at].min(1)
-            q, place = np.nonzero((product > 0) & (product >= (least[need] - error)[:, None]))
+            q, at = np.nonzero((product > 0) & (product >= (least[need] - error)[:, None]))
             owners.append(need[q])
-            places.append(first + place)
-            products.append(product[q, place])
-        owner, place, product = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, owners), (np.int64, places), (np.float32, products)))
+            slots.append(first + at)
+            products.append(product[q, at])
+        owner, slot, product = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, owners), (np.int64, slots), (np.float32, products)))
         near = np.flatnonzero(product >= least[owner] - error)
         near = near[np.argsort(owner[near], kind="stable")]
         end = np.searchsorted(owner[near], np.arange(n + 1))
         found, query = [], np.zeros(self.n_terms)
         for j, (terms, values) in enumerate(queries):
-            here = np.sort(place[near[end[j] : end[j + 1]]])
+            here = np.sort(self.place[slot[near[end[j] : end[j + 1]]]])
             query[terms] = values
-            cosine = self._exact(here, query)
+            cosine = self._exact(self.slot[here], query)
             query[terms] = 0
             top = np.lexsort((here, -cosine))[: min(k, np.count_nonzero(cosine > 0))]
             found.append((here[top], cosine[top]))
@@ -161,6 +182,16 @@ class BlockMaxIndex:
         return place, cosine, scored
 
 
+def _clusters(own: np.ndarray, terms: np.ndarray, values: np.ndarray, n: int, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of ``CLUSTERS`` clusters of ``n`` unit vectors by cosine, and the cluster of each; they only order the index."""
+    cluster = np.arange(n) * CLUSTERS // max(1, n)
+    for _ in range(CLUSTER_ROUNDS):
+        centres = np.bincount(cluster[own] * n_terms + terms, values, minlength=CLUSTERS * n_terms).reshape(CLUSTERS, n_terms)
+        centres /= np.maximum(np.sqrt((centres**2).sum(1, keepdims=True)), 1e-12)
+        cluster = np.array([np.bincount(own, c[terms] * values, minlength=n) for c in centres]).argmax(0)
+    return centres, cluster
+
+
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers of all half-open ranges, one after another."""
     size = end - begin
@@ -179,11 +210,16 @@ class Model:
 
     def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """For each query the vote, and the places and cosines of its neighbours."""
-        for start in range(0, len(queries), SEARCHED):
-            here = slice(start, start + SEARCHED)
-            for place, cosine in self.index.search_all(queries[here], NEIGHBOURS, None if without is None else without[here])[0]:
-                w = self.index.votes[place] * cosine**2
-                yield float((w @ self.index.labels[place] + PRIOR_VOTES * self.prior) / (w.sum() + PRIOR_VOTES)), place, cosine
+        order = sorted(range(len(queries)), key=lambda j: self.index.likeness(*queries[j]))
+        found: list = [None] * len(queries)
+        for start in range(0, len(order), SEARCHED):
+            here = order[start : start + SEARCHED]
+            near, _ = self.index.search_all([queries[j] for j in here], NEIGHBOURS, None if without is None else without[here])
+            for j, x in zip(here, near, strict=True):
+                found[j] = x
+        for place, cosine in found:
+            w = self.index.votes[place] * cosine**2
+            yield float((w @ self.index.labels[place] + PRIOR_VOTES * self.prior) / (w.sum() + PRIOR_VOTES)), place, cosine
 
     def score(self, vote: float) -> float:
         return float(np.clip(np.interp(vote, self.knots, self.means), 0.0, 1.0))
@@ -228,16 +264,22 @@ def choose_terms(examples: DataFrame) -> list[str]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[str, list[int]] = {}
+        of: dict[str, set[str]] = {}
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *[pa.array([c[k] for c in n.values()], pa.int64()) for k in (0, 1)]], names=["term", "n0", "n1"])
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, seen = words(text), Counter()
+                found, seen = words(text), {}
                 for w, c in found.items():
-                    for g in grams(w):
-                        seen[g] += c
+                    own = of.get(w)
+                    if own is None:
+                        if len(of) >= _KEPT_GRAMS:
+                            of.clear()
+                        own = of[w] = grams(w)
+                    for g in own:
+                        seen[g] = seen.get(g, 0) + c
                 total_words = found.total()
                 for g, c in seen.items():
                     for level in levels(c, total_words) if c > 1 else (0,):
@@ -271,15 +313,17 @@ def _by_gram(names: list[str]) -> tuple[dict[str, int], np.ndarray]:
     return number, table
 
 
-def _terms_of(table: np.ndarray, of_gram: list[int], counts: list[int], n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms, ascending, and their counts, of n-grams found so often; as ``levels`` says, for all n-grams at once."""
-    c = np.asarray(counts, np.int64)
-    own = table[np.asarray(of_gram, np.int64)]
-    reached = [np.ones(len(c), bool), *[c >= n for n in REPEATS], *[(c >= REPEATS[0]) & (c * n >= n_words) for n in SPARSEST]]
-    row, level = np.nonzero(np.stack(reached, 1) & (own >= 0))
-    terms = own[row, level]
-    order = np.argsort(terms)
-    return terms[order], np.minimum(c[row][order], 2**31 - 1).astype(np.int32)
+def _terms_of(table: np.ndarray, row: np.ndarray, of_gram: np.ndarray, counts: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, terms and counts, by row and term, of n-grams found so often in rows of so many words; as ``levels`` says, for all at once."""
+    out = []
+    words_there = n_words[row]
+    for level, reached in enumerate([None, *[counts >= n for n in REPEATS], *[(counts >= REPEATS[0]) & (counts * n >= words_there) for n in SPARSEST]]):
+        own = table[of_gram, level]
+        at = np.flatnonzero(own >= 0 if reached is None else (own >= 0) & reached)
+        out.append((row[at], own[at], counts[at]))
+    rows, terms, found = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(rows * np.int64(1 + table.max(initial=0)) + terms)
+    return rows[order], terms[order], np.minimum(found[order], 2**31 - 1)
 
 
 def _vectors(terms: pa.ListArray, counts: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -297,12 +341,12 @@ def with_terms(docs: DataFrame, names: list[str]) -> DataFrame:
     """``docs`` (whose ``text`` goes) with __el_terms and __el_counts, the chosen terms of each whole text."""
     rest = [c for c in docs.columns if c != "text"]
     shared = docs.sparkSession.sparkContext.broadcast(_by_gram(names))
-    schema = docs.select(*[F.col(f"`{c}`") for c in rest], F.array().cast("array<int>").alias("__el_terms"), F.array().cast("array<int>").alias("__el_counts")).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest], F.array().cast("array<smallint>").alias("__el_terms"), F.array().cast("array<int>").alias("__el_counts")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, table), of = shared.value, {}
         for batch in batches:
-            terms, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            of_gram, counts, sizes, n_words = [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 found, seen = words(text or ""), {}
                 for w, c in found.items():
@@ -310,14 +354,17 @@ def with_terms(docs: DataFrame, names: list[str]) -> DataFrame:
                     if own is None:
                         if len(of) >= _KEPT_WORDS:
                             of.clear()
-                        own = of[w] = tuple(known[g] for g in grams(w) if g in known)
+                        own = of[w] = _known_grams(w, known)
                     for g in own:
                         seen[g] = seen.get(g, 0) + c
-                t, c = _terms_of(table, list(seen), list(seen.values()), found.total())
-                terms.append(t)
-                counts.append(c)
-            arrays = [*batch.columns[:-1], *[_lists(x[1:], pa.array(np.concatenate(x), pa.int32())) for x in (terms, counts)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "__el_terms", "__el_counts"])
+                of_gram.extend(seen)
+                counts.extend(seen.values())
+                sizes.append(len(seen))
+                n_words.append(found.total())
+            rows, terms, counts = _terms_of(table, np.repeat(np.arange(len(sizes)), sizes), np.array(of_gram, np.int64), np.array(counts, np.int64), np.array(n_words, np.int64))
+            begin = pa.array(np.searchsorted(rows, np.arange(len(sizes) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(begin, pa.array(terms, pa.int16())), pa.ListArray.from_arrays(begin, pa.array(counts, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], names=[*rest, "__el_terms", "__el_counts"])
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], "text").mapInArrow(run, schema)
 
@@ -329,12 +376,23 @@ def train(docs: DataFrame, labels: DataFrame, seed_rows: int = PER_LABEL) -> tup
     return names, with_terms(examples, names)
 
 
+def document_frequencies(vectors: DataFrame, n_terms: int) -> DataFrame:
+    """Rows (t, n): how many rows of ``vectors`` hold each term; tasks send a row a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(), minlength=n_terms)
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(n[held], pa.int64())], names=["t", "n"])
+
+    return vectors.select("__el_terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
 def fit(names: list[str], examples: DataFrame, vectors: DataFrame) -> Model:
     """The model of examples, with document frequencies from ``vectors``, all documents with their terms."""
-    n = vectors.count()
-    counted = vectors.select(F.explode("__el_terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a term
-    df = np.zeros(len(names))
-    for t, c in counted:
+    n, df = vectors.count(), np.zeros(len(names))
+    for t, c in document_frequencies(vectors, len(names)).collect():  # a row a term
         df[t] = c
     idf = np.log((1 + n) / (1 + df)) + 1
     blank = examples.groupBy(F.size("__el_terms") == 0, "toxic").agg(F.sum("vote")).collect()  # four rows
@@ -344,7 +402,7 @@ def fit(names: list[str], examples: DataFrame, vectors: DataFrame) -> Model:
     ids, labels, votes = (kept.column(c).to_numpy() for c in ("doc_id", "toxic", "vote"))
     sizes = np.array([len(x) for x in kept.column("__el_terms")], np.int64)
     few = int(np.searchsorted(np.cumsum(sizes), MAX_POSTINGS, "right"))  # in order of the hash, as many as the bound allows
-    flat = lambda c: np.concatenate([np.asarray(x, np.int64) for x in kept.column(c).slice(0, few).to_pylist()]) if few else np.zeros(0, np.int64)
+    flat = lambda c: np.concatenate([np.zeros(0, np.int64), *[x.flatten().to_numpy() for x in kept.column(c).slice(0, few).chunks]])
     terms, counts = flat("__el_terms"), flat("__el_counts")
     ids, labels, votes, sizes = ids[:few], labels[:few].astype(float), votes[:few], sizes[:few]
     parts = np.cumsum(sizes)[:-1]
@@ -373,7 +431,7 @@ def own_votes(examples: DataFrame, model: Model) -> DataFrame:
             own = [vote for vote, *_ in m.votes(queries, at[at >= 0])]
             yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(own, pa.float64())], names=["doc_id", "toxic", "vote", "own"])
 
-    dealt = examples.select("doc_id", "toxic", "vote", "__el_terms", "__el_counts").repartition(64, F.xxhash64("doc_id"))
+    dealt = examples.select("doc_id", "toxic", "vote", "__el_terms", "__el_counts").repartition(2 * PER_LABEL // SEARCHED, F.xxhash64("doc_id"))  # a block meets many at once
     return dealt.mapInArrow(run, "doc_id long, toxic int, vote double, own double")
 
 

@@ -53,7 +53,7 @@ def test_many_queries_meet_a_block_at_once_and_each_gets_its_exact_neighbours(mo
     queries = [rows[int(i)] for i in index.ids[:400]] + [(np.zeros(0, int), np.zeros(0))]
     built = []
     block = M.BlockMaxIndex._block
-    monkeypatch.setattr(M.BlockMaxIndex, "_block", lambda self, b: built.append(b) or block(self, b))
+    monkeypatch.setattr(M.BlockMaxIndex, "_block", lambda self, b, *more: built.append(b) or block(self, b, *more))
     found, scored = index.search_all(queries, 9, np.append(left_out, -1))
     assert len(built) == len(set(built)) <= index.n_blocks and scored <= 400 * index.n_blocks
     for j, (place, cosine) in enumerate(found[:-1]):
