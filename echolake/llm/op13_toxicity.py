@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,7 +188,7 @@ def _clusters(own: np.ndarray, terms: np.ndarray, values: np.ndarray, n: int, n_
     cluster = np.arange(n) * CLUSTERS // max(1, n)
     for _ in range(CLUSTER_ROUNDS):
         centres = np.bincount(cluster[own] * n_terms + terms, values, minlength=CLUSTERS * n_terms).reshape(CLUSTERS, n_terms)
-        centres /= np.maximum(np.sqrt((centres**2).sum(1, keepdims=True)), 1e-12)
+        centres = centres / np.maximum(np.sqrt((centres**2).sum(1, keepdims=True)), 1e-12)
         cluster = np.array([np.bincount(own, c[terms] * values, minlength=n) for c in centres]).argmax(0)
     return centres, cluster
 
@@ -409,7 +410,9 @@ def fit(names: list[str], examples: DataFrame, vectors: DataFrame) -> Model:
     values = np.concatenate([unit_vector(t, c, idf) for t, c in zip(np.split(terms, parts), np.split(counts, parts), strict=True)]) if few else np.zeros(0)
     index = BlockMaxIndex(ids, labels, votes, sizes, terms, values, len(names))
     raw = Model(Terms(names, idf), index, np.array([0.0, 1.0]), np.array([0.0, 1.0]), prior)
-    own = own_votes(examples, raw).toArrow()  # a row an example; Spark's sort would search all twice
+    shared = examples.sparkSession.sparkContext.broadcast(raw)
+    own = own_votes(examples, shared).toArrow()  # a row an example; Spark's sort would search all twice
+    shared.destroy()  # its copies are as large as the model's
     rank = {i: k for k, i in enumerate(ids.tolist())}
     own = own.take(np.argsort([rank[i] for i in own.column("doc_id").to_pylist()]))
     x, y, w = (own.column(c).to_numpy() for c in ("own", "toxic", "vote"))
@@ -417,9 +420,8 @@ def fit(names: list[str], examples: DataFrame, vectors: DataFrame) -> Model:
     return Model(raw.terms, index, knots, means, prior)
 
 
-def own_votes(examples: DataFrame, model: Model) -> DataFrame:
-    """Rows (doc_id, toxic, vote, own): the vote that each example of the index gets from the others."""
-    shared = examples.sparkSession.sparkContext.broadcast(model)
+def own_votes(examples: DataFrame, shared: Broadcast) -> DataFrame:
+    """Rows (doc_id, toxic, vote, own): the vote that each example of the index of a shared ``Model`` gets from the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
